@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.decontaminate import op7_decontaminate
 from quillgraph.llm.token_archive import op6_token_archive
 from quillgraph.llm.token_counts import op1_token_counts
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op6_token_archive": op6_token_archive,
+        "op7_decontaminate": op7_decontaminate,
     }
 
 
