@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.common import slices, table, texts_of
 
-#: Compiled states kept by a worker (about 1.3 KB each).
-MAX_STATES = 1 << 17
+#: Compiled states kept by a worker (about 1 KB each); a slice may add to them before they go.
+MAX_STATES = 3 << 16
+#: Rows by which the transition tables grow, and the byte values they begin with.
+ROWS, COLUMNS = 1 << 14, 128
 #: Characters of a chunk whose state map is computed.
 CHUNK = 128
 #: Bytes of a word up to which words are walked side by side.
@@ -121,15 +123,18 @@ class TokenCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merge_rank = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
         self.halves = {ids[a + b]: (ids[a], ids[b], rank) for rank, (a, b) in reversed([*enumerate(merges)])}
-        self.root: dict = {}
+        # The trie of all entries: child of (node, byte), and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.ending: list[int] = [-1]
         for token, i in ids.items():
-            if any(ch not in alphabet for ch in token):
+            if any(ch not in alphabet for ch in token) or (i not in self.halves and len(token) > 1):
                 continue
-            node = self.root
+            node = 0
             for ch in token:
-                node = node.setdefault(alphabet[ch], {})
-            if i in self.halves or len(token) == 1:
-                node[-1] = i
+                node = self.child.setdefault(node << 8 | alphabet[ch], len(self.ending))
+                if node == len(self.ending):
+                    self.ending.append(-1)
+            self.ending[node] = i
         self.apart_cache: dict[tuple[int, int], bool] = {}
 
     def _apart(self, left: int, right: int) -> bool:
@@ -162,40 +167,55 @@ class TokenCounter:
         return known
 
     def _forget(self) -> None:
-        """Back to the start state alone: no token yet, one open position."""
-        size = 1 << 12
-        self.next = np.full((size, 256), -1, np.int32)
-        self.gain = np.zeros((size, 256), np.int8)
-        self.keys: dict[tuple, int] = {}
-        self.open: list[tuple] = []
-        self._state(((-1, 0, self.root),))
-
-    def _state(self, positions: tuple) -> int:
-        key = tuple((last, count, id(node)) for last, count, node in positions)
-        at = self.keys.get(key)
+        """Back to the start state alone: no token yet, one open position.
+
+        A state is the flat tuple (last token, relative count, trie node) per open position.
+        Table columns are given to byte values as they turn up.
+        """
+        self.column = np.full(256, -1, np.int16)
+        self.columns = 0
+        self.next = np.full((ROWS, COLUMNS), -1, np.int32)
+        self.gain = np.zeros((ROWS, COLUMNS), np.int8)
+        self.number: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self._state((-1, 0, 0))
+
+    def _state(self, state: tuple) -> int:
+        at = self.number.get(state)
         if at is None:
-            at = self.keys[key] = len(self.open)
-            self.open.append(positions)
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
             if at >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
+                self._widen(ROWS, 0)
         return at
 
-    def _compile(self, state: int, byte: int) -> int:
-        kept, last, count = [], None, None
-        for before, so_far, node in self.open[state]:
-            child = node.get(byte)
+    def _widen(self, rows: int, columns: int) -> None:
+        self.next = np.pad(self.next, ((0, rows), (0, columns)), constant_values=-1)
+        self.gain = np.pad(self.gain, ((0, rows), (0, columns)))
+
+    def _columns_of(self, data: np.ndarray) -> np.ndarray:
+        for byte in np.flatnonzero(np.bincount(data, minlength=256) * (self.column < 0)):
+            self.column[byte] = self.columns
+            self.columns += 1
+        if self.columns > self.next.shape[1]:
+            self._widen(0, 256 - self.next.shape[1])
+        return self.column[data]
+
+    def _compile(self, at: int, byte: int) -> int:
+        state, kept, last, count = self.states[at], [], None, 0
+        for i in range(0, len(state), 3):
+            child = self.child.get(state[i + 2] << 8 | byte)
             if child is None:
                 continue
-            token = child.get(-1)
-            if token is not None and last is None and (before < 0 or self._apart(before, token)):
-                last, count = token, so_far + 1
-            kept.append((before, so_far, child))
+            token = self.ending[child]
+            if token >= 0 and last is None and (state[i] < 0 or self._apart(state[i], token)):
+                last, count = token, state[i + 1] + 1
+            kept.append((state[i], state[i + 1], child))
         if last is None:
             raise ValueError("the vocabulary lacks a byte")
-        to = self._state((*((b, c - count, n) for b, c, n in kept), (last, 0, self.root)))
-        self.next[state, byte] = to
-        self.gain[state, byte] = count
+        to = self._state((*(y for before, so_far, node in kept for y in (before, so_far - count, node)), last, 0, 0))
+        self.next[at, self.column[byte]] = to
+        self.gain[at, self.column[byte]] = count
         return to
 
     # -- running -----------------------------------------------------------
@@ -224,32 +244,35 @@ class TokenCounter:
 
     def word_tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each word ``data[start:end]``."""
-        if len(self.open) > MAX_STATES:
+        if len(self.states) > MAX_STATES:
             self._forget()
+        columns = self._columns_of(data)
+        width = self.next.shape[1]
         sizes = ends - starts
         order = np.argsort(-sizes, kind="stable")
         first, size = starts[order], sizes[order]
-        state = np.zeros(len(order), np.int32)
+        state = np.zeros(len(order), np.int64)
         count = np.zeros(len(order), np.int64)
-        live = len(order)
-        for k in range(min(WIDE, int(size[0]) if live else 0)):
+        for k in range(min(WIDE, int(size[0]) if len(size) else 0)):
             live = int(np.searchsorted(-size, -k, side="left"))
-            at = state[:live].astype(np.int64) * 256 + data[first[:live] + k]
+            place = first[:live] + k
+            at = state[:live] * width + columns[place]
             to = self.next.ravel().take(at)
             missing = np.flatnonzero(to < 0)
             if len(missing):
-                for key in np.unique(at[missing]):
-                    self._compile(int(key) >> 8, int(key) & 255)
+                _, one = np.unique(at[missing], return_index=True)
+                for s, byte in zip(state[missing[one]].tolist(), data[place[missing[one]]].tolist(), strict=True):
+                    self._compile(s, byte)
                 to = self.next.ravel().take(at)
             count[:live] += self.gain.ravel().take(at)
             state[:live] = to
         for i in range(int(np.searchsorted(-size, -WIDE, side="left"))):  # the few very long words
-            s, total = int(state[i]), 0
+            s, total, column = int(state[i]), 0, self.column
             for byte in data[first[i] + WIDE : first[i] + size[i]].tolist():
-                to = int(self.next[s, byte])
+                to = int(self.next[s, column[byte]])
                 if to < 0:
                     to = self._compile(s, byte)
-                total += int(self.gain[s, byte])
+                total += int(self.gain[s, column[byte]])
                 s = to
             count[i] += total
         tokens = np.empty_like(count)
