@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,29 @@ LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
 #: Pieces of text whose ids a worker remembers.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 700_000
 
 _HEADER = struct.Struct("<4sBBHI")
-_UNSAFE = re.compile(r"^ |\s | \s| $")
+_RARE_WHITE = re.compile(r"[^\S \n]")
+SPACE_STAND_IN = chr(256 + 0x20)  # as in vocabulary files of this kind
+_BEYOND_LATIN = re.compile(r"[^\x00-\xFF]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 ARCHIVE_SCHEMA = "part int, block int, first_key long, last_key long, n_docs int, n_before long, n_tokens long, dictionary_sha256 string, data binary"
 
 
+class _Places(dict):
+    """Numbers pieces as they turn up and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        at = self[piece] = len(self)
+        return at
+
+
 class Encoder:
     """Library encoding that asks for each distinct piece of text once.
 
@@ -64,6 +79,9 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -71,45 +89,66 @@ class Encoder:
         self.library.no_truncation()
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
+        self.model = self.library.model
+        self.marks = {m: self.library.token_to_id(m) for m in ",.!|"}
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.stand_in = {b: 256 + i for i, b in enumerate(rest)}  # bytes without a printable form, as in vocabulary files
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Places()
         self.flat = np.zeros(0, self.dtype)
         self.ends = np.zeros(0, np.int64)
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
         """Keys of the pieces: the first with a space before it, the others without their own."""
-        if _UNSAFE.search(text):
+        if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _RARE_WHITE.search(text):
             first, *rest = _CUT.split(text)
             return [" " + first, *(p[1:] for p in rest)]
         parts = text.split(" ")
         parts[0] = " " + parts[0]
         return parts
 
+    def _ids(self, keys: list[str]) -> list[list[int]]:
+        """Ids of new pieces. A space and Latin letters, and the mark after them, are one word each for the library's model."""
+        out: list = [None] * len(keys)
+        rest = []
+        tokenize, marks = self.model.tokenize, self.marks
+        for i, k in enumerate(keys):
+            mark = marks.get(k[-1:])
+            word = k if mark is None else k[:-1]
+            if word.isalpha() and (word.isascii() or not _BEYOND_LATIN.search(word)):
+                letters = SPACE_STAND_IN + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.stand_in)
+                ids = [x.id for x in tokenize(letters)]
+                if mark is not None:
+                    ids.append(mark)
+                out[i] = ids
+            else:
+                rest.append(i)
+        pieces = [keys[i][1:] if keys[i][:1] == " " else " " + keys[i] for i in rest]
+        for i, e in zip(rest, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_PIECES:
             self._forget()
-        keys: list[str] = []
-        stops = []
-        for x in texts:
-            keys += self._pieces(x)
-            stops.append(len(keys))
-        new = [k for k in dict.fromkeys(keys) if k not in self.known]
-        if new:
-            found = self.library.encode_batch_fast([k[1:] if k[0:1] == " " else " " + k for k in new], add_special_tokens=False)
-            ids = [e.ids for e in found]
+        keys = [self._pieces(x) for x in texts]
+        stops = np.cumsum([len(k) for k in keys])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(keys)), np.int64, stops[-1] if texts else 0)
+        if self.known.new:
+            ids = self._ids(self.known.new)
             base = int(self.ends[-1]) if len(self.ends) else 0
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.dtype)])
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
+            self.known.new = []
         begins = np.where(at > 0, self.ends[at - 1], 0)
         sizes = self.ends[at] - begins
         done = np.cumsum(sizes)
         out = self.flat[np.repeat(begins - (done - sizes), sizes) + np.arange(done[-1])] if len(at) else self.flat[:0]
-        return np.split(out, done[np.asarray(stops[:-1], np.int64) - 1]) if texts else []
+        return np.split(out, done[stops[:-1] - 1]) if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -149,6 +188,8 @@ def _codec(dictionary: bytes):
     import zstandard
 
     trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if trained:
+        trained.precompute_compress(level=LEVEL)  # else it is digested anew for each frame
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=trained), zstandard.ZstdDecompressor(dict_data=trained)
 
 
