@@ -46,7 +46,7 @@ SHORT_LIST = 64
 BLOCK = 512
 #: Leaves that are verified against one copy of their first member's set.
 LEAVES = 256
-SIGNATURE_WORDS = 8
+LEAST_BITS, MOST_BITS = 256, 8192
 FILTER_BITS = 23
 WORDS_CACHED = 500_000
 
@@ -97,8 +97,39 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((_mix(s ^ _ODD[2]) & np.uint64(SIGNATURE_WORDS * 64 - 1)).astype(np.int64), minlength=SIGNATURE_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the members' places among at least twice as many bits as members, within limits.
+
+    Folding a signature in half gives the one with half as many bits.
+    """
+    bits = min(max(1 << (2 * len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    parity = np.bincount((_mix(s ^ _ODD[2]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Signatures:
+    """Signatures of many sets, to be compared at the width of the narrower one."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.width = np.asarray([len(x) // 8 for x in raw])
+        self.at = np.cumsum(self.width) - self.width
+        self.words = np.frombuffer(b"".join(raw), "<u8")
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width), np.uint64)
+        for own in np.unique(self.width[rows]):
+            of = np.flatnonzero(self.width[rows] == own)
+            words = self.words[self.at[rows[of]][:, None] + np.arange(own)]
+            out[of] = np.bitwise_xor.reduce(words.reshape(len(of), own // width, width), axis=1)
+        return out
+
+    def least_difference(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of members that only one of two sets has."""
+        out = np.zeros(len(i), np.int64)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width):
+            of = np.flatnonzero(width == w)
+            out[of] = np.bitwise_count(self._folded(i[of], w) ^ self._folded(j[of], w)).sum(axis=1)
+        return out
 
 
 def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -156,7 +187,8 @@ def _membership(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n int, set binary, sig binary, prefix_key binary, prefix array<long>")
+    made = docs.select(key, text).mapInArrow(run, f"{key} {kind}, n int, set binary, sig binary, prefix_key binary, prefix array<long>")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def _bound(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -165,30 +197,30 @@ def _bound(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int) ->
     return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SIGNATURE_WORDS)
-
-
-def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of sets that pass the filters on size and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                differ = np.bitwise_count(_bits(batch.column("su")) ^ _bits(batch.column("sv"))).sum(axis=1).astype(np.int64)
+            m = batch.num_rows
+            if m:
+                both = _Signatures(batch.column("su").to_pylist() + batch.column("sv").to_pylist())
+                differ = both.least_difference(np.arange(m), np.arange(m, 2 * m))
                 good = _bound(*(batch.column(c).to_numpy().astype(np.int64) for c in ("nu", "nv")), differ, percent)
                 yield batch.select(["u", "v"]).filter(pa.array(good))
 
-    info = sets.select("set", "n", "sig")
-    joined = pairs.join(info.toDF("u", "nu", "su"), "u").where(F.col("u") != F.col("v"))
-    joined = joined.join(info.toDF("v", "nv", "sv"), "v").where("100 * least(nu, nv) >= {p} * greatest(nu, nv)".format(p=percent))
-    return joined.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u binary, v binary")
+    joined = pairs.where("u <> v").join(signatures.toDF("u", "nu", "su"), "u")
+    joined = joined.join(signatures.toDF("v", "nv", "sv"), "v").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    return joined.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (u: the leaf, v: the first member), checked on whole sets."""
+    """Links among ``pairs`` (u: the leaf, v: the first member), checked on whole sets.
+
+    ``sets``: id, set, doc. The rows of a first member with many leaves are salted.
+    """
     pairs = saved(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct().join(sets.select("set", "doc"), "set")
+    wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id", "set", "doc"), "id"), "wanted")
     bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
     # A Bloom filter of fixed size picks the texts to read; a text more does no harm.
     bitmap = wanted.groupBy(F.shiftright(bit, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(1 << 15))).alias("bits"))
@@ -212,15 +244,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text
 
     whole = docs.select(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("bit"), text).mapInArrow(read, "set binary, data binary")
     stars = saved(pairs.groupBy("v").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("salts")), "hubs")
-    leaves = pairs.join(stars, "v").select(F.col("u").alias("set"), "v", F.pmod(F.xxhash64("u"), "salts").cast("int").alias("salt"), F.lit(1).alias("leaf"))
-    hubs = stars.select(F.col("v").alias("set"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("leaf"))
-    rows = leaves.union(hubs).join(whole, "set")
+    leaves = pairs.join(stars, "v").select(F.col("u").alias("id"), "v", F.pmod(F.xxhash64("u"), "salts").cast("int").alias("salt"), F.lit(1).alias("leaf"))
+    hubs = stars.select(F.col("v").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("leaf"))
+    rows = leaves.union(hubs).join(wanted.select("id", "set"), "id").join(whole, "set").drop("set")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, first = None, None
         for batch in batches:
             links = []
-            for name, v, leaf, data in zip(*(batch.column(c).to_pylist() for c in ("set", "v", "leaf", "data")), strict=True):
+            for name, v, leaf, data in zip(*(batch.column(c).to_pylist() for c in ("id", "v", "leaf", "data")), strict=True):
                 if not leaf:
                     hub, first = v, np.frombuffer(data, np.uint64)
                 elif v == hub:
@@ -228,40 +260,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text
                     both = len(np.intersect1d(first, other, assume_unique=True))
                     if 100 * both >= percent * (len(first) + len(other) - both):
                         links.append((name, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     # The rows of (v, salt) lie together, the first member's set before its leaves.
     together = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "leaf")
-    return saved(together.mapInArrow(check, "u binary, v binary").distinct(), "verified")
+    return saved(together.mapInArrow(check, "u long, v long").distinct(), "verified")
 
 
 def _long_list_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs within long lists that pass the filters, from pairs of blocks.
 
-    ``members``: list, count, set, n, sig, part (component).
+    ``members``: list, count, id, n, sig, part (component).
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
 
     def compare(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        names = block.column("set").to_pylist()
-        n = block.column("n").to_numpy().astype(np.int64)
-        own = block.column("own").to_numpy()
-        part = np.unique(np.asarray([x.hex() for x in block.column("part").to_pylist()]), return_inverse=True)[1]
-        bits = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u8").reshape(-1, SIGNATURE_WORDS)
+        ids, n, own, part = (block.column(c).to_numpy() for c in ("id", "n", "own", "part"))
+        n = n.astype(np.int64)
+        signatures = _Signatures(block.column("sig").to_pylist())
         a, b = int(block.column("a")[0].as_py()), int(block.column("b")[0].as_py())
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(own == a):
-            j = np.flatnonzero((own == b) & (part != part[i]) & ((np.arange(len(n)) > i) | (a != b)))
+            near = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (part != part[i])
+            j = np.flatnonzero(near & (own == b) & ((np.arange(len(n)) > i) | (a != b)))
             if len(j):
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
-                out += [(names[i], names[x]) for x in j[_bound(n[i], n[j], differ, percent)]]
-        return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([x for _, x in out], pa.binary())})
+                j = j[_bound(n[i], n[j], signatures.least_difference(np.full(len(j), i), j), percent)]
+                out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return dealt.groupBy("list", "a", "b").applyInArrow(compare, "u binary, v binary")
+    return dealt.groupBy("list", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -272,44 +303,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     docs = docs.select(key, text)
     member = saved(_membership(docs, key, text, k, percent), "membership")
     filled = member.where("n > 0")
-    # One row per set, with the least key (to find its text again) and its group.
-    group = filled.groupBy("n", "prefix_key").agg(F.min("set").alias("head"))
-    sets = filled.groupBy("set").agg(F.min(key).alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix_key").alias("prefix_key"))
-    sets = saved(sets.join(group, ["n", "prefix_key"]).drop("prefix_key"), "sets")
-    heads = sets.where(F.col("set") == F.col("head")).select(F.col("set").alias("head"), "doc")
-    named = filled.select(F.col("set").alias("head"), F.col(key).alias("id"), "n", "prefix").join(heads, "head")
-    prefixes = named.where(F.col("id").eqNullSafe(F.col("doc"))).select("head", "n", "prefix").dropDuplicates(["head"])
-    lists = prefixes.select(F.explode("prefix").alias("list"), "head", "n")
+    # The first row with a set stands for it; sets with the same size and prefix have a head.
+    firsts = filled.groupBy("set").agg(F.min("row").alias("id"))
+    placed = saved(filled.select(key, "n", "set", "prefix_key", "row").join(firsts, "set"), "placed")
+    sets = placed.where("id = row").select("id", "set", F.col(key).alias("doc"), "n", "prefix_key")
+    heads = sets.groupBy("n", "prefix_key").agg(F.min("id").alias("head"))
+    sets = saved(sets.join(heads, ["n", "prefix_key"]).drop("prefix_key"), "sets")
+    signatures = member.select(F.col("row").alias("id"), "n", "sig")
+    prefixes = member.select(F.col("row").alias("head"), "prefix").join(sets.select("head").distinct(), "head")
     by_list = Window.partitionBy("list")
+    lists = prefixes.select(F.explode("prefix").alias("list"), "head")
     lists = lists.select("*", F.count("*").over(by_list).alias("count"), F.min("head").over(by_list).alias("first")).where("count > 1")
     lists = saved(lists, "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(_filtered(pairs.distinct(), sets, percent), docs, sets, key, text, k, percent)
+        return _verified(_filtered(pairs, signatures, percent), docs, sets, key, text, k, percent)
 
-    stars = lists.select(F.col("head").alias("u"), F.col("first").alias("v")).union(sets.select("set", "head")).where("u <> v")
-    links = verify(stars)
-    part = components(links).toDF("set", "part")
+    # Each head with the first head it shares most lists with; each member with its head.
+    shared = lists.where("head <> first").groupBy("head", "first").agg(F.count("*").alias("n"))
+    stars = shared.groupBy("head").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
+    links = verify(stars.toDF("u", "v").union(sets.where("id <> head").select("id", "head")))
+    part = components(links).toDF("id", "part")
 
     # What isn't settled: groups with members in several components, lists with groups in several.
-    placed = saved(sets.join(part, "set", "left").withColumn("part", F.coalesce("part", "set")), "placed")
-    whole = placed.select("head", "set", "n", "sig", "part")
-    inside = placed.groupBy(F.col("head").alias("list")).agg(F.count("*").alias("count"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    inside = inside.join(whole.withColumnRenamed("head", "list"), "list").select("list", "count", "set", "n", "sig", "part")
-    spread = placed.groupBy("head").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    open_lists = lists.join(spread, "head").groupBy("list").agg(F.sum("size").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("list", "count")
-    across = lists.select("list", "head").join(open_lists, "list").join(whole, "head").select(F.col("list").cast("string").cast("binary").alias("list"), "count", "set", "n", "sig", "part")
-    unsettled = saved(inside.union(across), "unsettled")
-    short = unsettled.where(F.col("count") <= SHORT_LIST).select("list", "set", "n", "part")
-    direct = short.alias("x").join(short.alias("y"), "list").where(f"x.set > y.set AND x.part <> y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    direct = direct.select(F.col("x.set").alias("u"), F.col("y.set").alias("v"))
-    more = verify(direct.union(_long_list_pairs(unsettled.where(F.col("count") > SHORT_LIST), percent)))
-    part = components(links.union(more)).toDF("set", "part")
-
-    named = sets.join(part, "set", "left").select("set", "doc", F.coalesce("part", "set").alias("part"))
+    settled = saved(sets.join(part, "id", "left").select("id", "head", "n", F.coalesce("part", "id").alias("part")), "settled")
+    spread = settled.groupBy("head").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    inside = spread.where("lo < hi").select(F.lit(True).alias("group"), F.col("head").alias("list"), "head", F.col("size").alias("count"))
+    open_lists = lists.join(spread, "head").groupBy("list").agg(F.sum("size").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    across = lists.select("list", "head").join(open_lists.select("list", "count"), "list").select(F.lit(False).alias("group"), "list", "head", "count")
+    unsettled = saved(inside.union(across).withColumn("list", F.xxhash64("group", "list")).join(settled, "head").select("list", "count", "id", "n", "part"), "unsettled")
+    short = unsettled.where(F.col("count") <= SHORT_LIST)
+    direct = short.alias("x").join(short.alias("y"), "list").where(f"x.id > y.id AND x.part <> y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    direct = direct.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    long = unsettled.where(F.col("count") > SHORT_LIST).join(signatures.select("id", "sig"), "id")
+    more = verify(direct.union(_long_list_pairs(long, percent)))
+    part = components(links.union(more)).toDF("id", "part")
+
+    named = sets.join(part, "id", "left").select("id", "doc", F.coalesce("part", "id").alias("part"))
     least = named.groupBy("part").agg(F.min("doc").alias("component"))
-    named = named.join(least, "part").select("set", "component")
-    found = filled.select(key, "n", "set").join(named, "set").select(key, F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    named = named.join(least, "part").select("id", "component")
+    found = placed.join(named, "id").select(key, F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
     bare = member.where("n = 0").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).alias("component_id"))
     return found.union(bare)
 
