@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.decontaminate import op7_decontaminate
+from quillgraph.llm.mixing import op8_mixing
 from quillgraph.llm.ngram_join import op9_ngram_join
 from quillgraph.llm.token_archive import op6_token_archive
 from quillgraph.llm.token_counts import op1_token_counts
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op6_token_archive": op6_token_archive,
         "op7_decontaminate": op7_decontaminate,
+        "op8_mixing": op8_mixing,
         "op9_ngram_join": op9_ngram_join,
     }
 
