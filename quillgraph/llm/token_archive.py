@@ -47,7 +47,7 @@ LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
 #: Pieces of text whose ids a worker remembers.
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1_500_000
 
 _HEADER = struct.Struct("<4sBBHI")
 _RARE_WHITE = re.compile(r"[^\S \n]")
