@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.decontaminate import op7_decontaminate
 from quillgraph.llm.mixing import op8_mixing
 from quillgraph.llm.ngram_join import op9_ngram_join
+from quillgraph.llm.quality import op4_quality
 from quillgraph.llm.token_archive import op6_token_archive
 from quillgraph.llm.token_counts import op1_token_counts
+from quillgraph.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_quality": op4_quality,
+        "op5_toxicity": op5_toxicity,
         "op6_token_archive": op6_token_archive,
         "op7_decontaminate": op7_decontaminate,
         "op8_mixing": op8_mixing,

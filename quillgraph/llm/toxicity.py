@@ -19,16 +19,13 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import slices, table
-from quillgraph.llm.labelled import Logistic, held_out, labelled_sample
+from quillgraph.llm.common import table
+from quillgraph.llm.labelled import Logistic, held_out, labelled_sample, scored
 
 #: Rows of each label that fitting may use, and the longest text among them.
 SAMPLE_PER_CLASS = 3000
@@ -37,6 +34,9 @@ WINDOW_BYTES = 64
 ORDINARY_BYTES = 1 << 14
 TOXIC_BYTES = 640
 LEVEL = 3
+STEMS = (5, 6, 7)
+#: Ways to choose the toxic words; the one that tells the calibration texts apart best is taken.
+CHOICES = [(least, stems) for least in (0.004, 0.015, 0.05) for stems in (False, True)]
 #: Distances are told apart up to this many bytes either way.
 REACH = 16
 
@@ -60,7 +60,8 @@ def _words(text: str) -> set[bytes]:
 
 
 def _support(texts: list[str]) -> tuple[dict[bytes, set], int]:
-    """The different texts that hold each word; near copies (same least word hash) count once."""
+    """The different texts that hold each word or stem (the first bytes of longer words); near
+    copies, with the same least word hash, count once."""
     found: dict[bytes, set] = defaultdict(set)
     marks = set()
     for x in texts:
@@ -69,16 +70,38 @@ def _support(texts: list[str]) -> tuple[dict[bytes, set], int]:
         marks.add(mark)
         for w in words:
             found[w].add(mark)
+            for size in STEMS:
+                if len(w) > size:
+                    found[w[:size] + b"-"].add(mark)
     return found, len(marks)
 
 
-def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Words that mark toxic texts, the most widespread at the end."""
-    (many, n), (few, m) = _support(toxic), _support(ordinary)
-    least = max(2, 0.004 * n)
-    marked = [w for w, t in many.items() if len(t) >= least and len(t) / n > 8 * (len(few.get(w, ())) + 0.5) / max(m, 1)]
-    marked.sort(key=lambda w: (len(many[w]), w))
-    return b"".join(b" " + w for w in marked)[-TOXIC_BYTES:]
+def toxic_content(toxic: tuple, ordinary: tuple, least: float, stems: bool) -> bytes:
+    """Words that mark toxic texts, the most widespread at the end.
+
+    ``toxic`` and ``ordinary`` come from ``_support``; a word counts from a share ``least`` of
+    toxic texts. With ``stems``, a stem stands for its words where it is far more widespread
+    than each of them; of nested stems the longest that loses little.
+    """
+    (many, n), (few, m) = toxic, ordinary
+    enough = max(3, least * n)
+    marked = {w: len(t) for w, t in many.items() if len(t) >= enough and len(t) / n > 8 * (len(few.get(w, ())) + 0.5) / max(m, 1)}
+    kept = {w: t for w, t in marked.items() if not w.endswith(b"-")}
+    if stems:
+        best: dict[bytes, int] = defaultdict(int)
+        for w, t in many.items():
+            if not w.endswith(b"-"):
+                for size in STEMS:
+                    best[w[:size]] = max(best[w[:size]], len(t))
+        found = {w[:-1]: t for w, t in marked.items() if w.endswith(b"-") and t >= 2 * best[w[:-1]]}
+        for w in sorted(found, key=len):
+            longer = [v for v in found if len(v) > len(w) and v.startswith(w)]
+            if max((found[v] for v in longer), default=0) >= 0.7 * found[w]:
+                found[w] = 0
+            else:
+                found |= dict.fromkeys(longer, 0)
+        kept |= {w: t for w, t in found.items() if t}
+    return b"".join(b" " + w for w in sorted(kept, key=lambda w: (kept[w], w)))[-TOXIC_BYTES:]
 
 
 class Distances:
@@ -124,14 +147,24 @@ class ToxicityModel:
         parts = {(a, y): sample.loc[(shape == a) & (sample["y"] == y), "text"].tolist() for a in (True, False) for y in (0, 1)}
         if min(map(len, parts.values())) < 2:
             return
-        self.data = train_ordinary(parts[True, 0]), toxic_content(parts[True, 1], parts[True, 0])
-        seen = [[self._distances([x])[0] for x in parts[False, y]] for y in (0, 1)]
-        counts = np.stack([np.bincount(np.concatenate(s) + REACH, minlength=2 * REACH + 1) for s in seen]) + 3.0
-        rates = counts / counts.sum(axis=1, keepdims=True)
-        self.ratio = np.log(rates[1] / rates[0])
-        x = np.asarray([self._features(d) for s in seen for d in s])
-        y = np.repeat([0, 1], [len(s) for s in seen])
-        self.regression = Logistic(x, y, share)
+        base = train_ordinary(parts[True, 0])
+        support = _support(parts[True, 1]), _support(parts[True, 0])
+        y = np.repeat([0, 1], [len(parts[False, k]) for k in (0, 1)])
+        best = -1.0
+        for content in dict.fromkeys(toxic_content(*support, *choice) for choice in CHOICES):
+            self.data, self.tool = (base, content), Distances(base, content)
+            seen = [self._distances(parts[False, k]) for k in (0, 1)]
+            counts = np.stack([np.bincount(np.concatenate(s) + REACH, minlength=2 * REACH + 1) for s in seen]) + 3.0
+            rates = counts / counts.sum(axis=1, keepdims=True)
+            self.ratio = np.log(rates[1] / rates[0])
+            x = np.asarray([self._features(d) for s in seen for d in s])
+            regression = Logistic(x, y, share)
+            p = np.where(y == 1, regression(x), 1 - regression(x))
+            fitness = float(np.exp(np.mean([np.log(p[y == k]).mean() for k in (0, 1)])))
+            if fitness > best:
+                best, chosen = fitness, (self.data, self.ratio, regression)
+        self.data, self.ratio, self.regression = chosen
+        self.tool = Distances(*self.data)
         self.ready = True
 
     def _distances(self, texts: list[str | bytes]) -> list[np.ndarray]:
@@ -158,18 +191,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     return ToxicityModel(*labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES))
 
 
-def scored(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score`` of each row, for a fitted model with ``score(list of raw texts)``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            raw = [x or b"" for x in pc.cast(batch.column(text), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(held.value.score(raw), pa.float64())], [key, "score"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
