@@ -150,13 +150,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = plan.select("shard", "source_no", "begin", F.least("stop", F.col("begin") + SLOT_RUN).alias("end"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     taken = plan.repartition(parts, "source_no", "begin").mapInArrow(take, "source_no int, block long, shard int")
+    # Spark takes what grows from a small plan for small; the hints keep it from broadcasting it.
     times = taken.groupBy("source_no", "block").agg(F.count("*").alias("times"))
 
     end = F.col("offset") + F.col("size")
     at = rows.where("size > 0").select("row", "source_no", "offset", "size", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
     first_word = F.greatest(F.col("block") * block, "offset") - F.col("offset")
     last_word = F.least((F.col("block") + 1) * block, end) - F.col("offset")
-    pieces = at.select("row", "source_no", "block", first_word.alias("first"), last_word.alias("last")).join(times, ["source_no", "block"]).select("row", "first", "last", "times")
+    pieces = at.select("row", "source_no", "block", first_word.alias("first"), last_word.alias("last")).join(times.hint("merge"), ["source_no", "block"]).select("row", "first", "last", "times")
     return rows, taken, pieces
 
 
@@ -172,9 +173,9 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows, _, pieces = mix(docs, key, text, source, **how)
     piece = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), F.col("times").cast("int").alias("times"))
     listed = pieces.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    by_text = rows.select("row", F.col(key).alias("k"), F.col("text_hash").alias("h")).join(listed, "row")
+    by_text = rows.select("row", F.col(key).alias("k"), F.col("text_hash").alias("h")).join(listed.hint("merge"), "row")
     by_text = by_text.groupBy("k", "h").agg(F.min_by("pieces", "row").alias("pieces"))
-    joined = docs.join(by_text, docs[key].eqNullSafe(by_text["k"]) & (F.xxhash64(docs[text]) == by_text["h"]))
+    joined = docs.join(by_text.hint("merge"), docs[key].eqNullSafe(by_text["k"]) & (F.xxhash64(docs[text]) == by_text["h"]))
     joined = joined.select(*(docs[c] for c in names), "pieces")
     word = re.compile(WORDS.encode())
 
@@ -212,5 +213,5 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, pieces = mix(table(spark, sf_dir, "documents"))
     words = pieces.groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("words"))
-    joined = rows.join(words, "row", "left")
+    joined = rows.join(words.hint("merge"), "row", "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"))
