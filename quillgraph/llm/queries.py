@@ -9,23 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.decontaminate import op7_decontaminate
 from quillgraph.llm.mixing import op8_mixing
 from quillgraph.llm.ngram_join import op9_ngram_join
+from quillgraph.llm.preference import PREFERENCE_SQL, op3_preference
 from quillgraph.llm.quality import op4_quality
 from quillgraph.llm.token_archive import op6_token_archive
 from quillgraph.llm.token_counts import op1_token_counts
 from quillgraph.llm.toxicity import op5_toxicity
+from quillgraph.llm.topk_search import TOPK_SQL, op10_topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_preference": op3_preference,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_token_archive": op6_token_archive,
         "op7_decontaminate": op7_decontaminate,
         "op8_mixing": op8_mixing,
         "op9_ngram_join": op9_ngram_join,
+        "op10_topk_search": op10_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_preference": PREFERENCE_SQL,
+        "op10_topk_search": TOPK_SQL,
+    }
