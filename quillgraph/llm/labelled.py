@@ -59,11 +59,20 @@ class Logistic:
 
 def scored(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of each row, for a fitted model with ``score(list of raw texts)``."""
+    return _scored(docs.select(key, text), model, text, [key])
+
+
+def with_score(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """All columns and ``score``."""
+    return _scored(docs, model, text, docs.columns)
+
+
+def _scored(docs: DataFrame, model, text: str, kept: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             raw = [x or b"" for x in pc.cast(batch.column(text), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(held.value.score(raw), pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(held.value.score(raw), pa.float64())], [*kept, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.mapInArrow(run, docs.select(kept).schema.add("score", "double"))
