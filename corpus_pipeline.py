@@ -1,12 +1,67 @@
-"""A training corpus in stages. Each stage reads what the one before has written."""
+"""A training corpus in stages: good documents, one of each group of near copies, without
+benchmark passages, mixed by source, as token ids in an archive.
+
+Each stage reads what the one before has kept, written as Parquet, and all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillgraph.llm import decontaminate, labelled, mixing, ngram_join, quality, token_archive
 from quillgraph.llm.common import saved, table
 
-STAGES: list = []
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines are good by the quality classifier; a null id is kept under its own score.
+
+    The score depends on the text alone, so a text gets the same verdict wherever it stands.
+    """
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return labelled.with_score(docs, model).where(F.col("score") >= 0.5).drop("score")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near copies (five words, 0.8); rows that repeat it go too.
+
+    Documents without words are linked with nothing and stay.
+    """
+    classes = ngram_join.near_duplicates(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the word spans of benchmark passages; n_chars counts what is left."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.contaminated_spans(docs, items)
+    cut = decontaminate.without_spans(found)
+    length = F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a text's pieces, and once more those that it takes twice."""
+    return mixing.mixed_texts(docs, length="n_chars")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The archive's digest of each text."""
+    return token_archive.archived(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_copies", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed_sources),
+    ("token_ids", token_ids),
+]
 
 #: A conditional random field has no SQL form; tests use a brute-force version.
 ORACLE_SQL = None
