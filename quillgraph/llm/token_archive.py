@@ -47,11 +47,14 @@ LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
 #: Pieces of text whose ids a worker remembers.
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 1_000_000
+#: New pieces in one text for the library.
+RUN = 64
 
 _HEADER = struct.Struct("<4sBBHI")
 _RARE_WHITE = re.compile(r"[^\S \n]")
 SPACE_STAND_IN = chr(256 + 0x20)  # as in vocabulary files of this kind
+_MARKED = re.compile(r"[,.!|](?=\n|\Z)")
 _BEYOND_LATIN = re.compile(r"[^\x00-\xFF]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -89,17 +92,24 @@ class Encoder:
         self.library.no_truncation()
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
-        self.model = self.library.model
-        self.marks = {m: self.library.token_to_id(m) for m in ",.!|"}
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.marks = frozenset(",.!|")
+        self.characters = np.zeros(top, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.characters[i] = len(token)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.stand_in = {b: 256 + i for i, b in enumerate(rest)}  # bytes without a printable form, as in vocabulary files
+        self.stand_in = {b: 256 + i for i, b in enumerate(rest) if b != 0x0A}  # bytes without a printable form, as in vocabulary files
         self._forget()
 
     def _forget(self) -> None:
         self.known = _Places()
         self.flat = np.zeros(0, self.dtype)
-        self.ends = np.zeros(0, np.int64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -111,26 +121,47 @@ class Encoder:
         parts[0] = " " + parts[0]
         return parts
 
-    def _ids(self, keys: list[str]) -> list[list[int]]:
-        """Ids of new pieces. A space and Latin letters, and the mark after them, are one word each for the library's model."""
-        out: list = [None] * len(keys)
-        rest = []
-        tokenize, marks = self.model.tokenize, self.marks
+    def _learn(self, keys: list[str]) -> None:
+        """Encode new pieces.
+
+        A piece of Latin letters, maybe with a mark after it, is one word (and one more for the mark).
+        Such words go to the library many at a time, as the words of a text whose only white space
+        is between them; the lengths of the tokens tell where each piece ends.
+        """
+        marks = self.marks
+        plain: list[int] = []
+        wide: list[int] = []
+        rest: list[int] = []
         for i, k in enumerate(keys):
-            mark = marks.get(k[-1:])
-            word = k if mark is None else k[:-1]
-            if word.isalpha() and (word.isascii() or not _BEYOND_LATIN.search(word)):
-                letters = SPACE_STAND_IN + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.stand_in)
-                ids = [x.id for x in tokenize(letters)]
-                if mark is not None:
-                    ids.append(mark)
-                out[i] = ids
+            if k.isalpha() or (k[-1:] in marks and k[:-1].isalpha()):
+                (plain if k.isascii() else rest if _BEYOND_LATIN.search(k) else wide).append(i)
             else:
                 rest.append(i)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        flat, base = [self.flat], len(self.flat)
+        for places in (plain, wide):
+            if not places:
+                continue
+            text = "\n".join([keys[i] for i in places])
+            if places is wide:
+                text = text.encode().decode("latin-1").translate(self.stand_in)
+            words = _MARKED.sub(r" \g<0>", text).split("\n")
+            runs = [SPACE_STAND_IN + f" {SPACE_STAND_IN}".join(words[a : a + RUN]) for a in range(0, len(words), RUN)]
+            ids = np.concatenate([np.asarray(e.ids, self.dtype) for e in self.words.encode_batch_fast(runs, add_special_tokens=False)])
+            stops = np.cumsum([len(k) + 1 for k in text.split("\n")])
+            stops = np.searchsorted(np.cumsum(self.characters[ids]), stops, side="left") + 1
+            size[places] = np.diff(stops, prepend=0)
+            begin[places] = base + stops - size[places]
+            flat.append(ids)
+            base += len(ids)
         pieces = [keys[i][1:] if keys[i][:1] == " " else " " + keys[i] for i in rest]
-        for i, e in zip(rest, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        size[rest] = [len(x) for x in found]
+        begin[rest] = base + np.cumsum(size[rest]) - size[rest]
+        flat.append(np.fromiter(chain.from_iterable(found), self.dtype))
+        self.flat = np.concatenate(flat)
+        self.begin = np.concatenate([self.begin, begin])
+        self.size = np.concatenate([self.size, size])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_PIECES:
@@ -139,13 +170,9 @@ class Encoder:
         stops = np.cumsum([len(k) for k in keys])
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(keys)), np.int64, stops[-1] if texts else 0)
         if self.known.new:
-            ids = self._ids(self.known.new)
-            base = int(self.ends[-1]) if len(self.ends) else 0
-            self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
+            self._learn(self.known.new)
             self.known.new = []
-        begins = np.where(at > 0, self.ends[at - 1], 0)
-        sizes = self.ends[at] - begins
+        begins, sizes = self.begin[at], self.size[at]
         done = np.cumsum(sizes)
         out = self.flat[np.repeat(begins - (done - sizes), sizes) + np.arange(done[-1])] if len(at) else self.flat[:0]
         return np.split(out, done[stops[:-1] - 1]) if texts else []
