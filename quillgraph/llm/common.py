@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about this many bytes inside a task, so that
 #: word lists and work arrays stay small whatever the Arrow batch size is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,25 @@ def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, build: Callable[[], object]) -> object:
+    """A thing that a Python worker keeps between tasks; it gives way to the next operator's."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]
+
+
+def _give_back() -> None:
+    """Return memory that allocators hold after a task: workers live on, beside those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each."""
     import numpy as np
@@ -56,6 +78,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], n], strict=True):
             yield batch.slice(a, b - a)
+    _give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import saved, slices, table
+from quillgraph.llm.common import kept_in_worker, saved, slices, table
 from quillgraph.llm.components import components
 
 #: A shingle found in so many documents is put last in the order ...
@@ -48,7 +48,7 @@ BLOCK = 512
 LEAVES = 256
 LEAST_BITS, MOST_BITS = 256, 8192
 FILTER_BITS = 23
-WORDS_CACHED = 500_000
+WORDS_CACHED = 300_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -61,9 +61,6 @@ class _WordHash(dict):
         return value
 
 
-_hashes = _WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _ODD[0]
     h = (h ^ (h >> np.uint64(29))) * _ODD[1]
@@ -73,9 +70,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; words are between ASCII white space, A-Z lower-cased."""
     words = text.lower().split()
-    if len(_hashes) > WORDS_CACHED:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = kept_in_worker("word hashes", _WordHash)
+    if len(hashes) > WORDS_CACHED:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     size = min(k, len(h))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import scratch, slices, table, texts_of
+from quillgraph.llm.common import kept_in_worker, scratch, slices, table, texts_of
 
 #: About so many documents train the dictionary, chosen by a hash of their key.
 DICTIONARY_DOCS = 600
@@ -47,7 +47,7 @@ LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
 #: Pieces of text whose ids a worker remembers.
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 700_000
 #: New pieces in one text for the library.
 RUN = 64
 
@@ -178,13 +178,8 @@ class Encoder:
         return np.split(out, done[stops[:-1] - 1]) if texts else []
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_in_worker(f"encoder {path}", lambda: Encoder(path))
 
 
 def _serialized(tool: Encoder, texts: list[str], end_id: int) -> list[bytes]:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import slices, table, texts_of
+from quillgraph.llm.common import kept_in_worker, slices, table, texts_of
 
 #: Compiled states kept by a worker (about 1 KB each); a slice may add to them before they go.
 MAX_STATES = 3 << 16
@@ -327,14 +327,9 @@ class TokenCounter:
         return total
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
-    """The worker's counter for a vocabulary file; compiled once."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
+    """The worker's counter for a vocabulary file."""
+    return kept_in_worker(f"counter {path}", lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
