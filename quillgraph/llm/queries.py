@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.decontaminate import op7_decontaminate
+from quillgraph.llm.lm_scoring import op2_lm_scoring
 from quillgraph.llm.mixing import op8_mixing
 from quillgraph.llm.ngram_join import op9_ngram_join
 from quillgraph.llm.preference import PREFERENCE_SQL, op3_preference
@@ -20,6 +21,7 @@ from quillgraph.llm.topk_search import TOPK_SQL, op10_topk_search
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_preference": op3_preference,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
