@@ -43,7 +43,9 @@ FREQUENT = 48
 FREQUENT_KEPT = 1 << 18
 #: Lists of up to so many groups give their pairs directly; longer ones in blocks of this size.
 SHORT_LIST = 64
-BLOCK = 512
+BLOCK = 256
+#: Columns of an incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Leaves that are verified against one copy of their first member's set.
 LEAVES = 256
 LEAST_BITS, MOST_BITS = 256, 8192
@@ -212,13 +214,8 @@ def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
     return joined.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (u: the leaf, v: the first member), checked on whole sets.
-
-    ``sets``: id, set, doc. The rows of a first member with many leaves are salted.
-    """
-    pairs = saved(pairs.distinct(), "pairs")
-    wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id", "set", "doc"), "id"), "wanted")
+def _whole_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(set, data): whole sets of at least the wanted rows (id, set, doc), read from the texts again."""
     bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
     # A Bloom filter of fixed size picks the texts to read; a text more does no harm.
     bitmap = wanted.groupBy(F.shiftright(bit, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(1 << 15))).alias("bits"))
@@ -240,7 +237,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text
         for _, found in _sets(kept(), text, k):
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "data"])
 
-    whole = docs.select(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("bit"), text).mapInArrow(read, "set binary, data binary")
+    return docs.select(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("bit"), text).mapInArrow(read, "set binary, data binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (u: the leaf, v: the first member), checked on whole sets.
+
+    ``sets``: id, set, doc. The rows of a first member with many leaves are salted.
+    """
+    pairs = saved(pairs.distinct(), "pairs")
+    wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id", "set", "doc"), "id"), "wanted")
+    whole = _whole_sets(wanted, docs, key, text, k)
     stars = saved(pairs.groupBy("v").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("salts")), "hubs")
     leaves = pairs.join(stars, "v").select(F.col("u").alias("id"), "v", F.pmod(F.xxhash64("u"), "salts").cast("int").alias("salt"), F.lit(1).alias("leaf"))
     hubs = stars.select(F.col("v").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("leaf"))
@@ -265,30 +272,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text
     return saved(together.mapInArrow(check, "u long, v long").distinct(), "verified")
 
 
-def _long_list_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs within long lists that pass the filters, from pairs of blocks.
+def _block_links(names: np.ndarray, part: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` that join components: a forest of them is enough.
 
-    ``members``: list, count, id, n, sig, part (component).
+    Overlaps come from products of incidence matrices over the members that several sets have.
+    """
+    n = np.asarray([len(s) for s in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    row = np.repeat(np.arange(len(sets)), n)
+    both = np.zeros((len(left), len(right)), np.float32)
+    at = column[inverse]
+    for a in range(0, len(shared), COLUMNS):
+        here = (at >= a) & (at < a + COLUMNS)
+        part_of = np.zeros((len(sets), min(COLUMNS, len(shared) - a)), np.float32)
+        part_of[row[here], at[here] - a] = 1
+        both += part_of[left] @ part_of[right].T
+    linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+    label = np.unique(part, return_inverse=True)[1]
+    out = []
+    for i, links in zip(left, linked, strict=True):
+        for j in right[links & (label[right] != label[i])]:
+            if label[j] != label[i]:
+                out.append((int(names[i]), int(names[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _long_list_links(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links within long lists, from pairs of blocks.
+
+    ``members``: list, count, id, part (component), data (whole set).
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    dealt = dealt.select("list", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "part", "own", "data")
 
     def compare(block: pa.Table) -> pa.Table:
-        ids, n, own, part = (block.column(c).to_numpy() for c in ("id", "n", "own", "part"))
-        n = n.astype(np.int64)
-        signatures = _Signatures(block.column("sig").to_pylist())
+        ids, own, part = (block.column(c).to_numpy() for c in ("id", "own", "part"))
         a, b = int(block.column("a")[0].as_py()), int(block.column("b")[0].as_py())
-        out = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(own == a):
-            near = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (part != part[i])
-            j = np.flatnonzero(near & (own == b) & ((np.arange(len(n)) > i) | (a != b)))
-            if len(j):
-                j = j[_bound(n[i], n[j], signatures.least_difference(np.full(len(j), i), j), percent)]
-                out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
-        pairs = np.concatenate(out)
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+        links: list = []
+        if len(np.unique(part)) > 1:
+            sets = [np.frombuffer(x, np.uint64) for x in block.column("data").to_pylist()]
+            links = _block_links(ids, part, sets, np.flatnonzero(own == a), np.flatnonzero(own == b), percent)
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
     return dealt.groupBy("list", "a", "b").applyInArrow(compare, "u long, v long")
 
@@ -333,8 +363,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     short = unsettled.where(F.col("count") <= SHORT_LIST)
     direct = short.alias("x").join(short.alias("y"), "list").where(f"x.id > y.id AND x.part <> y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     direct = direct.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    long = unsettled.where(F.col("count") > SHORT_LIST).join(signatures.select("id", "sig"), "id")
-    more = verify(direct.union(_long_list_pairs(long, percent)))
+    more = verify(direct)
+    long = saved(unsettled.where(F.col("count") > SHORT_LIST), "long-lists")
+    if not long.isEmpty():
+        wanted = long.select("id").distinct().join(sets.select("id", "set", "doc"), "id")
+        data = saved(_whole_sets(wanted, docs, key, text, k).dropDuplicates(["set"]).join(wanted, "set").select("id", "data"), "long-sets")
+        more = more.union(saved(_long_list_links(long.join(data.hint("merge"), "id"), percent), "list-links"))
     part = components(links.union(more)).toDF("id", "part")
 
     named = sets.join(part, "id", "left").select("id", "doc", F.coalesce("part", "id").alias("part"))
