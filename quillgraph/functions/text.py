@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 NUMBER_WORDS = {
@@ -88,7 +89,7 @@ def act_numbers(c: Column | str) -> Column:
     return F.struct(part(1).alias("act_number"), part(2).alias("act_year"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility composition, which Spark has no function for."""
     for x in parts:
