@@ -56,7 +56,7 @@ def kept_in_worker(name: str, build: Callable[[], object]) -> object:
     return _kept[name]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return memory that allocators hold after a task: workers live on, beside those of other operators."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -78,7 +78,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], n], strict=True):
             yield batch.slice(a, b - a)
-    _give_back()
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
