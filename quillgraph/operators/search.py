@@ -64,7 +64,8 @@ def fulltext_lookup(docs: DataFrame, queries: DataFrame, limit: int = 3, k1: flo
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     total = scored.withColumn("weight", weight).join(asked, "term").groupBy("qid", "element_id").agg(F.sum("weight").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "element_id"))
+    # sums differ in their last digits with the order of terms; ties are told by 9 decimals
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "element_id"))
     return total.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 
 

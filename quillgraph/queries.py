@@ -44,13 +44,13 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # -- vector and full-text search ----------------------------------------------
 
-_ASKED = 5  # queries are the vectors with the first ids
+_ASKED = 20  # queries are the vectors whose id it divides, against all
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = _t(spark, sf, "embeddings")
     nodes = rows.select(F.col("vec_id").alias("element_id"), F.concat(F.lit("index_"), "label").alias("index"), "embedding")
-    return nodes, rows.where(F.col("vec_id") < _ASKED).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return nodes, rows.where(F.col("vec_id") % _ASKED == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
 def _index_settings(spark: SparkSession) -> DataFrame:
@@ -61,7 +61,7 @@ _VECTOR_SQL = f"""
 WITH s AS (SELECT q.vec_id AS qid, n.vec_id AS element_id, 'index_' || n.label AS index,
              (1 + list_sum(list_transform(list_zip(n.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
               / sqrt(list_sum(list_transform(n.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) / 2 AS score, n.label AS l
-           FROM embeddings n CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < {_ASKED}) q),
+           FROM embeddings n CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % {_ASKED} = 0) q),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid, index ORDER BY score DESC, element_id) AS rank FROM s),
 m AS (SELECT qid, element_id, index, 'vector:' || index AS source, score FROM r
       WHERE rank <= CASE WHEN l < 8 THEN 1 + l % 3 ELSE 3 END AND (l >= 8 OR score >= 0.45 + 0.02 * l))
@@ -86,17 +86,17 @@ def context_top10(spark: SparkSession, sf: str) -> DataFrame:
 @registered("""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z]+') AS w FROM documents),
 c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
-q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')[1:6])) AS term FROM benchmark),
+q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+'))) AS term FROM benchmark),
 p AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w),
 tf AS (SELECT doc_id, size, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT qid, doc_id AS element_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score
       FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN c GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, element_id) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, element_id) AS n FROM s)
 SELECT qid, element_id, round(score, 4) AS score FROM r WHERE n <= 3""")
 def fulltext_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), "text")
-    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.slice(search.tokens("text"), 1, 6).alias("terms"))
+    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), search.tokens("text").alias("terms"))
     return search.fulltext_lookup(docs, asked).withColumn("score", F.round("score", 4))
 
 
@@ -244,19 +244,21 @@ def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return graph.upsert_edges(edges, nodes).select("type", "src_id", "dst_id", "seq", F.col("props")["flag"].alias("flag"))
 
 
-@registered("SELECT CAST(o_orderkey AS VARCHAR) AS src_id, CAST(o_custkey AS VARCHAR) AS dst_id FROM orders ANTI JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey")
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS src_id, CAST(o_custkey AS VARCHAR) AS dst_id FROM orders ANTI JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o_custkey = c_custkey")
 def dangling_edges(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf)
-    nodes = nodes.where("label <> 'Customer' OR cast(node_id AS bigint) % 3 <> 0")
+    """Orders whose customer isn't among the nodes: here, those in debt."""
+    _, edges = _graph(spark, sf)
+    nodes = _t(spark, sf, "customer").where("c_acctbal >= 0").select(F.lit("Customer").alias("label"), F.col("c_custkey").cast("string").alias("node_id"))
+    nodes = nodes.union(_t(spark, sf, "orders").select(F.lit("Order"), F.col("o_orderkey").cast("string")))
     return graph.dangling(edges.where("type = 'PLACED_BY'"), nodes).select("src_id", "dst_id")
 
 
-@registered("SELECT CAST(c_custkey AS VARCHAR) AS id_0, CAST(c_nationkey AS VARCHAR) AS id_1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <= 100 ORDER BY 1, 2 LIMIT 10")
+@registered("SELECT CAST(c_custkey AS VARCHAR) AS id_0, CAST(c_nationkey AS VARCHAR) AS id_1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' ORDER BY 1, 2 LIMIT 10")
 def one_hop(spark: SparkSession, sf: str) -> DataFrame:
     from quillgraph.plans.patterns import Pattern, match
 
     nodes, edges = _graph(spark, sf)
-    start = _t(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_custkey").cast("string").alias("element_id"))
+    start = _t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("element_id"))
     return match(Pattern((("Customer", "IN_NATION", "Nation"),)), nodes, edges, start)
 
 
@@ -306,15 +308,15 @@ def label_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("""
 WITH k AS (SELECT l_orderkey AS qid, p_partkey AS element_id, 'key' AS source, 1 AS tier FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size = l_linenumber + 20),
-b AS (SELECT DISTINCT l_orderkey AS qid, p_partkey AS element_id, 'name' AS source, 2 AS tier FROM lineitem JOIN part ON lower(p_brand) = 'brand#' || (l_suppkey % 5 + 1) || (l_linenumber % 5 + 1) WHERE p_partkey % 50 = 0),
+b AS (SELECT DISTINCT l_orderkey AS qid, s_suppkey AS element_id, 'name' AS source, 2 AS tier FROM lineitem JOIN supplier ON lower(s_name) = 'supplier#' || lpad(CAST(l_suppkey * 3 AS VARCHAR), 9, '0')),
 u AS (SELECT DISTINCT * FROM k UNION ALL SELECT * FROM b)
 SELECT qid, element_id, source, tier FROM u QUALIFY tier = min(tier) OVER (PARTITION BY qid)""")
 def tiered_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items ask for a part by key and size, and else for one by brand."""
+    """Orders ask for parts by key and size, and else for suppliers by name."""
     lines, part = _t(spark, sf, "lineitem"), _t(spark, sf, "part")
     keyed = search.key_lookup(part.select(F.col("p_partkey").alias("element_id"), F.col("p_partkey").alias("part"), F.col("p_size").alias("size")), lines.select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("part"), (F.col("l_linenumber") + 20).alias("size")), ["part", "size"], "key")
-    brand = F.concat(F.lit("Brand#"), F.col("l_suppkey") % 5 + 1, F.col("l_linenumber") % 5 + 1)
-    named = search.property_lookup(part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("element_id"), "p_brand"), lines.select(F.col("l_orderkey").alias("qid"), text.lookup_candidates(brand, "brand").alias("candidates")), "p_brand", "name")
+    name = F.concat(F.lit("Supplier#"), F.lpad((F.col("l_suppkey") * 3).cast("string"), 9, "0"))
+    named = search.property_lookup(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("element_id"), "s_name"), lines.select(F.col("l_orderkey").alias("qid"), text.lookup_candidates(name, "s_name").alias("candidates")), "s_name", "name")
     return search.tiered(keyed, named)
 
 
