@@ -331,10 +331,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     docs = docs.select(key, text)
     member = saved(_membership(docs, key, text, k, percent), "membership")
     filled = member.where("n > 0")
-    # The first row with a set stands for it; sets with the same size and prefix have a head.
-    firsts = filled.groupBy("set").agg(F.min("row").alias("id"))
+    # The first row with a set stands for it, with the least key of all its rows; sets with the same size and prefix have a head.
+    firsts = filled.groupBy("set").agg(F.min("row").alias("id"), F.min(key).alias("doc"))
     placed = saved(filled.select(key, "n", "set", "prefix_key", "row").join(firsts, "set"), "placed")
-    sets = placed.where("id = row").select("id", "set", F.col(key).alias("doc"), "n", "prefix_key")
+    sets = placed.where("id = row").select("id", "set", "doc", "n", "prefix_key")
     heads = sets.groupBy("n", "prefix_key").agg(F.min("id").alias("head"))
     sets = saved(sets.join(heads, ["n", "prefix_key"]).drop("prefix_key"), "sets")
     signatures = member.select(F.col("row").alias("id"), "n", "sig")

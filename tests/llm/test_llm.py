@@ -350,6 +350,21 @@ def test_near_duplicates_match_brute_force(spark, documents, monkeypatch, short,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows, 4, 85)
 
 
+def test_classes_have_their_least_key_in_any_row_order(spark, documents, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [*zip(documents["doc_id"].tolist()[:40], documents["text"].tolist()[:40], strict=True)]
+    rows += [(7000 - i, " ".join(base)) for i in range(9)]
+    rows += [(8000 - i, " ".join([*base[:20], "changed", *base[21:]])) for i in range(9)]
+    rows += [(6000, " ".join([*base[:20], "changed", *base[21:]])), (9000, "two words"), (3001, "two words")]
+    order = np.random.default_rng(3).permutation(len(rows) - 3).tolist()
+    for i, part in enumerate((order[:5], order[5:45], [*order[45:], *range(len(rows) - 3, len(rows))])):
+        some = spark.createDataFrame([rows[j] for j in part], "doc_id long, text string")
+        some.coalesce(1).write.parquet(str(tmp_path / f"shuffled/part={i}"))
+    shuffled = spark.read.parquet(str(tmp_path / "shuffled")).select("doc_id", "text")
+    got = ngram_join.near_duplicates(shuffled, k=4, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows, 4, 85)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
