@@ -8,11 +8,11 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, labelled, mixing, ngram_join, quality, token_archive
-from quillgraph.llm.common import saved, table
+from quillgraph.llm.common import joinable, saved, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -27,13 +27,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies (five words, 0.8); rows that repeat it go too.
+    """One row of each class of near copies (five words, 0.8): the least id, then text hash, then the other columns.
 
-    Documents without words are linked with nothing and stay.
+    A null id comes last. Documents without words are linked with nothing and stay, repeated rows of them too.
     """
-    classes = ngram_join.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    classes = ngram_join.near_duplicates(docs, located=True)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    best = classes.where("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("at")).select("at.doc_id", "at.text_hash", F.lit(False).alias("every"))
+    bare = classes.where("part IS NULL").select("doc_id", "text_hash", F.lit(True).alias("every"))
+    kept = best.union(bare).distinct().select(*(e.alias(f"at{i}") for i, e in enumerate(joinable("doc_id"))), "text_hash", "every")
+    marks = ["at0", "at1", "text_hash"]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.select("*", *(e.alias(f"at{i}") for i, e in enumerate(joinable("doc_id"))), F.xxhash64("text").alias("text_hash"))
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*marks).orderBy(*(rest or marks))))
+    return marked.join(kept.hint("merge"), marks).where("every OR nth = 1").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

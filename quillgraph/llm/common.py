@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes inside a task, so that
 #: word lists and work arrays stay small whatever the Arrow batch size is.
@@ -45,6 +46,11 @@ def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joinable(*columns: str) -> list[Column]:
+    """Expressions that are equal where the columns are, nulls too, and never null: windows and joins on them share one shuffle."""
+    return [e for c in columns for e in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
+
+
 _kept: dict[str, object] = {}
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import saved, slices, table
+from quillgraph.llm.common import joinable, saved, slices, table
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 14
@@ -165,7 +165,7 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """The mix as rows like those of ``docs``: a text's pieces that are taken once, and again those taken twice.
 
     Neighbouring pieces stay as they stand in the text; others are joined by a line end. ``length`` is a
-    column that holds the number of characters. Rows with equal key and text are one here.
+    column that holds the number of characters. Repeated rows have their own pieces each.
     """
     import re
 
@@ -173,10 +173,15 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows, _, pieces = mix(docs, key, text, source, **how)
     piece = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), F.col("times").cast("int").alias("times"))
     listed = pieces.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    by_text = rows.select("row", F.col(key).alias("k"), F.col("text_hash").alias("h")).join(listed.hint("merge"), "row")
-    by_text = by_text.groupBy("k", "h").agg(F.min_by("pieces", "row").alias("pieces"))
-    joined = docs.join(by_text.hint("merge"), docs[key].eqNullSafe(by_text["k"]) & (F.xxhash64(docs[text]) == by_text["h"]))
-    joined = joined.select(*(docs[c] for c in names), "pieces")
+    # Rows with equal key, source and text are told apart by their number, so that each has its own pieces.
+    marks = ["at0", "at1", "at2", "at3", "text_hash"]
+    at = [e.alias(m) for m, e in zip(marks, joinable(key, source), strict=False)]
+    nth = F.row_number().over(Window.partitionBy(*marks).orderBy("row"))
+    by_row = rows.select("row", *at, "text_hash").withColumn("nth", nth).join(listed.hint("merge"), "row").drop("row")
+    rest = [c for c in names if c not in (key, source, text)]
+    marked = docs.select("*", *at, F.xxhash64(text).alias("text_hash"))
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*marks).orderBy(*(rest or marks))))
+    joined = marked.join(by_row.hint("merge"), [*marks, "nth"]).select(*names, "pieces")
     word = re.compile(WORDS.encode())
 
     def copies(raw: bytes, pieces: list) -> Iterator[str]:

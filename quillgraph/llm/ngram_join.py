@@ -158,7 +158,8 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _membership(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per document: key, n, its set's key and signature, its prefix and the prefix's key."""
+    """Per document: key, n, its set's key and signature, its prefix and the prefix's key, and text_hash if ``docs`` has it."""
+    others = [c for c in docs.columns if c == "text_hash"]
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, k))  # FREQUENT_KEPT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +183,13 @@ def _membership(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
                     pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([_set_key(p) if len(p) else None for p in prefixes], pa.binary()),
                     pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64())),
+                    *(batch.column(c) for c in others),
                 ],
-                [key, "n", "set", "sig", "prefix_key", "prefix"],
+                [key, "n", "set", "sig", "prefix_key", "prefix", *others],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(key, text).mapInArrow(run, f"{key} {kind}, n int, set binary, sig binary, prefix_key binary, prefix array<long>")
+    made = docs.mapInArrow(run, f"{key} {kind}, n int, set binary, sig binary, prefix_key binary, prefix array<long>" + ", text_hash long" * len(others))
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -323,17 +325,19 @@ def _long_list_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("list", "a", "b").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, located: bool = False) -> DataFrame:
     """Per row: key, n_shingles and component_id, the least key reachable over links.
 
-    Two documents link if 100 * intersection >= percent * union of their shingle sets.
+    Two documents link if 100 * intersection >= percent * union of their shingle sets. ``located`` adds
+    text_hash and part, the class's number (null without words): keys may repeat or be null, parts don't.
     """
     docs = docs.select(key, text)
-    member = saved(_membership(docs, key, text, k, percent), "membership")
+    member = saved(_membership(docs.withColumn("text_hash", F.xxhash64(text)) if located else docs, key, text, k, percent), "membership")
+    more_columns = ["text_hash"] if located else []
     filled = member.where("n > 0")
     # The first row with a set stands for it, with the least key of all its rows; sets with the same size and prefix have a head.
     firsts = filled.groupBy("set").agg(F.min("row").alias("id"), F.min(key).alias("doc"))
-    placed = saved(filled.select(key, "n", "set", "prefix_key", "row").join(firsts, "set"), "placed")
+    placed = saved(filled.select(key, "n", "set", "prefix_key", "row", *more_columns).join(firsts, "set"), "placed")
     sets = placed.where("id = row").select("id", "set", "doc", "n", "prefix_key")
     heads = sets.groupBy("n", "prefix_key").agg(F.min("id").alias("head"))
     sets = saved(sets.join(heads, ["n", "prefix_key"]).drop("prefix_key"), "sets")
@@ -373,9 +377,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     named = sets.join(part, "id", "left").select("id", "doc", F.coalesce("part", "id").alias("part"))
     least = named.groupBy("part").agg(F.min("doc").alias("component"))
-    named = named.join(least, "part").select("id", "component")
-    found = placed.join(named, "id").select(key, F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
-    bare = member.where("n = 0").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).alias("component_id"))
+    named = named.join(least, "part").select("id", "component", "part")
+    found = placed.join(named, "id").select(key, F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), *more_columns, *["part"] * located)
+    bare = member.where("n = 0").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).alias("component_id"), *more_columns, *[F.lit(None).cast("long").alias("part")] * located)
     return found.union(bare)
 
 

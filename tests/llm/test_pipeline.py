@@ -34,3 +34,27 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         docs = saved(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_one_row_of_each_class_and_own_pieces_for_repeats(spark):
+    a, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))
+    other, third = " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(5, a), (5, a), (None, a), (9, near), (None, third), (None, third), (None, third + " x"), (5, other), (3, other), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(5, a), (0, min(third, third + " x", key=lambda x: spark.range(1).selectExpr(f"xxhash64('{x}')").first()[0])), (3, other), (7, ""), (7, ""), (8, "")])
+
+
+def test_repeated_rows_have_their_own_pieces(spark):
+    from quillgraph.llm import mixing
+
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text, "a")] * 7 + [(1, text, "b")] * 5 + [(1, text, None)] * 3 + [(2, "other words here", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, _, pieces = mixing.mix(docs, block=8)
+    numbered = mixing.mix(docs, block=8)[0].select("row", "source")
+    taken = {r[0]: r[1] for r in pieces.join(numbered, "row").selectExpr("source", "(last - first) * times AS n").groupBy("source").sum("n").collect()}
+    mixed = mixing.mixed_texts(docs, block=8).collect()
+    words = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in ("a", "b", None)}
+    assert words == taken
