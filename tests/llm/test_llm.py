@@ -115,6 +115,21 @@ def test_word_probabilities_sum_to_at_most_one(spark):
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_every_kept_key_is_found_and_each_context_sums_to_one():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 60, 50_000))
+    held = lm_scoring.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.float32))
+    assert (held.get(keys) == np.arange(1, len(keys) + 1)).all() and (held.get(keys + 1)[~np.isin(keys + 1, keys)] == 0).all()
+    tool = lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    following = np.append(np.flatnonzero(~tool.begins[: tool.n]), tool.word_end)
+    pairs = np.unique((rng.integers(0, 300, 20_000) << 20) + rng.choice(following, 20_000))
+    triples = np.unique((rng.integers(0, 40, 20_000) << 40) + (rng.integers(0, 300, 20_000) << 20) + rng.choice(following, 20_000))
+    counts = lm_scoring.CountModel(tool, np.ones(50256), (pairs, rng.integers(1, 50, len(pairs))), (triples, rng.integers(1, 50, len(triples))))
+    for a, b in zip(rng.integers(0, 40, 40).tolist(), rng.integers(0, 300, 40).tolist(), strict=True):
+        total = counts(np.full(len(following), a), np.full(len(following), b), following).astype(float).sum()
+        assert total == pytest.approx(1, abs=1e-3)
+
+
 def test_scores_do_not_depend_on_neighbours_and_gradients_are_right(spark):
     weights = {"first": (lm_scoring.INPUTS, 16), "last": (lm_scoring.INPUTS, 16), "qkv": (16, 48), "near": (32,), "own": (16, 16), "seen": (16, 16), "hidden": (16,), "out": (16, lm_scoring.CLASSES), "bias": (lm_scoring.CLASSES,)}
     rng = np.random.default_rng(1)
