@@ -311,7 +311,8 @@ def read_archive(spark: SparkSession, path: str, keys: list[int] | None = None,
         wanted = sorted(keys)
         hit = F.lit(False)
         for k in wanted:
-            hit = hit | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
+            # null keys come first in a block
+            hit = hit | ((F.col("first_key").isNull() | (F.col("first_key") <= k)) & (F.col("last_key") >= k))
         blocks = blocks.where(hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,6 +237,17 @@ def test_archive_round_trip(spark, odd, empty, library, documents, tmp_path):
     assert token_archive.archived(empty, BPE).count() == 0
 
 
+def test_keys_are_found_beside_a_null_key(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "no id"), (1, "one"), (2, "two"), (3, "three")], "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "archive")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_archive.write_archive(docs, path, BPE)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(r.doc_id for r in token_archive.read_archive(spark, path, keys=[1, 3]).collect()) == [1, 3]
+
+
 def test_cached_pieces_change_nothing(library, documents, monkeypatch):
     monkeypatch.setattr(token_archive, "CACHED_PIECES", 50)
     encoder = token_archive.Encoder(BPE)
