@@ -74,7 +74,10 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_i
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with its last answer taken from its neighbour (ids 2i and 2i + 1)."""
+    """Each conversation against itself with its last answer taken from its neighbour (ids 2i and 2i + 1).
+
+    A conversation without an answer gives no row, nor does one whose neighbour is absent or has no answer; ``PREFERENCE_SQL`` has the same rule.
+    """
     convs = listed(table(spark, sf_dir, "conversations"), "conv_id", "chosen")
     answers = F.filter("chosen", lambda t: t["role"] == "assistant")
     convs = convs.withColumn("answers", answers).where(F.size("answers") > 0)
