@@ -38,16 +38,16 @@ from quillgraph.llm.common import kept_in_worker, scratch, slices, table, texts_
 
 #: About so many documents train the dictionary, chosen by a hash of their key.
 DICTIONARY_DOCS = 600
-#: Of each, so many bytes of serialized ids at most.
-DICTIONARY_DOC_BYTES = 1 << 15
+#: A longer one gives so many bytes of serialized ids, in slices evenly spread over all of it.
+DICTIONARY_DOC_BYTES, DICTIONARY_SLICES = 1 << 15, 8
 DICTIONARY_BYTES = 1 << 16
 #: A block closes when it holds so many serialized bytes.
 BLOCK_BYTES = 1 << 21
 LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
-#: Pieces of text whose ids a worker remembers.
-CACHED_PIECES = 1_500_000
+#: Pieces of text whose ids a worker remembers: some 100 MB with their ids.
+CACHED_PIECES = 250_000
 #: New pieces in one text for the library.
 RUN = 64
 
@@ -187,8 +187,17 @@ def _serialized(tool: Encoder, texts: list[str], end_id: int) -> list[bytes]:
     return [ids.tobytes() + end for ids in tool.encode(texts)]
 
 
+def _spread(raw: bytes) -> bytes:
+    """The whole of a short document; evenly spread slices of a long one."""
+    if len(raw) <= DICTIONARY_DOC_BYTES:
+        return raw
+    size = DICTIONARY_DOC_BYTES // DICTIONARY_SLICES
+    starts = np.linspace(0, (len(raw) - size) // 4, DICTIONARY_SLICES).astype(np.int64) * 4
+    return b"".join(raw[a : a + size] for a in starts.tolist())
+
+
 def train_dictionary(docs: DataFrame, vocabulary: str, text: str, key: str, end_id: int) -> bytes:
-    """A dictionary from a bounded, key-hashed sample of serialized documents."""
+    """A dictionary from a bounded sample of serialized documents, chosen by a hash of key and text (null keys too)."""
     import zstandard
 
     n = docs.count()
@@ -196,9 +205,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, text: str, key: str, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array([x[:DICTIONARY_DOC_BYTES] for x in _serialized(encoder(vocabulary), texts_of(batch, text), end_id)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_spread(x) for x in _serialized(encoder(vocabulary), texts_of(batch, text), end_id)], pa.binary())], ["ids"])
 
-    chosen = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(text)
+    chosen = docs.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(text)
     samples = [bytes(r.ids) for r in chosen.mapInArrow(run, "ids binary").limit(4 * DICTIONARY_DOCS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(samples)).as_bytes()
@@ -286,7 +295,9 @@ def write_archive(docs: DataFrame, path: str, vocabulary: str, text: str = "text
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+    # Rows of one key are ordered by a hash of their text, so that ranges split a key that very many rows have.
+    order = [F.col(key).asc_nulls_first(), F.col("text_hash")]
+    ordered = docs.withColumn("text_hash", F.xxhash64(text)).repartitionByRange(parts, *order).sortWithinPartitions(*order, text).drop("text_hash")
     ordered.mapInArrow(run, ARCHIVE_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     return digest
 
