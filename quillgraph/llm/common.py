@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset, as in local
-    tests, a temporary folder takes its place.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its
+    place in local mode, as in tests; on a cluster each executor would write to its own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillgraph/{label}-{uuid.uuid4().hex}"
@@ -43,7 +45,17 @@ def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def joinable(*columns: str) -> list[Column]:

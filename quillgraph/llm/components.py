@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import saved
+from quillgraph.llm.common import dropped, saved
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     e = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     known = None
     while True:
-        e = saved(_small_star(_large_star(e)), "stars")
+        before, e = e, saved(_small_star(_large_star(e)), "stars")
+        dropped(before)
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == known or not mark[0]:
             return e

@@ -13,8 +13,9 @@ prefix) and be of similar size.
    parity bitmap (a proven upper bound of the overlap), and the rest verified on the whole
    sets. Verified links give components.
 3. Then pairs are left out only if both sides are already in one component. Short lists
-   give their pairs directly; long lists are cut into blocks, and pairs of blocks are
-   compared in separate tasks, which emit only what passes both filters.
+   give their pairs directly, filtered by the places of the first shingle they share; long lists are
+   cut into blocks, and pairs of blocks are compared in separate tasks, which emit a forest of
+   verified links. Long lists of one first group are merged where that makes fewer rows.
 
 So no link is lost, and a group of copies of any size costs a linear number of rows.
 
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import kept_in_worker, saved, slices, table
+from quillgraph.llm.common import dropped, kept_in_worker, saved, slices, table
 from quillgraph.llm.components import components
 
 #: A shingle found in so many documents is put last in the order ...
@@ -271,7 +272,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text
 
     # The rows of (v, salt) lie together, the first member's set before its leaves.
     together = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "leaf")
-    return saved(together.mapInArrow(check, "u long, v long").distinct(), "verified")
+    links = saved(together.mapInArrow(check, "u long, v long").distinct(), "verified")
+    dropped(pairs, wanted, stars)
+    return links
 
 
 def _block_links(names: np.ndarray, part: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -303,6 +306,20 @@ def _block_links(names: np.ndarray, part: np.ndarray, sets: list[np.ndarray], le
     return out
 
 
+def _merged(long: DataFrame) -> DataFrame:
+    """Long lists (list, first, count, id, part), those with the same first group as one if that makes fewer rows for blocks.
+
+    A family of copies has many lists with nearly the same members; merged, each pair is compared once.
+    """
+    cost = "count * ceil(count / {b})".format(b=BLOCK)
+    apart = long.groupBy("first", "list").agg(F.first("count").alias("count")).groupBy("first").agg(F.sum(F.expr(cost)).alias("apart"))
+    union = long.select("first", "id", "part").distinct()
+    merged = union.groupBy("first").agg(F.count("*").alias("count")).join(apart, "first").withColumn("better", F.expr(f"{cost} < apart"))
+    whole = union.join(merged.where("better").select("first", "count"), "first").select(F.xxhash64(F.lit("merged"), "first").alias("list"), "count", "id", "part")
+    rest = long.join(merged.where("NOT better").select("first"), "first").select("list", "count", "id", "part")
+    return whole.union(rest)
+
+
 def _long_list_links(members: DataFrame, percent: int) -> DataFrame:
     """Verified links within long lists, from pairs of blocks.
 
@@ -341,12 +358,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = placed.where("id = row").select("id", "set", "doc", "n", "prefix_key")
     heads = sets.groupBy("n", "prefix_key").agg(F.min("id").alias("head"))
     sets = saved(sets.join(heads, ["n", "prefix_key"]).drop("prefix_key"), "sets")
-    signatures = member.select(F.col("row").alias("id"), "n", "sig")
     prefixes = member.select(F.col("row").alias("head"), "prefix").join(sets.select("head").distinct(), "head")
     by_list = Window.partitionBy("list")
-    lists = prefixes.select(F.explode("prefix").alias("list"), "head")
+    lists = prefixes.select(F.posexplode("prefix").alias("pos", "list"), "head")
     lists = lists.select("*", F.count("*").over(by_list).alias("count"), F.min("head").over(by_list).alias("first")).where("count > 1")
     lists = saved(lists, "lists")
+    bare = saved(member.where("n = 0").select(key, *more_columns), "bare")
+    signatures = saved(member.select(F.col("row").alias("id"), "n", "sig").join(sets.select("id"), "id", "left_semi"), "signatures")
+    dropped(member)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(_filtered(pairs, signatures, percent), docs, sets, key, text, k, percent)
@@ -360,26 +379,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # What isn't settled: groups with members in several components, lists with groups in several.
     settled = saved(sets.join(part, "id", "left").select("id", "head", "n", F.coalesce("part", "id").alias("part")), "settled")
     spread = settled.groupBy("head").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    inside = spread.where("lo < hi").select(F.lit(True).alias("group"), F.col("head").alias("list"), "head", F.col("size").alias("count"))
+    inside = spread.where("lo < hi").select(F.lit(True).alias("group"), F.col("head").alias("list"), "head", F.col("size").alias("count"), F.col("head").alias("first"), F.lit(0).alias("pos"))
     open_lists = lists.join(spread, "head").groupBy("list").agg(F.sum("size").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    across = lists.select("list", "head").join(open_lists.select("list", "count"), "list").select(F.lit(False).alias("group"), "list", "head", "count")
-    unsettled = saved(inside.union(across).withColumn("list", F.xxhash64("group", "list")).join(settled, "head").select("list", "count", "id", "n", "part"), "unsettled")
-    short = unsettled.where(F.col("count") <= SHORT_LIST)
+    across = lists.select("list", "head", "first", "pos").join(open_lists.select("list", "count"), "list").select(F.lit(False).alias("group"), "list", "head", "count", "first", "pos")
+    unsettled = inside.union(across).withColumn("list", F.xxhash64("group", "list")).join(settled, "head")
+    unsettled = saved(unsettled.select("list", "count", "first", "pos", "id", "n", "part"), "unsettled")
+    dropped(lists)
+    short = unsettled.where(F.col("count") <= SHORT_LIST).drop("first")
     direct = short.alias("x").join(short.alias("y"), "list").where(f"x.id > y.id AND x.part <> y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    direct = direct.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    more = verify(direct)
-    long = saved(unsettled.where(F.col("count") > SHORT_LIST), "long-lists")
+    # Members are in one order, so what two sets share begins at the first shingle shared, and fits in what is left of either.
+    at = direct.groupBy(F.col("x.id").alias("u"), F.col("y.id").alias("v")).agg(F.min(F.struct("x.pos", F.col("y.pos").alias("other"), "x.n", F.col("y.n").alias("m"))).alias("at"))
+    near = at.where(f"{100 + percent} * least(at.n - at.pos, at.m - at.other) >= {percent} * (at.n + at.m)")
+    more = verify(near.select("u", "v"))
+    long = saved(_merged(unsettled.where(F.col("count") > SHORT_LIST).select("list", "first", "count", "id", "part")), "long-lists")
+    dropped(unsettled, signatures)
     if not long.isEmpty():
         wanted = long.select("id").distinct().join(sets.select("id", "set", "doc"), "id")
         data = saved(_whole_sets(wanted, docs, key, text, k).dropDuplicates(["set"]).join(wanted, "set").select("id", "data"), "long-sets")
-        more = more.union(saved(_long_list_links(long.join(data.hint("merge"), "id"), percent), "list-links"))
+        across = saved(_long_list_links(long.join(data.hint("merge"), "id"), percent), "list-links")
+        dropped(data)
+        more = more.union(across)
     part = components(links.union(more)).toDF("id", "part")
+    dropped(long, settled)
 
     named = sets.join(part, "id", "left").select("id", "doc", F.coalesce("part", "id").alias("part"))
     least = named.groupBy("part").agg(F.min("doc").alias("component"))
     named = named.join(least, "part").select("id", "component", "part")
     found = placed.join(named, "id").select(key, F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), *more_columns, *["part"] * located)
-    bare = member.where("n = 0").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).alias("component_id"), *more_columns, *[F.lit(None).cast("long").alias("part")] * located)
+    bare = bare.select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).alias("component_id"), *more_columns, *[F.lit(None).cast("long").alias("part")] * located)
     return found.union(bare)
 
 
