@@ -311,13 +311,16 @@ def _merged(long: DataFrame) -> DataFrame:
 
     A family of copies has many lists with nearly the same members; merged, each pair is compared once.
     """
-    cost = "count * ceil(count / {b})".format(b=BLOCK)
-    apart = long.groupBy("first", "list").agg(F.first("count").alias("count")).groupBy("first").agg(F.sum(F.expr(cost)).alias("apart"))
-    union = long.select("first", "id", "part").distinct()
-    merged = union.groupBy("first").agg(F.count("*").alias("count")).join(apart, "first").withColumn("better", F.expr(f"{cost} < apart"))
-    whole = union.join(merged.where("better").select("first", "count"), "first").select(F.xxhash64(F.lit("merged"), "first").alias("list"), "count", "id", "part")
-    rest = long.join(merged.where("NOT better").select("first"), "first").select("list", "count", "id", "part")
-    return whole.union(rest)
+    cost = f"{{0}} * ceil({{0}} / {BLOCK})".format
+    lists = long.select("first", "list", "count").distinct()
+    union = long.select("first", "id").distinct().groupBy("first").agg(F.count("*").alias("together"))
+    apart = lists.groupBy("first").agg(F.expr(f"sum({cost('count')})").alias("apart"))
+    # what becomes of each list, so that members meet it by list and not by first group
+    target = lists.join(apart.join(union, "first"), "first").withColumn("better", F.expr(f"{cost('together')} < apart"))
+    named = F.when(F.col("better"), F.xxhash64(F.lit("merged"), "first")).otherwise(F.col("list"))
+    target = target.select("list", named.alias("target"), F.when(F.col("better"), F.col("together")).otherwise(F.col("count")).alias("count"))
+    rows = long.select("list", "id", "part").join(target, "list")
+    return rows.select(F.col("target").alias("list"), "count", "id", "part").distinct()
 
 
 def _long_list_links(members: DataFrame, percent: int) -> DataFrame:
