@@ -37,11 +37,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/quillgraph/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def saved(df: DataFrame, label: str, partition_by: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    writer = df.write
+    writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -105,47 +105,81 @@ def test_base_scores_match_brute_force(spark, documents):
     assert np.isfinite(rows["score"]).all() and (rows["score"] < 0).all()
 
 
-def test_word_probabilities_sum_to_at_most_one(spark):
-    """Spelled out within a class, all words together can't have more than 1."""
-    counts = lm_scoring.CountModel(lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken")), np.ones(50256), (np.array([(5 << 20) + 7]), np.array([4])), (np.array([(((9 << 20) + 5) << 20) + 7]), np.array([3])))
-    tool = counts.tool
-    following = np.append(np.flatnonzero(~tool.begins[: tool.n]), tool.word_end)
-    for a, b in ((9, 5), (tool.word_start, 5), (1, 2)):
-        total = counts(np.full(len(following), a), np.full(len(following), b), following).astype(float).sum()
-        assert total == pytest.approx(1, abs=1e-3)
-
-
-def test_every_kept_key_is_found_and_each_context_sums_to_one():
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 60, 50_000))
-    held = lm_scoring.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.float32))
-    assert (held.get(keys) == np.arange(1, len(keys) + 1)).all() and (held.get(keys + 1)[~np.isin(keys + 1, keys)] == 0).all()
+def _next_ids(rng, n=3000, opening=2600):
+    allowed = np.arange(n) < opening
+    return lm_scoring.NextIds(allowed, np.where(allowed, rng.zipf(1.4, n), 0)), allowed
+
+
+def test_next_ids_sum_to_one_over_the_whole_vocabulary():
+    rng = np.random.default_rng(3)
+    nexts, allowed = _next_ids(rng)
+    assert (nexts.of[allowed] == lm_scoring.CLASSES).any()  # some ids share the last class
+    weights = lm_scoring.Attention.new_weights(nexts, lm_scoring.WINDOW, lm_scoring.INPUTS)
+    weights = {k: (v + rng.standard_normal(v.shape) * 0.3 * (v > -1e8)).astype(np.float32) for k, v in weights.items()}
+    network = lm_scoring.Attention(weights, nexts, lm_scoring.CONTEXT)
+    ids = np.flatnonzero(allowed)
+    n = len(ids)
+    # one sequence for each id, the same ids before it
+    before = np.tile([5, 9, 2, 7], n)
+    targets = np.repeat(ids, 4)
+    p = network.log_probabilities(before, before, targets, np.full(n, 4)).reshape(n, 4)
+    assert np.exp(p).sum(axis=0) == pytest.approx(np.ones(4), abs=1e-3)
+
+
+def test_scores_are_the_same_without_the_cache_of_words(spark, documents, monkeypatch):
+    """Counts met in joins give what counts at hand give, and mixing leaves no more than one."""
+    docs = spark.createDataFrame(documents[["doc_id", "text"]].head(120))
+    voc = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    training = F.col("doc_id") % 5 != 0
+    cached = {r.doc_id: r for r in lm_scoring.language_model_scores(docs, voc, training).collect()}
+    monkeypatch.setattr(lm_scoring, "HOT_WORDS", 40)
+    joined = {r.doc_id: r for r in lm_scoring.language_model_scores(docs, voc, training).collect()}
+    assert cached.keys() == joined.keys()
+    for k, r in cached.items():
+        assert (r.n_known, r.n_tokens) == (joined[k].n_known, joined[k].n_tokens)
+        assert r.score == pytest.approx(joined[k].score, rel=1e-4)
+        assert r.base_score == pytest.approx(joined[k].base_score)
+
+
+def test_words_of_one_first_id_sum_to_one():
+    """Known words' own parts and what is left for spelling make up the share of their first id."""
+    c = np.array([1, 1, 7, 30])
+    mass = c.sum() + 1.0
+    left = (lm_scoring.DISCOUNT * len(c) + 1) / mass
+    assert left + ((c - lm_scoring.DISCOUNT) / mass).sum() == pytest.approx(1)
+
+
+def test_words_with_rare_white_space_keep_their_ids():
     tool = lm_scoring.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    following = np.append(np.flatnonzero(~tool.begins[: tool.n]), tool.word_end)
-    pairs = np.unique((rng.integers(0, 300, 20_000) << 20) + rng.choice(following, 20_000))
-    triples = np.unique((rng.integers(0, 40, 20_000) << 40) + (rng.integers(0, 300, 20_000) << 20) + rng.choice(following, 20_000))
-    counts = lm_scoring.CountModel(tool, np.ones(50256), (pairs, rng.integers(1, 50, len(pairs))), (triples, rng.integers(1, 50, len(triples))))
-    for a, b in zip(rng.integers(0, 40, 40).tolist(), rng.integers(0, 300, 40).tolist(), strict=True):
-        total = counts(np.full(len(following), a), np.full(len(following), b), following).astype(float).sum()
-        assert total == pytest.approx(1, abs=1e-3)
+    words = [w.encode() for w in ("abc\u00a0", "\x1cdef", "plain", "\u2003", "x\u3000y", "end")]
+    ids, sizes = tool.ids(words)
+    assert len(sizes) == len(words) and sizes.sum() == len(ids)
+    at = 0
+    for w, n in zip(words, sizes.tolist(), strict=True):
+        assert tool.ids([w])[0].tolist() == ids[at : at + n].tolist()
+        at += n
 
 
-def test_scores_do_not_depend_on_neighbours_and_gradients_are_right(spark):
-    weights = {"first": (lm_scoring.INPUTS, 16), "last": (lm_scoring.INPUTS, 16), "qkv": (16, 48), "near": (32,), "own": (16, 16), "seen": (16, 16), "hidden": (16,), "out": (16, lm_scoring.CLASSES), "bias": (lm_scoring.CLASSES,)}
+def test_scores_do_not_depend_on_neighbours_and_gradients_are_right():
     rng = np.random.default_rng(1)
-    weights = {k: (rng.standard_normal(s) * 0.2).astype(np.float64) for k, s in weights.items()}
-    network = lm_scoring.Attention(weights)
-    first, last, target = rng.integers(0, 50, (3, 2, 32))
-    target %= lm_scoring.CLASSES
-    _, slopes = network.gradients(first, last, target, np.ones((2, 32), bool))
-    for name, at in (("qkv", (3, 20)), ("near", (2,)), ("seen", (1, 1)), ("first", (int(first[0, 0]), 4)), ("out", (2, 3))):
+    nexts, allowed = _next_ids(rng)
+    weights = lm_scoring.Attention.new_weights(nexts, 32, lm_scoring.INPUTS)
+    weights = {k: v.astype(np.float64) for k, v in weights.items()}
+    network = lm_scoring.Attention(weights, nexts, lm_scoring.CONTEXT)
+    first, last = rng.integers(0, 50, (2, 2, 32))
+    ask, target = np.tile(np.arange(1, 32, 4), (2, 1)), rng.choice(np.flatnonzero(allowed), (2, 8))
+    real = np.ones((2, 8), bool)
+    real[1, 5:] = False
+    _, slopes = network.gradients(first, last, ask, target, real)
+    c = int(nexts.of[target[0, 0]])
+    for name, at in (("qkv", (3, 20)), ("qkv", (3, 2)), ("near", (2,)), ("seen", (1, 1)), ("first", (int(first[0, 0]), 4)), ("last", (int(last[0, 1]), 4)), ("out", (2, 3)), ("slots", (min(c, lm_scoring.CLASSES - 1), 2, int(nexts.slot[target[0, 0]])))):
         loss = []
         for step in (1e-4, -1e-4):
             weights[name][at] += step
-            loss.append(network.gradients(first, last, target, np.ones((2, 32), bool))[0])
+            loss.append(network.gradients(first, last, ask, target, real)[0])
             weights[name][at] -= step
         assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(slopes[name][at], rel=2e-2, abs=1e-5)
-    network = lm_scoring.Attention({k: v.astype(np.float32) for k, v in weights.items()})
+    network = lm_scoring.Attention({k: v.astype(np.float32) for k, v in weights.items()}, nexts, lm_scoring.CONTEXT)
     sizes = np.array([70, 1, 25])
     first, last, target = (rng.integers(0, 30, sizes.sum()) for _ in range(3))
     whole = network.log_probabilities(first, last, target, sizes)
