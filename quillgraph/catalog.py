@@ -51,19 +51,19 @@ RELATIONS: list[tuple[str, str, str]] = [
     ("CourtCase", "ADJUDICATED_BY", "Court"),
     ("CourtCase", "INVOLVES", "LegalParty"),
     ("Document", "HAS_CHUNK", "Section"),
+    ("Document", "HAS_CHUNK", "CourtCase"),
+    ("Document", "HAS_CHUNK", "Company"),
     ("Document", "HAS_CHUNK", "Tender"),
     ("Document", "HAS_CHUNK", "Award"),
-    ("Document", "HAS_CHUNK", "Auction"),
-    ("Document", "HAS_CHUNK", "CourtCase"),
     ("Document", "HAS_CHUNK", "Penalty"),
-    ("Document", "HAS_CHUNK", "Company"),
+    ("Document", "HAS_CHUNK", "Auction"),
     ("Document", "HAS_CHUNK", "LegalAct"),
     ("Section", "MENTIONS", "Institution"),
-    ("Institution", "HOLDS_MEETING", "Meeting"),
+    ("Company", "HOLDS_MEETING", "Meeting"),
     ("Meeting", "PASSES_RESOLUTION", "Resolution"),
     ("Meeting", "HAS_VOTE", "Vote"),
     ("Institution", "ISSUES_TENDER", "Tender"),
-    ("Company", "REMOVED_FROM_TENDER", "Tender"),
+    ("Tender", "REMOVED_FROM_TENDER", "Company"),
     ("Award", "AWARDED_TO", "Company"),
     ("Award", "AWARD_OF", "Tender"),
     ("Award", "RESULTS_IN_CONTRACT", "Contract"),
@@ -71,13 +71,13 @@ RELATIONS: list[tuple[str, str, str]] = [
     ("ChangeOrder", "ISSUED_BY", "Institution"),
     ("Institution", "ANNOUNCES_AUCTION", "Auction"),
     ("Auction", "AUCTION_OF", "Asset"),
-    ("Auction", "AUCTION_ORGANIZED_FOR", "Institution"),
+    ("Auction", "AUCTION_ORGANIZED_FOR", "Company"),
     ("Penalty", "IMPOSED_BY", "Institution"),
     ("Penalty", "IMPOSED_ON", "Company"),
     ("Complaint", "FILED_BY", "Person"),
     ("Complaint", "FILED_AGAINST", "Institution"),
-    ("Correction", "CORRECTS", "LegalAct"),
-    ("Addendum", "ADDENDS", "LegalAct"),
+    ("Correction", "CORRECTS", "Document"),
+    ("Addendum", "ADDENDS", "Document"),
 ]
 
 # Labels of older graphs and their present names.
@@ -99,15 +99,67 @@ LABEL_MIGRATIONS: dict[str, str] = {
 VECTOR_SETTINGS: dict[str, tuple[int, float]] = {
     "company_embeddings": (1, 0.35),
     "legalparty_embeddings": (1, 0.35),
-    "institution_embeddings": (1, 0.30),
-    "legalact_embeddings": (2, 0.30),
+    "institution_embeddings": (1, 0.3),
+    "legalact_embeddings": (2, 0.3),
+    "document_embeddings": (3, 0.25),
+    "section_embeddings": (3, 0.25),
     "tender_embeddings": (2, 0.28),
     "contract_embeddings": (2, 0.28),
     "penalty_embeddings": (1, 0.32),
     "award_embeddings": (2, 0.28),
-    "document_embeddings": (3, 0.25),
-    "section_embeddings": (3, 0.25),
 }
+
+# The vector index to search for an entity, by label.
+LABEL_INDEXES: dict[str, str] = {
+    "LegalAct": "legalact_embeddings",
+    "Resolution": "legalact_embeddings",
+    "Institution": "institution_embeddings",
+    "Company": "company_embeddings",
+    "Person": "person_embeddings",
+    "Court": "court_embeddings",
+    "CourtCase": "courtcase_embeddings",
+    "LegalParty": "legalparty_embeddings",
+    "Tender": "tender_embeddings",
+    "Award": "award_embeddings",
+    "Contract": "contract_embeddings",
+    "ChangeOrder": "changeorder_embeddings",
+    "Auction": "auction_embeddings",
+    "Penalty": "penalty_embeddings",
+    "Meeting": "document_embeddings",
+    "Article": "article_embeddings",
+    "Section": "section_embeddings",
+    "Clause": "clause_embeddings",
+    "Document": "document_embeddings",
+    "Complaint": "complaint_embeddings",
+    "Vote": "vote_embeddings",
+    "Correction": "correction_embeddings",
+    "Addendum": "addendum_embeddings",
+    "Topic": "topic_embeddings",
+}
+
+# Properties by which an entity is looked up.
+PROPERTY_LOOKUPS: list[tuple[str, str]] = [
+    ("Document", "document_id"),
+    ("Company", "normalized_name"),
+    ("Institution", "normalized_name"),
+    ("Person", "normalized_name"),
+    ("Court", "normalized_name"),
+    ("LegalParty", "normalized_name"),
+    ("Meeting", "meeting_id"),
+    ("Resolution", "resolution_id"),
+    ("Tender", "tender_id"),
+    ("Award", "award_id"),
+    ("Contract", "contract_id"),
+    ("ChangeOrder", "change_order_id"),
+    ("Auction", "auction_id"),
+    ("Asset", "asset_id"),
+    ("Penalty", "penalty_id"),
+    ("Complaint", "complaint_id"),
+    ("Vote", "vote_id"),
+    ("Correction", "correction_id"),
+    ("Addendum", "addendum_id"),
+    ("Topic", "label"),
+]
 DEFAULT_K = 3
 CONTEXT_INDEXES = ["document_embeddings", "section_embeddings", "legalact_embeddings", "penalty_embeddings", "courtcase_embeddings"]
 CONTEXT_LIMIT = 10
@@ -122,8 +174,18 @@ def entities(spark: SparkSession) -> DataFrame:
 
 
 def relations(spark: SparkSession) -> DataFrame:
-    """from_label, type, to_label: one row per allowed relation."""
-    return spark.createDataFrame(RELATIONS, "from_label string, type string, to_label string")
+    """from_label, type, to_label, ord: one row per allowed relation."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(RELATIONS)], "from_label string, type string, to_label string, ord int")
+
+
+def property_lookups(spark: SparkSession) -> DataFrame:
+    """label, prop: one row per property that entities are looked up by."""
+    return spark.createDataFrame(PROPERTY_LOOKUPS, "label string, prop string")
+
+
+def label_indexes(spark: SparkSession) -> DataFrame:
+    """label, index: one row per label with a vector index to search."""
+    return spark.createDataFrame([*LABEL_INDEXES.items()], "label string, index string")
 
 
 def vector_settings(spark: SparkSession) -> DataFrame:

@@ -9,15 +9,16 @@ from quillgraph.functions.text import col
 
 # Fixed values.
 DISPLAY_NAMES = {"it": "Italian", "en": "English", "es": "Spanish"}
-_ENGLISH_VERBS = "switch|change|continue|respond|reply|answer|speak|write|talk"
-_ITALIAN_VERBS = "rispondi|continua|parla|scrivi"
-_SPANISH_VERBS = "responde|continúa|habla|escribe"
 SWITCH = {
-    "it": rf"(?iuU)\b(?:(?:{_ENGLISH_VERBS})\s+(?:in|to)\s+italian|(?:{_ITALIAN_VERBS})\s+in\s+italiano|in\s+italiano\s*(?:per\s+favore|prego)?)\b",
-    "en": rf"(?iuU)\b(?:(?:{_ENGLISH_VERBS})\s+(?:in|to)\s+english|(?:{_ITALIAN_VERBS})\s+in\s+inglese|(?:{_SPANISH_VERBS})\s+en\s+inglés|in\s+english\s*please?)\b",
-    "es": rf"(?iuU)\b(?:(?:{_ENGLISH_VERBS})\s+(?:in|to)\s+spanish|(?:{_ITALIAN_VERBS})\s+in\s+spagnolo|(?:{_SPANISH_VERBS})\s+en\s+español|in\s+spanish\s*please?)\b",
+    "it": r"(?iuU)\b(?:(?:switch|change|continue|respond|reply|answer|speak|write|talk)\s+(?:in|to)\s+italian|(?:rispondi|continua|parla|scrivi)\s+in\s+italiano|in\s+italiano\s*(?:per\s+favore|prego)?)\b",
+    "en": r"(?iuU)\b(?:(?:switch|change|continue|respond|reply|answer|speak|write|talk)\s+(?:in|to)\s+english|(?:rispondi|continua|parla|scrivi)\s+in\s+inglese|(?:responde|continúa|habla|escribe)\s+en\s+inglés|in\s+english\s*please?)\b",
+    "es": r"(?iuU)\b(?:(?:switch|change|continue|respond|reply|answer|speak|write|talk)\s+(?:in|to)\s+spanish|(?:rispondi|continua|parla|scrivi)\s+in\s+spagnolo|(?:responde|continúa|habla|escribe)\s+en\s+español|in\s+spanish\s*please?)\b",
 }
-HINTS = [*_ENGLISH_VERBS.split("|"), "italian", "english", "spanish", "italiano", "inglese", "spagnolo", "inglés", "español", *_ITALIAN_VERBS.split("|"), *_SPANISH_VERBS.split("|")]
+HINTS = [
+    "switch", "change", "continue", "respond", "reply", "answer", "speak", "write", "talk",
+    "italian", "english", "spanish", "italiano", "inglese", "spagnolo", "inglés", "español",
+    "rispondi", "continua", "parla", "scrivi", "responde", "continúa", "habla", "escribe",
+]
 ACTIONS = ["genera", "generami", "scrivi", "scrivimi", "redigi", "redigimi", "crea", "creami", "prepara", "preparami", "drafta", "elabora", "elaborami", "formulami", "formula"]
 TARGETS = ["opposizione", "atto", "ricorso", "memoria", "decreto", "ingiuntivo"]
 STRONG = ["drafta", "redigimi", "generami", "scrivimi"]

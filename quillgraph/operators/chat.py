@@ -56,3 +56,54 @@ def last_answers(messages: DataFrame, session: str, order: str, n: int = 2) -> D
     """The last assistant messages of each session, newest first."""
     back = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
     return messages.where("role = 'assistant'").withColumn("back", back).where(F.col("back") <= n)
+
+
+def saved_cache(cache: DataFrame, path: str) -> None:
+    """Write a cache (key, value, expiry) in place of the one at ``path``."""
+    cache.select("key", "value", "expiry").write.mode("overwrite").parquet(path)
+
+
+def loaded_cache(spark, path: str) -> DataFrame:
+    return spark.read.schema("key string, value string, expiry timestamp").parquet(path)
+
+
+def rewrite_prompts(incoming: DataFrame, messages: DataFrame, keep: int = RECENT_MESSAGES, cut: int = 300) -> DataFrame:
+    """session_id, text, prompt: what a rewriter reads for each message; no prompt for the first of a session.
+
+    messages: session_id, ord, role, text (what was said before); incoming: session_id, text, one a session.
+    """
+    before = history(messages, "session_id", "ord", keep - 1)
+    line = F.concat(F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit(": "), F.substring("text", 1, cut))
+    told = before.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("told"))
+    prompt = F.concat(F.lit("Earlier messages:\n"), "told", F.lit("\n\nLatest message: "), "text", F.lit("\n\nQuestion that stands alone:"))
+    return incoming.join(told, "session_id", "left").select("session_id", "text", prompt.alias("prompt"))
+
+
+def chat_turn(incoming: DataFrame, messages: DataFrame, sessions: DataFrame, rewriter, answers, detector=None) -> tuple[DataFrame, DataFrame]:
+    """(turns, messages): one message of each session answered, and the history with both sides added.
+
+    incoming: session_id, text; sessions: session_id, language. Turns: session_id, language, original_query,
+    resolved_query, answer. A session's second message on is rewritten with what was said before; where the rewriter
+    fails, the message stands. ``answers`` maps (qid, question) to (qid, answer). ``detector`` names the language of a
+    first message that is long enough.
+    """
+    from quillgraph.functions import language
+    from quillgraph.operators.providers import called
+
+    asked = rewrite_prompts(incoming, messages)
+    resolved = called(asked.where("prompt IS NOT NULL"), "session_id", "prompt", rewriter).select("session_id", F.nullif(F.trim("value"), F.lit("")).alias("resolved"))
+    rows = asked.join(resolved, "session_id", "left").join(sessions, "session_id", "left").withColumn("current", language.normalize_language("language"))
+    first = F.col("prompt").isNull()
+    rows = rows.withColumn("switch", language.explicit_switch("text", "current"))
+    if detector is not None:
+        long = rows.where(first & F.col("switch").isNull() & language.should_detect("text"))
+        seen = called(long, "session_id", "text", detector).select("session_id", F.col("value").alias("detected"))
+        rows = rows.join(seen, "session_id", "left").withColumn("switch", F.coalesce("switch", F.when(F.col("detected").isNotNull(), language.normalize_language("detected"))))
+    turns = rows.select("session_id", F.coalesce("switch", "current").alias("language"), F.col("text").alias("original_query"), F.coalesce("resolved", "text").alias("resolved_query"))
+    given = answers(turns.select(F.col("session_id").alias("qid"), F.col("resolved_query").alias("question")))
+    turns = turns.join(given.select(F.col("qid").alias("session_id"), "answer"), "session_id", "left")
+    last = messages.groupBy("session_id").agg(F.max("ord").alias("last"))
+    added = turns.join(last, "session_id", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+    said = lambda role, text, step: added.select("session_id", (F.col("last") + step).alias("ord"), F.lit(role).alias("role"), F.col(text).alias("text"))
+    after = messages.select("session_id", "ord", "role", "text").unionByName(said("user", "original_query", 1)).unionByName(said("assistant", "answer", 2))
+    return turns, history(after, "session_id", "ord")

@@ -38,7 +38,7 @@ ENTITIES: dict[str, dict[str, str]] = {
     "assets": dict(asset_id=_S, type=_S, description=_S, location=_S),
     "complaints": dict(complaint_id=_S, type=_S, date=_S, subject=_S, filer=_S, against=_S),
     "corrections": dict(correction_id=_S, text=_S, date=_S, document_id=_S),
-    "addenda": dict(addendum_id=_S, text=_S, date=_S, document_id=_S),
+    "addendums": dict(addendum_id=_S, text=_S, date=_S, document_id=_S),
     "topics": dict(label=_S),
 }
 
@@ -83,7 +83,7 @@ NODES: dict[str, tuple[str, dict[str, str], list[str]]] = {
     "assets": ("Asset", {"asset_id": "e.asset_id"}, ["type", "description", "location"]),
     "complaints": ("Complaint", {"complaint_id": "e.complaint_id"}, ["type", "date", "subject"]),
     "corrections": ("Correction", {"correction_id": "e.correction_id"}, ["text", "date"]),
-    "addenda": ("Addendum", {"addendum_id": "e.addendum_id"}, ["text", "date"]),
+    "addendums": ("Addendum", {"addendum_id": "e.addendum_id"}, ["text", "date"]),
     "topics": ("Topic", {"label": "e.label"}, []),
 }
 #: Kinds whose zero and empty properties are dropped like null ones.
@@ -109,7 +109,7 @@ EDGES: list[Rule] = [
     ("legal_acts", "HAS_CHUNK", "Document", _DOC, "LegalAct", _ACT, "", {"source_chunk_type": "'LegalAct'"}),
     ("tenders", "ISSUES_TENDER", "Institution", _name("e.issuer"), "Tender", _own["tenders"], "", {}),
     ("tenders", "HAS_CHUNK", "Document", _DOC, "Tender", _own["tenders"], "", {"source_chunk_type": "'Tender'"}),
-    ("tenders", "REMOVED_FROM_TENDER", "Company", _name("x"), "Tender", _own["tenders"], "removed_companies", {}),
+    ("tenders", "REMOVED_FROM_TENDER", "Tender", _own["tenders"], "Company", _name("x"), "removed_companies", {}),
     ("awards", "AWARDED_TO", "Award", _own["awards"], "Company", _name("e.winner"), "", {}),
     ("awards", "AWARD_OF", "Award", _own["awards"], "Tender", {"tender_id": "e.tender_id"}, "", {}),
     ("awards", "HAS_CHUNK", "Document", _DOC, "Award", _own["awards"], "", {"source_chunk_type": "'Award'"}),
@@ -117,13 +117,13 @@ EDGES: list[Rule] = [
     ("articles", "HAS_ARTICLE", "LegalAct", {k: f"nullif({v}, 0)" if k != "act_type" else v for k, v in _act("e.parent_act_key").items()}, "Article", _own["articles"], "", {}),
     ("articles", "HAS_VERSION", "Article", _own["articles"], "Article", {"parent_act_key": "regexp_replace(e.previous_version_key, '-[^-]*$', '')", "index": "try_cast(substring_index(e.previous_version_key, '-', -1) AS int)"}, "", {"relation": "'supersedes'"}),
     ("clauses", "HAS_CLAUSE", "Article", {"parent_act_key": "regexp_replace(e.parent_article_key, '-[^-]*$', '')", "index": "if(contains(e.parent_article_key, '-'), try_cast(substring_index(e.parent_article_key, '-', -1) AS int), 0)"}, "Clause", _own["clauses"], "", {}),
-    ("meetings", "HOLDS_MEETING", "Institution", _name("e.company_name"), "Meeting", _own["meetings"], "", {}),
+    ("meetings", "HOLDS_MEETING", "Company", _name("e.company_name"), "Meeting", _own["meetings"], "", {}),
     ("meetings", "PASSES_RESOLUTION", "Meeting", _own["meetings"], "Resolution", {"resolution_id": "x"}, "resolutions", {}),
     ("meetings", "HAS_VOTE", "Meeting", _own["meetings"], "Vote", {"vote_id": "x"}, "votes", {}),
     ("auctions", "ANNOUNCES_AUCTION", "Institution", _name("e.organizer"), "Auction", _own["auctions"], "", {}),
     ("auctions", "HAS_CHUNK", "Document", _DOC, "Auction", _own["auctions"], "", {"source_chunk_type": "'Auction'"}),
     ("auctions", "AUCTION_OF", "Auction", _own["auctions"], "Asset", {"asset_id": "x"}, "asset_ids", {}),
-    ("auctions", "AUCTION_ORGANIZED_FOR", "Auction", _own["auctions"], "Institution", _name("e.organized_for_company"), "", {}),
+    ("auctions", "AUCTION_ORGANIZED_FOR", "Auction", _own["auctions"], "Company", _name("e.organized_for_company"), "", {}),
     ("court_cases", "ADJUDICATED_BY", "CourtCase", _CHUNK, "Court", _name("e.court_name"), "", {}),
     ("court_cases", "HAS_CHUNK", "Document", {"document_id": "e.document_id"}, "CourtCase", _CHUNK, "", {"source_chunk_type": "'CourtCase'"}),
     ("court_cases", "INVOLVES", "CourtCase", _CHUNK, "LegalParty", _name("x.name"), "involved_parties", {"role": "nullif(x.role, '')"}),
@@ -134,7 +134,7 @@ EDGES: list[Rule] = [
     ("complaints", "FILED_BY", "Complaint", _own["complaints"], "Person", _name("e.filer"), "", {}),
     ("complaints", "FILED_AGAINST", "Complaint", _own["complaints"], "Institution", _name("e.against"), "", {}),
     ("corrections", "CORRECTS", "Correction", _own["corrections"], "Document", {"document_id": "e.document_id"}, "", {}),
-    ("addenda", "ADDENDS", "Addendum", _own["addenda"], "Document", {"document_id": "e.document_id"}, "", {}),
+    ("addendums", "ADDENDS", "Addendum", _own["addendums"], "Document", {"document_id": "e.document_id"}, "", {}),
 ]
 
 

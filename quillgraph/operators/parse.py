@@ -105,7 +105,7 @@ def chunks(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     rows = rows.withColumn("name", titles.clean_title("title")).withColumn("raw", strip_page_artifacts(strip_original("body")))
     rows = rows.withColumn("text_en", normalize_space("raw")).where("text_en <> ''")
     kind = titles.chunk_type(F.col("name"))
-    legal = F.col("name").rlike(titles.LEGAL_ACT) & ~titles.is_article(F.col("name")) & ~F.col("name").rlike(titles.AMENDMENT)
+    legal = F.col("name").rlike(titles.LEGAL_ACT) & ~titles.is_article(F.col("name")) & ~titles.is_amendment(F.col("name"))
     numbers = act_numbers(F.concat_ws(" ", "title", "body"))
     rows = rows.select(
         key, "position", F.sha2(F.concat_ws("|", key, "position"), 256).alias("chunk_id"), kind.alias("chunk_type"), "title",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that may be broadcast to the nodes; more are joined by shuffling.
-BROADCAST_QUERIES = 1000
+#: Queries that one pass over the nodes answers; their vectors are broadcast, so many at a time.
+QUERY_BLOCK = 4096
 
 
 def cosine(a: Column | str, b: Column | str, unit: bool = False) -> Column:
@@ -21,18 +26,61 @@ def vector_lookup(nodes: DataFrame, queries: DataFrame, settings: DataFrame, def
     """The best matches of each query in each index: qid, element_id, index, source, score.
 
     nodes: element_id, index, embedding; queries: qid, query (vector); settings: index, k,
-    min_score. The k best by score (ties by id) come first, then the threshold.
+    min_score, a row per index. The k best by score (ties, told by 12 decimals, by id) come first, then the threshold.
+    Queries go over the nodes in blocks of bounded size; a task passes on what may be among a query's best.
     """
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    pairs = nodes.where("embedding IS NOT NULL").crossJoin(F.broadcast(queries) if small else queries)
-    scored = pairs.select("qid", "element_id", "index", cosine("embedding", "query", unit).alias("score"))
-    scored = scored.join(F.broadcast(settings), "index", "left")  # a row per index
-    rank = F.row_number().over(Window.partitionBy("qid", "index").orderBy(F.desc("score"), "element_id"))
+    count = queries.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    own = {r["index"]: r["k"] for r in settings.select("index", "k").collect() if r["k"] is not None}
+    part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    found = [_block_matches(nodes, queries.where(part == b) if blocks > 1 else queries, own, default_k, unit) for b in range(blocks)]
+    scored = reduce(DataFrame.union, found).join(settings, "index", "left")
+    rank = F.row_number().over(Window.partitionBy("qid", "index").orderBy(F.desc(F.round("score", 12)), "element_id"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= F.coalesce("k", F.lit(default_k)))
     kept = best.where("score IS NULL OR min_score IS NULL OR score >= min_score")
     return kept.select("qid", "element_id", "index", F.concat_ws(":", F.lit(prefix), "index").alias("source"), "score")
 
 
+def _block_matches(nodes: DataFrame, queries: DataFrame, own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
+    """qid, element_id, index, score: of each task, at least its k best nodes of each query and index."""
+    table = queries.select("qid", "query").where("query IS NOT NULL").toArrow()  # about QUERY_BLOCK rows
+    held = nodes.sparkSession.sparkContext.broadcast((table.column("qid").combine_chunks(), _normalized(table.column("query").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, asked = held.value
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows or not len(qids):
+                continue
+            names = np.asarray(batch.column("index").to_pylist(), object)
+            vectors = _normalized(batch.column("embedding"))
+            for name in dict.fromkeys(names.tolist()):
+                rows = np.flatnonzero(names == name)
+                k = own.get(name, default_k)
+                for a in range(0, len(rows), QUERY_BLOCK):
+                    some = rows[a : a + QUERY_BLOCK]
+                    score = vectors[some] @ asked.T
+                    score = np.where(np.isnan(score), -2.0, score)
+                    bound = np.partition(score, max(0, len(some) - k), axis=0)[max(0, len(some) - k)] if len(some) >= k else np.full(len(qids), -2.0)
+                    bound = np.maximum(bound, least.get(name, bound))
+                    least[name] = bound
+                    i, j = np.nonzero(score >= bound - 1e-11)  # ties are kept
+                    value = np.where(score[i, j] < -1.5, np.nan, score[i, j])
+                    value = (value + 1) / 2 if unit else value
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(j)), batch.column("element_id").take(pa.array(some[i])), batch.column("index").take(pa.array(some[i])), pa.array(value, from_pandas=True)], ["qid", "element_id", "index", "score"])
+
+    kinds = [queries.schema["qid"].dataType.simpleString(), nodes.schema["element_id"].dataType.simpleString()]
+    rows = nodes.where("embedding IS NOT NULL").select("element_id", "index", "embedding")
+    return rows.mapInArrow(run, f"qid {kinds[0]}, element_id {kinds[1]}, index string, score double")
+
+
+def _normalized(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of length one; of zeros, no number."""
+    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+
 def merged_matches(matches: DataFrame, limit: int | None = None) -> DataFrame:
     """qid, element_id, score (the greatest), sources (sorted, distinct); at most ``limit`` for each query."""
     out = matches.groupBy("qid", "element_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
@@ -44,26 +92,29 @@ def merged_matches(matches: DataFrame, limit: int | None = None) -> DataFrame:
 
 def tokens(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-z]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def fulltext_lookup(docs: DataFrame, queries: DataFrame, limit: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def fulltext_lookup(docs: DataFrame, queries: DataFrame, limit: int = 3, k1: float = 1.2, b: float = 0.75, labels: list[str] | None = None) -> DataFrame:
     """BM25 over whole texts: qid, element_id, score of the best for each query.
 
-    docs: element_id, text; queries: qid, terms (array). Only postings of asked terms are kept.
+    docs: element_id, text, and with ``labels`` an array ``labels``: only nodes that carry one of them are ranked (all count
+    for the statistics). queries: qid, terms (array). Texts are read once for the corpus figures and once for the postings of
+    asked terms, which meet their document counts and the questions in one partitioning by term.
     """
-    words = docs.select("element_id", tokens("text").alias("w"))
-    sizes = words.select("element_id", F.size("w").alias("size"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens("text")))).first()
     asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = asked.select("term").distinct()
-    counts = words.select("element_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
-    counts = counts.groupBy("element_id", "size", "term").agg(F.count("*").alias("tf"))
+    wanted = docs.where(F.arrays_overlap("labels", F.array(*map(F.lit, labels)))).select("element_id") if labels else None
+    words = docs.select("element_id", tokens("text").alias("w")).select("element_id", F.size("w").alias("size"), F.explode("w").alias("term"))
+    counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("element_id", "size", "term").agg(F.count("*").alias("tf")).repartition("term")
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = counts.join(spread, "term").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    total = scored.withColumn("weight", weight).join(asked, "term").groupBy("qid", "element_id").agg(F.sum("weight").alias("score"))
+    scored = counts.join(spread, "term")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
+    scored = scored.select("element_id", "term", weight.alias("weight"))
+    if wanted is not None:
+        scored = scored.join(wanted, "element_id", "left_semi")
+    total = scored.join(asked, "term").groupBy("qid", "element_id").agg(F.sum("weight").alias("score"))
     # sums differ in their last digits with the order of terms; ties are told by 9 decimals
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "element_id"))
     return total.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
