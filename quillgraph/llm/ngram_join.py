@@ -51,7 +51,7 @@ COLUMNS = 4096
 LEAVES = 256
 LEAST_BITS, MOST_BITS = 256, 8192
 FILTER_BITS = 23
-WORDS_CACHED = 300_000
+WORDS_CACHED = 150_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -147,7 +147,7 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
         for _, sets in _sets(batches, text, k):
             held += sets
             size += sum(map(len, sets))
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield report()
                 held, size = [], 0
         if held:
