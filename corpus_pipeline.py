@@ -2,7 +2,7 @@
 benchmark passages, mixed by source, as token ids in an archive.
 
 Each stage reads what the one before has kept, written as Parquet, and all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever more of them there are and however they are called.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, labelled, mixing, ngram_join, quality, token_archive
-from quillgraph.llm.common import joinable, saved, table
+from quillgraph.llm.common import joinable, saved, set_aside, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,8 +22,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The score depends on the text alone, so a text gets the same verdict wherever it stands.
     """
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return labelled.with_score(docs, model).where(F.col("score") >= 0.5).drop("score")
+    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs, named_back = set_aside(docs, {"score"})
+    return named_back(labelled.with_score(docs, model).where(F.col("score") >= 0.5).drop("score"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null id comes last. Documents without words are linked with nothing and stay, repeated rows of them too.
     """
+    docs, named_back = set_aside(docs, {"at0", "at1", "text_hash", "every", "nth"})
     classes = ngram_join.near_duplicates(docs, located=True)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     best = classes.where("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("at")).select("at.doc_id", "at.text_hash", F.lit(False).alias("every"))
@@ -40,16 +42,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     marked = docs.select("*", *(e.alias(f"at{i}") for i, e in enumerate(joinable("doc_id"))), F.xxhash64("text").alias("text_hash"))
     marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*marks).orderBy(*(rest or marks))))
-    return marked.join(kept.hint("merge"), marks).where("every OR nth = 1").select(docs.columns)
+    return marked.join(kept.hint("merge"), marks).where("every OR nth = 1").select(docs.columns).transform(named_back)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word spans of benchmark passages; n_chars counts what is left."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs, named_back = set_aside(docs, {"n_words", "hit_spans", "hit_items"})
     found = decontaminate.contaminated_spans(docs, items)
     cut = decontaminate.without_spans(found)
     length = F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length).select(docs.columns)
+    return cut.withColumn("n_chars", length).select(docs.columns).transform(named_back)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,20 @@ def joinable(*columns: str) -> list[Column]:
     return [e for c in columns for e in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns renamed that are called like what an operator uses, and what gives them their names back."""
+    used, taken = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in used:
+            new = f"{c}_own"
+            while new.lower() in taken | used:
+                new += "_"
+            moved[c] = new
+            taken.add(new.lower())
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({new: c for c, new in moved.items()})
+
+
 _kept: dict[str, object] = {}
 
 

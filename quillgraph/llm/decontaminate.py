@@ -254,7 +254,11 @@ def _blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tu
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
-    """``docs`` with n_words, hit_spans (of words, merged) and hit_items (sorted as strings)."""
+    """``docs`` with n_words, hit_spans (of words, merged) and hit_items (sorted as strings).
+
+    Columns of ``docs`` with one of these names give way. An item without an id marks hits but isn't listed.
+    """
+    docs = docs.drop("n_words", "hit_spans", "hit_items")
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.lit(None).cast("array<array<int>>"), "hit_items": F.lit(None).cast("array<string>")})
     names = out.columns
     shared = docs.sparkSession.sparkContext
@@ -269,7 +273,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
                 counts, spans, found = find_spans(raw, phrases)
                 old_spans, old_items = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
                 spans = [_merged((a or []) + b.tolist()) for a, b in zip(old_spans, spans, strict=True)]
-                found = [sorted({*(a or []), *(str(phrases.items[i]) for i in b)}) for a, b in zip(old_items, found, strict=True)]
+                found = [sorted({*(a or []), *(str(phrases.items[i]) for i in b if phrases.items[i] is not None)}) for a, b in zip(old_items, found, strict=True)]
                 new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "hit_items": pa.array(found, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names[:-3]] + [*new.values()], names)
 

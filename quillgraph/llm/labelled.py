@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import slices
@@ -19,17 +19,22 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus == remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> tuple[pd.DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, total_bytes: int, key: str = "doc_id", text: str = "text") -> tuple[pd.DataFrame, float]:
     """Texts of at most ``per_class`` rows of each label, by a hash of the key, and the share of 1 among all usable labels.
 
-    Only texts of up to ``most_bytes`` are used for fitting. A key labelled more than once has its greatest label.
+    Rows are taken in the order of the hash while all their texts together are within ``total_bytes``. A key labelled more
+    than once has its greatest label.
     """
     usable_labels = labels.where(usable & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     share = usable_labels.agg(F.avg("y")).first()[0]
     chosen = [usable_labels.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(per_class) for y in (0, 1)]
     # 2 * per_class rows at most
-    rows = docs.select(key, text).join(F.broadcast(chosen[0].union(chosen[1])), key).where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_bytes)
-    sample = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), "y").toPandas()
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1]).withColumnRenamed(key, "key")), "key")
+    rows = rows.withColumns({"at": F.xxhash64("key"), "mark": F.xxhash64("text"), "size": F.octet_length("text").cast("long")}).dropDuplicates(["key", "mark"])
+    # Sizes alone are summed in order; distinct texts of a key are told apart by their hash.
+    sizes = rows.groupBy("at", "key", "mark").agg(F.sum("size").alias("size"))
+    sizes = sizes.withColumn("sum", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("at", "key", "mark"))).where(F.col("sum") <= total_bytes)
+    sample = rows.join(sizes.select("key", "mark"), ["key", "mark"], "left_semi").select("key", "text", "y").toPandas()
     return sample.sort_values(["key", "text"], ignore_index=True), float(share if share is not None else 0.5)
 
 
@@ -63,7 +68,8 @@ def scored(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> D
 
 
 def with_score(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """All columns and ``score``."""
+    """All columns and ``score``; a column of that name gives way."""
+    docs = docs.drop("score")
     return _scored(docs, model, text, docs.columns)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import joinable, saved, slices, table
+from quillgraph.llm.common import joinable, saved, set_aside, slices, table
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 14
@@ -165,12 +165,14 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """The mix as rows like those of ``docs``: a text's pieces that are taken once, and again those taken twice.
 
     Neighbouring pieces stay as they stand in the text; others are joined by a line end. ``length`` is a
-    column that holds the number of characters. Repeated rows have their own pieces each.
+    column that holds the number of characters. Repeated rows have their own pieces each; columns of any name stay.
     """
     import re
 
+    own = {key.lower(), text.lower(), source.lower()}
+    docs, named_back = set_aside(docs, {"pieces", "row", "nth", "text_hash", "at0", "at1", "at2", "at3"} - own)
     names = docs.columns
-    rows, _, pieces = mix(docs, key, text, source, **how)
+    rows, _, pieces = mix(docs.select(key, text, source), key, text, source, **how)
     piece = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), F.col("times").cast("int").alias("times"))
     listed = pieces.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     # Rows with equal key, source and text are told apart by their number, so that each has its own pieces.
@@ -212,7 +214,7 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
                 new[length] = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([new.get(c, kept.column(c)) for c in names], names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return named_back(joined.mapInArrow(run, docs.schema))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

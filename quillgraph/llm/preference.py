@@ -13,12 +13,14 @@ two empty completions; conversations without a common first turn have an empty p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import table
 
 TURN_END = "<|end|>\n"
+#: Conversations among which the query looks for another answer.
+BUCKET = 64
 
 
 def _head(role: Column) -> Column:
@@ -50,11 +52,12 @@ def listed(turns: DataFrame, pair: str, name: str) -> DataFrame:
 
 
 def format_lists(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", trained: str = "assistant") -> DataFrame:
-    """Format rows that hold both conversations as arrays of (role, text); other columns stay."""
+    """Format rows that hold both conversations as arrays of (role, text); other columns stay, but for those named like a result."""
     a, b = F.col(chosen), F.col(rejected)
     differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
     shared = F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
-    kept = [c for c in pairs.columns if c not in (chosen, rejected)]
+    made = {"n_prompt_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask"}
+    kept = [c for c in pairs.columns if c not in (chosen, rejected) and c.lower() not in made]
     pairs = pairs.withColumn("n_prompt_turns", shared)
     rest = lambda turns: F.slice(turns, F.col("n_prompt_turns") + 1, F.size(turns))
     return pairs.select(
@@ -74,17 +77,20 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_i
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with its last answer taken from its neighbour (ids 2i and 2i + 1).
+    """Each conversation that has an answer, against itself with its last answer taken from another one.
 
-    A conversation without an answer gives no row, nor does one whose neighbour is absent or has no answer; ``PREFERENCE_SQL`` has the same rule.
+    The other is the next with an answer among ids with the same ``id div 64``, after the last the first again; a conversation
+    that is alone there meets itself, and both completions are empty. One without any answer has nothing to prefer and gives
+    no row. ``PREFERENCE_SQL`` has the same rule.
     """
     convs = listed(table(spark, sf_dir, "conversations"), "conv_id", "chosen")
     answers = F.filter("chosen", lambda t: t["role"] == "assistant")
     convs = convs.withColumn("answers", answers).where(F.size("answers") > 0)
     last = F.size("chosen") - F.array_position(F.reverse(F.transform("chosen", lambda t: t["role"] == "assistant")), True) + 1
     convs = convs.select("conv_id", "chosen", last.cast("int").alias("last"), F.element_at("answers", -1)["text"].alias("answer"))
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
-    pairs = convs.join(other, "conv_id")
+    near = Window.partitionBy(F.floor(F.col("conv_id") / BUCKET)).orderBy("conv_id")  # BUCKET rows at most
+    first = F.first("answer").over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pairs = convs.withColumn("other", F.coalesce(F.lead("answer").over(near), first))
     swapped = F.transform("chosen", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.col("other")).otherwise(t["text"]).alias("text")))
     return format_lists(pairs.select("conv_id", "chosen", swapped.alias("rejected")))
 
@@ -97,7 +103,8 @@ WITH t AS (
 ), la AS (
   SELECT conv_id, max(idx) AS li, arg_max(text, idx) AS lt FROM t WHERE role = 'assistant' GROUP BY conv_id
 ), p AS (
-  SELECT a.conv_id, a.li, b.lt FROM la a JOIN la b ON b.conv_id = xor(a.conv_id, 1)
+  SELECT conv_id, li, coalesce(lead(lt) OVER (PARTITION BY floor(conv_id / 64) ORDER BY conv_id),
+    first_value(lt) OVER (PARTITION BY floor(conv_id / 64) ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lt FROM la
 ), r AS (
   SELECT t.conv_id, idx, role, text, CASE WHEN idx = li THEN lt ELSE text END AS other FROM t JOIN p USING (conv_id)
 ), f AS (

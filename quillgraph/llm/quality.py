@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import table
 from quillgraph.llm.labelled import Logistic, held_out, labelled_sample, scored
 
-#: Rows of each label that fitting may use, and the longest text among them.
+#: Rows of each label that fitting may use, and the bytes of all their texts.
 SAMPLE_PER_CLASS = 2000
-SAMPLE_TEXT_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 26
 STEPS, RATE, RIDGE = 250, 0.1, 1e-3
 
 LOWER, UPPER, DIGIT, SPACE, STOP, BANG, BAR, MARK = range(8)
@@ -164,7 +164,7 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, label: str = "quality") -> QualityModel:
-    return QualityModel(*labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES))
+    return QualityModel(*labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), SAMPLE_PER_CLASS, SAMPLE_BYTES))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

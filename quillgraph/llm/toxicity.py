@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import table
 from quillgraph.llm.labelled import Logistic, held_out, labelled_sample, scored
 
-#: Rows of each label that fitting may use, and the longest text among them.
+#: Rows of each label that fitting may use, and the bytes of all their texts.
 SAMPLE_PER_CLASS = 3000
-SAMPLE_TEXT_BYTES = 1 << 17
+SAMPLE_BYTES = 1 << 26
 WINDOW_BYTES = 64
 ORDINARY_BYTES = 1 << 14
 TOXIC_BYTES = 640
@@ -188,7 +188,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, label: str = "toxic") -> ToxicityModel:
-    return ToxicityModel(*labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES))
+    return ToxicityModel(*labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), SAMPLE_PER_CLASS, SAMPLE_BYTES))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

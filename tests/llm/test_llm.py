@@ -441,10 +441,63 @@ def test_search_with_ties_copies_and_bad_vectors(spark):
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 500)]
     rows += [(600, None), (601, [None] * 6), (602, [float("nan")] * 6), (603, [float("inf")] * 6), (604, [1.0, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk_search.top_k(table, table.where("vec_id % 50 = 0"), k=7).collect()
+    got = topk_search.top_k(table, F.col("vec_id") % 50 == 0, k=7).collect()
     good = {i: np.floor(1024 * np.asarray(v, float)) for i, v in rows if v and len(v) == 6 and None not in v and np.isfinite(v).all()}
     for q in (i for i in good if i % 50 == 0):
         best = sorted(((-int(good[q] @ x), i) for i, x in good.items() if i != q))[:7]
         assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert not any(r.query_id in (600, 601) for r in got)
-    assert topk_search.top_k(table.limit(0), table.limit(0)).count() == 0
+    assert topk_search.top_k(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_rows_with_one_id_are_searched_apart(spark):
+    """Two rows 0: each is a query of its own and finds the other."""
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.0, 1.0]), (2, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(table, F.col("vec_id") == 0, k=2).collect())
+    good = [np.floor(1024 * np.asarray(v)) for _, v in rows]
+    expected = []
+    for q in (0, 1):
+        best = sorted((-int(good[q] @ x), rows[i][0]) for i, x in enumerate(good) if i != q)[:2]
+        expected += [(0, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(expected)
+
+
+def test_blocks_of_queries_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.standard_normal(5).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk_search.top_k(table, F.col("vec_id") % 7 == 0, k=4).collect()))
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 9)
+    assert sorted(map(tuple, topk_search.top_k(table, F.col("vec_id") % 7 == 0, k=4).collect())) == whole
+
+
+# what all have in common
+
+
+def test_items_without_an_id_mark_hits_but_are_not_listed(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f g h i j"), ("x", "b c d e f g h i j k")], "item_id string, text string")
+    row = decontaminate.contaminated_spans(docs, items).first()
+    assert (row.hit_items, row.hit_spans, row.n_words) == (["x"], [[0, 11]], 11)
+
+
+def test_every_conversation_with_an_answer_gives_a_row(spark, tmp_path):
+    turns = [(i, t, r, f"{r}{i}") for i in (1, 2, 5, 70, -3) for t, r in ((0, "user"), (1, "assistant"))] + [(9, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in preference.op3_preference(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 5, 70, -3}
+    assert "assistant2" in got[1].rejected_completion and "assistant1" in got[5].rejected_completion
+    assert got[70].rejected_completion == got[70].chosen_completion == ""
+
+
+def test_columns_with_clashing_names(spark):
+    """A column named like a result gives way to it, or stays where the operator returns rows of its input."""
+    docs = spark.createDataFrame([(1, "one two three four five", "s", 7, "p", 9)], "doc_id long, text string, source string, score long, pieces string, n_words long")
+    assert decontaminate.contaminated_spans(docs, docs.selectExpr("1 AS item_id", "text")).columns[-3:] == ["n_words", "hit_spans", "hit_items"]
+    mixed = mixing.mixed_texts(docs)
+    assert mixed.columns == docs.columns and {r.pieces for r in mixed.collect()} == {"p"}
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = labelled.with_score(docs, quality.fit(docs, labels))
+    assert scored.columns.count("score") == 1 and 0 <= scored.first().score <= 1
+    pairs = spark.createDataFrame([(1, "mine", [("user", "a")], [("user", "b")])], "pair_id long, prompt string, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    assert preference.format_lists(pairs).columns.count("prompt") == 1

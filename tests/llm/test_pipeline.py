@@ -58,3 +58,18 @@ def test_repeated_rows_have_their_own_pieces(spark):
     mixed = mixing.mixed_texts(docs, block=8).collect()
     words = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in ("a", "b", None)}
     assert words == taken
+
+
+def test_stages_keep_odd_rows_and_columns_of_any_name(spark):
+    """Nulls in any column, empty and very long texts, ties, repeats and columns named like the operators' own."""
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    texts = [None, "", "a", long, long + " end", "plain words that say nothing much at all here", "plain words that say nothing much at all here"]
+    rows = [(None if i == 2 else i % 5, x, "en", [None, "s"][i % 2], None if x is None else len(x), f"k{i}", i, "n", 1.5) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, pieces string, n_words long, part string, score double")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = saved(stage(spark, docs, SF), name)
+        assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars", "pieces", "n_words", "part", "score"]
+        assert {r.pieces for r in docs.collect()} <= {f"k{i}" for i in range(len(rows))}
+    good = corpus_pipeline.good_documents(spark, spark.createDataFrame(rows, docs.schema), SF)
+    assert good.columns == docs.columns and {r.score for r in good.collect()} <= {1.5}
+    assert corpus_pipeline.token_ids(spark, docs, SF).count() == docs.count()
