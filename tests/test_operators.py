@@ -197,3 +197,52 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"queries": ["one", "two"]}')
     assert [r.question for r in files.questions(spark, str(tmp_path / "q.json")).collect()] == ["one", "two"]
     assert files.run_query(spark, "SELECT nothing_there")["success"] is False
+
+
+def test_emitted_edges_are_what_the_schema_allows():
+    from quillgraph import catalog
+    from quillgraph.operators import emit
+
+    emitted = {(rule[2], rule[1], rule[4]) for rule in emit.EDGES}
+    assert emitted == set(catalog.RELATIONS) - {("Document", "HAS_CHUNK", "Company")}  # no company is a chunk of its own
+
+
+def test_graph_is_written_counted_and_cleared(spark, tmp_path):
+    from quillgraph.operators import extraction
+
+    nodes = spark.createDataFrame([("Company", "a", {"name": "A"}, 1)], "label string, node_id string, props map<string,string>, seq long")
+    edges = spark.createDataFrame([], "type string, src_label string, src_id string, dst_label string, dst_id string, props map<string,string>, seq long")
+    path = str(tmp_path / "graph")
+    assert extraction.written(nodes, edges, path) == {"nodes": 1, "edges": 0}
+    extraction.cleared(nodes, edges, path)
+    assert spark.read.parquet(f"{path}/nodes").count() == 0
+
+
+def test_cache_is_saved_and_loaded(spark, tmp_path):
+    from datetime import datetime
+
+    from quillgraph.operators import chat
+
+    cache = spark.createDataFrame([("k", "v", datetime(2025, 1, 1))], "key string, value string, expiry timestamp")
+    chat.saved_cache(cache, str(tmp_path / "cache"))
+    assert [tuple(r) for r in chat.loaded_cache(spark, str(tmp_path / "cache")).collect()] == [tuple(r) for r in cache.collect()]
+
+
+def test_answers_that_cannot_be_read_give_no_entities(spark):
+    from quillgraph.operators import decompose
+
+    answers = spark.createDataFrame([(1, "no json"), (2, None), (3, '{"nodes": [{"id": "a", "label": "Company", "properties": {"name": "X"}}]}')], "qid long, value string")
+    entities, links = decompose.question_graph(answers)
+    assert [r.qid for r in entities.collect()] == [3] and links.count() == 0
+    assert decompose.chosen_labels(F.lit("none"), ["A", "B"]) is not None
+
+
+def test_a_question_without_a_reviewer_is_answered(spark):
+    from quillgraph.plans import questions
+
+    nodes = spark.createDataFrame([("d1", "Document", ["Document"], {"document_id": "7", "document_title": "Gazette"}), ("s1", "Section", ["Section"], {"title": "One"})], "element_id string, label string, labels array<string>, props map<string,string>")
+    edges = spark.createDataFrame([("HAS_CHUNK", "Document", "d1", "Section", "s1")], "type string, src_label string, src_id string, dst_label string, dst_id string")
+    asked = spark.createDataFrame([(1, "what is in document 7")], "qid long, question string")
+    decomposed = lambda texts: ['{"nodes": [{"id": "a", "label": "Document", "properties": {"document_id": "7"}}], "relationships": []}'] * len(texts)
+    row = questions.answered(asked, nodes, edges, decomposed).first()
+    assert (row.attempt, row.n_entry, row.n_rows, row.verdict_ok, row.citations) == ("fallback", 1, 1, True, ["Gazette"])
