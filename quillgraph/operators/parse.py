@@ -37,20 +37,23 @@ def page_at(position: Column | str, pages: Column | str) -> Column:
     return F.coalesce(F.try_element_at(before, F.lit(-1))["page"], F.get(pages, F.lit(0))["page"])
 
 
-def sections(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """key, position, level, title, body: headed sections.
+def sections(docs: DataFrame, key: str = "path", text: str = "text", with_pages: bool = False) -> DataFrame:
+    """key, position, level, title, body: headed sections; and ``pages``, the document's page map, if asked for.
+
+    All steps go by document, so they share one shuffle.
 
     Titles of neighbouring headings of one level merge while bodies between them are empty; what
     stands before the first heading is dropped.
     """
     parts = F.split(F.coalesce(F.col(text), F.lit("")), r"(?dmU)(?=^#{1,6}\s+\S)")
-    pieces = docs.select(key, F.posexplode(parts).alias("n", "part"))
+    docs = docs.select(key, text, *([page_map(text).alias("pages")] if with_pages else []))
+    pieces = docs.select(key, *docs.columns[2:], F.posexplode(parts).alias("n", "part"))
     order = Window.partitionBy(key).orderBy("n")
     pieces = pieces.withColumn("position", F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     pieces = pieces.where(F.col("part").rlike(r"(?U)^#{1,6}\s+\S"))
     head = r"(?dsU)^(#{1,6})\s+([^\n]+?)\s*(?:\n|$)"
     pieces = pieces.select(
-        key, "n", "position",
+        key, "n", "position", *(["pages"] if with_pages else []),
         F.length(F.regexp_extract("part", head, 1)).alias("level"),
         trimmed(F.regexp_extract("part", head, 2)).alias("title"),
         trimmed(F.regexp_replace("part", r"(?dsU)^#{1,6}\s+[^\n]+(?:\n|$)", "")).alias("body"),
@@ -64,25 +67,29 @@ def sections(docs: DataFrame, key: str = "path", text: str = "text") -> DataFram
         F.first("level").alias("level"),
         F.array_join(F.transform(items, lambda x: x["title"]), " ").alias("title"),
         F.max_by("body", "n").alias("body"),
+        *([F.first("pages").alias("pages")] if with_pages else []),
     ).drop("island")
 
 
-def _numbered(pairs: Column, first: Column) -> Column:
-    return F.transform(pairs, lambda p, n: F.struct((first + n).alias("ord"), p["i"].alias("index"), trimmed(p["t"]).alias("text_en")))
+def _clauses_like(text: Column | str, pattern: str, first: int) -> Column:
+    pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("i"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
+    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("long").cast("string")).otherwise(c)
+    return F.transform(pair, lambda p, n: F.struct((n + first).alias("ord"), number(p["i"]).alias("index"), trimmed(p["t"]).alias("text_en")))
+
+
+def clause_list(text: Column | str) -> Column:
+    """Array of (ord, index, text_en): numbered and ordinal clauses; of equal ones (index, first 60 characters) the first."""
+    found = [_clauses_like(text, pattern, kind * 1_000_000) for kind, pattern in enumerate(CLAUSES)]
+    marked = F.transform(F.concat(*found), lambda c: F.struct(c.alias("c"), F.concat_ws("\n", c["index"], F.substring(c["text_en"], 1, 60)).alias("k")))
+    # one element, so that the list and its marks are worked out once
+    once = F.transform(F.array(marked), lambda m: F.struct(m.alias("m"), F.transform(m, lambda x: x["k"]).alias("ks")))
+    kept = F.transform(once, lambda s: F.filter(s["m"], lambda x, i: F.array_position(s["ks"], x["k"]) == i + 1))
+    return F.transform(F.get(kept, F.lit(0)), lambda x: x["c"])
 
 
 def clauses(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, ord, index, text_en: numbered and ordinal clauses; of equal ones (index, first 60 characters) the first."""
-    found = []
-    for kind, pattern in enumerate(CLAUSES):
-        pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("i"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
-        first = F.lit(kind * 1_000_000)
-        found.append(_numbered(pair, first))
-    rows = rows.select(*keys, F.explode(F.concat(*found)).alias("c")).select(*keys, "c.*")
-    number = F.when(F.col("index").rlike("^[0-9]+$"), F.col("index").try_cast("long").cast("string")).otherwise(F.col("index"))
-    rows = rows.withColumn("index", number)
-    first = F.row_number().over(Window.partitionBy(*keys, "index", F.substring("text_en", 1, 60)).orderBy("ord"))
-    return rows.withColumn("first", first).where("first = 1").drop("first")
+    """keys, ord, index, text_en: a row per clause."""
+    return rows.select(*keys, F.explode(clause_list(text)).alias("c")).select(*keys, "c.*")
 
 
 def document_metadata(text: Column | str) -> Column:
@@ -101,7 +108,7 @@ def chunks(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
 
     ``chunk_id`` is a hash of the document and the section's position, so reruns agree.
     """
-    rows = sections(docs, key, text).join(docs.select(key, page_map(text).alias("pages")), key)
+    rows = sections(docs, key, text, with_pages=True)
     rows = rows.withColumn("name", titles.clean_title("title")).withColumn("raw", strip_page_artifacts(strip_original("body")))
     rows = rows.withColumn("text_en", normalize_space("raw")).where("text_en <> ''")
     kind = titles.chunk_type(F.col("name"))
@@ -113,12 +120,11 @@ def chunks(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
             F.when(legal, kind).alias("act_type"), numbers["act_number"].alias("act_number"), numbers["act_year"].alias("act_year"),
             F.when(legal, F.regexp_extract("name", titles.LEGAL_ACT, 1)).alias("act_type_label"),
         ).alias("act"),
-        "text_en", "raw", page_at("position", "pages").alias("page_number"),
+        "text_en", page_at("position", "pages").alias("page_number"),
         F.struct(titles.article_number(F.col("name")).alias("article"), titles.article_version(F.col("name")).alias("version")).alias("indices"),
+        F.when(kind == "Article", F.transform(clause_list("raw"), lambda x: F.struct(x["index"].alias("index"), x["text_en"].alias("text_en")))).alias("clauses"),
     )
-    listed = clauses(rows.where("chunk_type = 'Article'"), ["chunk_id"], "raw").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("ord", "index", "text_en"))).alias("c"))
-    listed = listed.select("chunk_id", F.transform("c", lambda x: F.struct(x["index"].alias("index"), x["text_en"].alias("text_en"))).alias("clauses"))
-    return rows.drop("raw").join(listed, "chunk_id", "left")
+    return rows.withColumn("clauses", F.when(F.size("clauses") > 0, F.col("clauses")))
 
 
 def validated(rows: DataFrame, drop_invalid: bool = False) -> DataFrame:
