@@ -11,7 +11,10 @@ END = "struct<label:string,key:map<string,string>>"
 
 
 def markdown(spark: SparkSession, root: str, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """path, text: one row per ``*.md`` file of a folder; ``skip`` and ``limit`` go by path."""
+    """path, text: one row per ``*.md`` file of ``root/files``, or of ``root`` without such a folder; ``skip`` and ``limit`` go by path."""
+    inner = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/files")
+    if inner.getFileSystem(spark._jsc.hadoopConfiguration()).exists(inner):
+        root = inner.toString()
     files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(root)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     if skip or limit:
@@ -26,6 +29,11 @@ def write_documents(chunks: DataFrame, path: str) -> None:
     whole.select("path", F.transform("c", lambda x: x["chunk"]).alias("chunks")).write.json(path)
 
 
+def write_normalized(rows: DataFrame, path: str) -> None:
+    """Validated chunks as JSON lines, without the mark of validity."""
+    rows.drop("valid").write.json(path)
+
+
 def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, document, chunk fields: a row per chunk of parsed documents; documents without chunks give none."""
     schema = T.StructType([T.StructField("document", T.MapType(T.StringType(), T.StringType())), T.StructField("chunks", T.ArrayType(T._parse_datatype_string(CHUNK)))])
@@ -58,6 +66,11 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(lists).alias("qid", "question"))
 
 
+def batch_counts(results: DataFrame) -> DataFrame:
+    """total_queries, successful, failed of a batch of answers (``success``)."""
+    return results.agg(F.count("*").alias("total_queries"), F.count_if("success").alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"))
+
+
 def batch_report(results: DataFrame) -> DataFrame:
     """total_queries, successful, failed, results: one row for a batch of answers."""
     return results.agg(F.count("*").alias("total_queries"), F.count_if("success").alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"), F.sort_array(F.collect_list(F.struct(*results.columns))).alias("results"))
