@@ -15,6 +15,8 @@ from quillgraph.llm import decontaminate, labelled, mixing, ngram_join, quality,
 from quillgraph.llm.common import joinable, saved, set_aside, table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces that a worker of the last stage remembers: fewer than alone, since executors hold what the stages before have left.
+PIECES = 60_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The archive's digest of each text."""
-    return token_archive.archived(docs, public_tokenizers.path(VOCABULARY))
+    return token_archive.archived(docs, public_tokenizers.path(VOCABULARY), pieces=PIECES)
 
 
 STAGES = [

@@ -335,3 +335,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+_SQL_WORDS = lambda c: f"regexp_extract_all({_LOWER(c)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RUNS = lambda rows: " UNION ALL ".join(
+    f"SELECT id, i, {k} AS k, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS run, n FROM {rows}" for k in range(1, SPAN + 1)
+)
+
+DECONTAMINATION_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_SQL_WORDS('text')} AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS id, item_id, {_SQL_WORDS('text')} AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+bw AS MATERIALIZED (SELECT id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM b),
+br AS MATERIALIZED (SELECT DISTINCT id AS item, k, run FROM ({_RUNS('bw')}) WHERE k = least(n, {SPAN}) AND i + k - 1 <= n),
+hit AS MATERIALIZED (SELECT r.id, r.i, r.k, br.item FROM ({_RUNS('dw')}) r JOIN br USING (k, run) WHERE r.i + r.k - 1 <= r.n),
+covered AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY id),
+named AS (SELECT DISTINCT hit.id, CAST(item_id AS VARCHAR) AS item_id FROM hit JOIN b ON b.id = hit.item WHERE item_id IS NOT NULL),
+items AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM named GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (id) LEFT JOIN items USING (id)
+"""

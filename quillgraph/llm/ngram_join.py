@@ -415,3 +415,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+NGRAM_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), t AS MATERIALIZED (SELECT id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), s AS MATERIALIZED (
+  SELECT DISTINCT id, run FROM (
+    SELECT id, i, n, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS run FROM t
+  ) WHERE i + least(n, 4) - 1 <= n
+), c AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id
+), p AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS m FROM s x JOIN s y USING (run) WHERE x.id < y.id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE 100 * m >= 85 * (ca.n + cb.n - m)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(id, other) AS (SELECT id, id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a
+), m AS (SELECT r.id, min(d.doc_id) AS component_id FROM r JOIN d ON d.id = r.other GROUP BY r.id)
+SELECT doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN m USING (id) LEFT JOIN c USING (id)
+"""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.decontaminate import op7_decontaminate
+from quillgraph.llm.decontaminate import DECONTAMINATION_SQL, op7_decontaminate
 from quillgraph.llm.lm_scoring import op2_lm_scoring
 from quillgraph.llm.mixing import op8_mixing
-from quillgraph.llm.ngram_join import op9_ngram_join
+from quillgraph.llm.ngram_join import NGRAM_SQL, op9_ngram_join
 from quillgraph.llm.preference import PREFERENCE_SQL, op3_preference
 from quillgraph.llm.quality import op4_quality
 from quillgraph.llm.token_archive import op6_token_archive
@@ -36,5 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_preference": PREFERENCE_SQL,
+        "op7_decontaminate": DECONTAMINATION_SQL,
+        "op9_ngram_join": NGRAM_SQL,
         "op10_topk_search": TOPK_SQL,
     }

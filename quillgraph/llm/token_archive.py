@@ -46,8 +46,10 @@ BLOCK_BYTES = 1 << 21
 LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
-#: Pieces of text whose ids a worker remembers: some 100 MB with their ids.
-CACHED_PIECES = 250_000
+#: Pieces of text whose ids a worker remembers: some 100 MB with their ids. A job whose workers need their memory for more passes fewer.
+CACHED_PIECES = 200_000
+#: Texts of so many bytes are encoded at once.
+ENCODED_BYTES = 1 << 19
 #: New pieces in one text for the library.
 RUN = 64
 
@@ -81,9 +83,10 @@ class Encoder:
     a place, so the ids of the pieces, in order, are the ids of the text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int = 0) -> None:
         import os
 
+        self.pieces = pieces or CACHED_PIECES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
@@ -164,7 +167,7 @@ class Encoder:
         self.size = np.concatenate([self.size, size])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > self.pieces:
             self._forget()
         keys = [self._pieces(x) for x in texts]
         stops = np.cumsum([len(k) for k in keys])
@@ -178,8 +181,8 @@ class Encoder:
         return np.split(out, done[stops[:-1] - 1]) if texts else []
 
 
-def encoder(path: str) -> Encoder:
-    return kept_in_worker(f"encoder {path}", lambda: Encoder(path))
+def encoder(path: str, pieces: int = 0) -> Encoder:
+    return kept_in_worker(f"encoder {path} {pieces}", lambda: Encoder(path, pieces))
 
 
 def _serialized(tool: Encoder, texts: list[str], end_id: int) -> list[bytes]:
@@ -196,7 +199,7 @@ def _spread(raw: bytes) -> bytes:
     return b"".join(raw[a : a + size] for a in starts.tolist())
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, text: str, key: str, end_id: int) -> bytes:
+def train_dictionary(docs: DataFrame, vocabulary: str, text: str, key: str, end_id: int, pieces: int = 0) -> bytes:
     """A dictionary from a bounded sample of serialized documents, chosen by a hash of key and text (null keys too)."""
     import zstandard
 
@@ -204,8 +207,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str, text: str, key: str, end_
     share = min(1.0, DICTIONARY_DOCS / max(n, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array([_spread(x) for x in _serialized(encoder(vocabulary), texts_of(batch, text), end_id)], pa.binary())], ["ids"])
+        for batch in slices(batches, text, ENCODED_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([_spread(x) for x in _serialized(encoder(vocabulary, pieces), texts_of(batch, text), end_id)], pa.binary())], ["ids"])
 
     chosen = docs.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(text)
     samples = [bytes(r.ids) for r in chosen.mapInArrow(run, "ids binary").limit(4 * DICTIONARY_DOCS).collect()]
@@ -258,19 +261,19 @@ class Block:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_archive(docs: DataFrame, path: str, vocabulary: str, text: str = "text", key: str = "doc_id", end_id: int = 0) -> str:
+def write_archive(docs: DataFrame, path: str, vocabulary: str, text: str = "text", key: str = "doc_id", end_id: int = 0, pieces: int = 0) -> str:
     """Write an archive under ``path``; gives the dictionary's SHA-256 ("" if none).
 
     Texts are shuffled once, by range of the key. The dictionary goes to ``path/dictionary``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    dictionary = train_dictionary(docs, vocabulary, text, key, end_id)
+    dictionary = train_dictionary(docs, vocabulary, text, key, end_id, pieces)
     digest = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
     spark.createDataFrame([(digest, dictionary)], "sha256 string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(vocabulary)
+        tool = encoder(vocabulary, pieces)
         compressor = _codec(dictionary)[0]
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys, frames, counts, held = [], [], [], 0
@@ -280,7 +283,7 @@ def write_archive(docs: DataFrame, path: str, vocabulary: str, text: str = "text
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], [*row])
 
-        for batch in slices(batches, text, BLOCK_BYTES):
+        for batch in slices(batches, text, ENCODED_BYTES):
             raw = _serialized(tool, texts_of(batch, text), end_id)
             for k, x in zip(batch.column(key).to_pylist(), raw, strict=True):
                 keys.append(k)
@@ -346,11 +349,11 @@ def read_archive(spark: SparkSession, path: str, keys: list[int] | None = None,
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def archived(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` to a fresh archive and give the digest of each document read back."""
+def archived(docs: DataFrame, vocabulary: str, end_id: int = 0, pieces: int = 0) -> DataFrame:
+    """Write ``docs`` to a fresh archive and give the digest of each document read back; ``pieces`` bounds a worker's memory (0: ``CACHED_PIECES``)."""
     spark = docs.sparkSession
     path = scratch(spark, "token-archive")
-    write_archive(docs, path, vocabulary, end_id=end_id)
+    write_archive(docs, path, vocabulary, end_id=end_id, pieces=pieces)
     return read_archive(spark, path, with_ids=False)
 
 

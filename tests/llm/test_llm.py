@@ -52,7 +52,7 @@ def test_registered_queries_are_all_there():
 @pytest.mark.parametrize("name", [*queries.oracle_sql()])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.execute(queries.oracle_sql()[name]).fetchdf()
     got = queries.queries()[name](spark, SF).toPandas()
