@@ -123,7 +123,8 @@ def trees(rows: DataFrame, tree: str, digest: str, depth: int = DEPTH) -> tuple[
         upper, also = trees(more, "its", "digest", depth)
         used += also
         done = done.union(upper.select("its", "pos", F.col("proof").alias("above"), "top"))
-    joined = walked.join(done.withColumnRenamed("pos", "its_block"), F.col(tree).eqNullSafe(F.col("its")) & (F.col("block") == F.col("its_block")))
+    done = done.select(F.col("its").alias("own_tree"), F.col("pos").alias("own_block"), "above", "top")
+    joined = walked.join(done, F.col(tree).eqNullSafe(F.col("own_tree")) & (F.col("block") == F.col("own_block")))
     return joined.select(tree, *kept, F.concat("proof", "above").alias("proof"), "top"), used
 
 
