@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.llm.common import kept_in_worker, slices, table, texts_of
 
@@ -257,14 +258,15 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
 def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """All columns and ``data``: the bytes that packed ids stand for; a column of that name gives way."""
     rows = rows.drop(data)
+    names = [*rows.columns, data]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary, pattern)
         for batch in slices(batches, ids):
             found = [None if x is None else tool.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*rows.columns, data])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
 
-    return rows.mapInArrow(run, rows.schema.add(data, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(data, T.BinaryType())]))
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
