@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.llm.common import slices
 
@@ -22,19 +23,24 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, total_bytes: int, key: str = "doc_id", text: str = "text") -> tuple[pd.DataFrame, float]:
     """Texts of at most ``per_class`` rows of each label, by a hash of the key, and the share of 1 among all usable labels.
 
-    Rows are taken in the order of the hash while all their texts together are within ``total_bytes``. A key labelled more
-    than once has its greatest label.
+    Rows are taken in the order of the hash; one that would bring the texts over ``total_bytes`` is passed over, and the next is tried. A key
+    labelled more than once has its greatest label, and a key with several texts the one with the least hash.
     """
     usable_labels = labels.where(usable & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     share = usable_labels.agg(F.avg("y")).first()[0]
     chosen = [usable_labels.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(per_class) for y in (0, 1)]
     # 2 * per_class rows at most
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1]).withColumnRenamed(key, "key")), "key")
-    rows = rows.withColumns({"at": F.xxhash64("key"), "mark": F.xxhash64("text"), "size": F.octet_length("text").cast("long")}).dropDuplicates(["key", "mark"])
-    # Sizes alone are summed in order; distinct texts of a key are told apart by their hash.
-    sizes = rows.groupBy("at", "key", "mark").agg(F.sum("size").alias("size"))
-    sizes = sizes.withColumn("sum", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("at", "key", "mark"))).where(F.col("sum") <= total_bytes)
-    sample = rows.join(sizes.select("key", "mark"), ["key", "mark"], "left_semi").select("key", "text", "y").toPandas()
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
+    sizes = rows.groupBy("key").agg(F.min(F.struct("mark", "size")).alias("one")).select("key", "one.*").orderBy(F.xxhash64("key"), "key")
+    taken, total = [], 0
+    for key_, mark, size in sizes.collect():  # keys, hashes and sizes of those rows
+        if total + size <= total_bytes:
+            taken.append((key_, mark))
+            total += size
+    schema = T.StructType([rows.schema["key"], T.StructField("mark", T.LongType())])
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, schema)), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
+    sample = rows.select("key", "text", "y").toPandas()
     return sample.sort_values(["key", "text"], ignore_index=True), float(share if share is not None else 0.5)
 
 

@@ -237,6 +237,18 @@ def test_classifiers_on_odd_rows(spark, odd, empty, operator):
         assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_a_long_labelled_text_is_passed_over(spark, label):
+    rows = [(i, "word " * (1 + i), "a", None) for i in range(20)]
+    first = min(range(20), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0])
+    rows[first] = (first, "long " * 1000, "a", None)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([*rows, (3, "another text", "a", None)], DOCS)
+    sample, share = labelled.labelled_sample(docs, labels, label, F.lit(True), 10, 2000)
+    assert set(sample["key"]) == set(range(20)) - {first} and share == 0.5
+    assert len(sample) == 19 and sample["text"].str.len().sum() <= 2000
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5):
