@@ -23,4 +23,13 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete tables that ``kept`` wrote, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

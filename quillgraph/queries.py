@@ -31,13 +31,13 @@ def registered(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillgraph import case_queries, graph_queries  # noqa: F401  register more
+    from quillgraph import case_queries, graph_queries, retrieval_queries  # noqa: F401  register more
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillgraph import case_queries, graph_queries  # noqa: F401  register more
+    from quillgraph import case_queries, graph_queries, retrieval_queries  # noqa: F401  register more
 
     return dict(_SQL)
 
