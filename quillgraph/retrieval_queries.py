@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph import queries
+from quillgraph.operators import vector_index
+from quillgraph.operators.cut import scratch
 from quillgraph.plans import conjunctive
 from quillgraph.queries import _t, registered
 
@@ -57,3 +60,14 @@ def conjunctive_rows(spark: SparkSession, sf: str) -> DataFrame:
     order = F.when(F.col("kind") == 0, F.array(*map(F.lit, "adi"))).when(F.col("kind").isin(1, 2), F.array(*map(F.lit, "aic"))).when(F.col("kind") == 3, F.array(*map(F.lit, "iacd"))).otherwise(F.array(*map(F.lit, "dai")))
     told = found.join(asked, "qid").withColumn("row", F.array_join(F.transform(order, lambda v: F.try_element_at("ids", v)), " "))
     return told.select("qid", "ord", "row")
+
+
+# -- stored vector index ------------------------------------------------------------
+
+
+@registered(queries._VECTOR_SQL + "SELECT qid, element_id, index, source, round(score, 6) AS score FROM m")
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact search of a stored index has the rows of the search that compares everything."""
+    nodes, asked = queries._vectors(spark, sf)
+    index = vector_index.build(nodes, scratch(spark), buckets=8)
+    return index.search(asked, queries._index_settings(spark), exact=True).withColumn("score", F.round("score", 6))
