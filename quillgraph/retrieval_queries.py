@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph import queries
-from quillgraph.operators import vector_index
+from quillgraph import graph_queries, queries  # noqa: F401  its SQL is used again
+from quillgraph.operators import search, text_index, vector_index
 from quillgraph.operators.cut import scratch
 from quillgraph.plans import conjunctive
 from quillgraph.queries import _t, registered
@@ -71,3 +71,23 @@ def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     nodes, asked = queries._vectors(spark, sf)
     index = vector_index.build(nodes, scratch(spark), buckets=8)
     return index.search(asked, queries._index_settings(spark), exact=True).withColumn("score", F.round("score", 6))
+
+
+# -- stored full-text index -----------------------------------------------------------
+
+
+def _asked_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), search.tokens("text").alias("terms"))
+
+
+@registered(queries._SQL["fulltext_topk"])
+def text_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of scoring every document, from a stored index that leaves out what can't be among the best."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), "text")
+    return text_index.build(docs, scratch(spark)).search(_asked_texts(spark, sf)).withColumn("score", F.round("score", 4))
+
+
+@registered(queries._SQL["fulltext_labels"])
+def text_index_labels(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), "text", F.array("lang").alias("labels"))
+    return text_index.build(docs, scratch(spark)).search(_asked_texts(spark, sf), labels=["de", "fr"]).withColumn("score", F.round("score", 4))
