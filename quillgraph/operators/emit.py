@@ -143,30 +143,42 @@ def schema() -> T.StructType:
     return T._parse_datatype_string(f"document_id string, chunk_id string, entities struct<{entity}>")
 
 
-def _map(parts: dict[str, str]):
-    if not parts:
-        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.create_map(*(x for k, v in parts.items() for x in (F.lit(k), F.expr(v).cast("string"))))
-
-
 def _whole(key: str) -> Column:
     return F.forall(F.map_values(key), lambda v: v.isNotNull() & (v != ""))
 
 
+def _records(extracted: DataFrame, out: list[tuple[str, str, str]], record: str) -> DataFrame:
+    """The rows of ``extracted`` with ``r``, one for each record: all rules are arrays of one row, so chunks are read once.
+
+    out: (entity array, list in it or "", record as SQL over e, x and doc); record: the type of a record.
+    """
+    arrays = []
+    for kind, items, told in out:
+        whole = f"transform(filter(entities.{kind}, e -> e IS NOT NULL), e -> {told})"
+        if items:
+            whole = f"flatten(transform(filter(entities.{kind}, e -> e.{items} IS NOT NULL), e -> transform(e.{items}, x -> {told})))"
+        arrays.append(F.coalesce(F.expr(whole).cast(f"array<{record}>"), F.array().cast(f"array<{record}>")))
+    named = extracted.withColumn("doc", F.col("document_id"))
+    return named.withColumn("r", F.explode(F.concat(*arrays))).drop("doc", "entities")
+
+
+def _sql_map(parts: dict[str, str]) -> str:
+    return f"map({', '.join(f"'{k}', CAST({v} AS STRING)" for k, v in parts.items())})" if parts else "CAST(map() AS MAP<STRING, STRING>)"
+
+
 def nodes(extracted: DataFrame) -> DataFrame:
-    """document_id, chunk_id, label, key, props: a record per entity with a whole key."""
+    """The columns of ``extracted`` but for the entities, and label, key, props: a record per entity with a whole key."""
     out = []
     for kind, (label, key, props) in NODES.items():
-        rows = extracted.select("document_id", "chunk_id", F.col("document_id").alias("doc"), F.explode(f"entities.{kind}").alias("e"))
-        values = _map({p: f"e.`{p}`" for p in props})
-        falsy = F.map_filter(values, lambda k, v: v.isNotNull() & ~v.isin("", "0", "0.0"))
-        values = falsy if kind in WITHOUT_FALSY else F.map_filter(values, lambda k, v: v.isNotNull())
-        out.append(rows.select("document_id", "chunk_id", F.lit(label).alias("label"), _map(key).alias("key"), values.alias("props")))
-    return reduce(DataFrame.unionByName, out).where(_whole("key"))
+        bad = "v IS NULL OR v IN ('', '0', '0.0')" if kind in WITHOUT_FALSY else "v IS NULL"
+        values = f"map_filter({_sql_map({p: f'e.`{p}`' for p in props})}, (k, v) -> NOT ({bad}))"
+        out.append((kind, "", f"named_struct('label', '{label}', 'key', {_sql_map(key)}, 'props', {values})"))
+    rows = _records(extracted, out, "struct<label:string,key:map<string,string>,props:map<string,string>>")
+    return rows.select("*", "r.*").drop("r").where(_whole("key"))
 
 
 def edges(extracted: DataFrame) -> DataFrame:
-    """document_id, chunk_id, type, src_label, src_key, dst_label, dst_key, props: what the rules give.
+    """The columns of ``extracted`` but for the entities, and type, src_label, src_key, dst_label, dst_key, props: what the rules give.
 
     A record whose keys can't be read, such as an act key without numbers, is left out; see ``rejected``.
     """
@@ -182,12 +194,11 @@ def rejected(extracted: DataFrame) -> DataFrame:
 def _edges(extracted: DataFrame) -> DataFrame:
     out = []
     for kind, name, src, src_key, dst, dst_key, items, props in EDGES:
-        rows = extracted.select("document_id", "chunk_id", F.col("document_id").alias("doc"), F.explode(f"entities.{kind}").alias("e"))
-        if items:
-            rows = rows.withColumn("x", F.explode(f"e.{items}"))
-        values = F.map_filter(_map(props), lambda k, v: v.isNotNull())
-        out.append(rows.select("document_id", "chunk_id", F.lit(name).alias("type"), F.lit(src).alias("src_label"), _map(src_key).alias("src_key"), F.lit(dst).alias("dst_label"), _map(dst_key).alias("dst_key"), values.alias("props")))
-    return reduce(DataFrame.unionByName, out)
+        values = f"map_filter({_sql_map(props)}, (k, v) -> v IS NOT NULL)"
+        told = f"named_struct('type', '{name}', 'src_label', '{src}', 'src_key', {_sql_map(src_key)}, 'dst_label', '{dst}', 'dst_key', {_sql_map(dst_key)}, 'props', {values})"
+        out.append((kind, items, told))
+    rows = _records(extracted, out, "struct<type:string,src_label:string,src_key:map<string,string>,dst_label:string,dst_key:map<string,string>,props:map<string,string>>")
+    return rows.select("*", "r.*").drop("r")
 
 
 def entity_totals(extracted: DataFrame) -> DataFrame:

@@ -1,18 +1,19 @@
 """Entities of chunks by six groups of providers, and from chunks to a graph.
 
 Each group's provider answers for a chunk with a JSON object of arrays, one per kind. Groups fail apart: a chunk keeps
-what the others gave, and lists the groups that failed.
+what the others gave, and lists the groups that failed, with what was wrong.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import emit, graph
+from quillgraph.operators import answer_store, emit, graph
+from quillgraph.operators.answer_store import AnswerStore
+from quillgraph.operators.cut import discarded, kept
 
 # Which kinds each group extracts.
 GROUPS: dict[str, list[str]] = {
@@ -25,54 +26,67 @@ GROUPS: dict[str, list[str]] = {
 }
 
 
-def extracted(chunks: DataFrame, providers: dict[str, Callable[[list[str]], list]], concurrency: int | None = None, batch: int = 8) -> DataFrame:
-    """document_id, chunk_id, entities (struct of arrays), failed_groups.
+def extracted(chunks: DataFrame, providers: dict[str, Callable[[list[str]], list]], concurrency: int | None = None, store: AnswerStore | None = None, retries: int = 0) -> DataFrame:
+    """The columns of ``chunks`` but for ``chunk_json``, and entities (struct of arrays), failed_groups, errors (map from group to what was wrong).
 
-    chunks: document_id, chunk_id and what a provider is to read, as JSON in ``chunk_json``. An answer that isn't a JSON
-    object fails its group. ``concurrency`` bounds the calls at one time: so many tasks call providers.
+    chunks: document_id, chunk_id, maybe more, and what a provider is to read, as JSON in ``chunk_json``. An answer that isn't a whole JSON object of
+    the group's arrays fails its group: cut off, of other types, or no object at all. Each provider answers a distinct text once, and what it has answered is
+    in ``store`` before it is used, under the group's name. ``concurrency`` bounds the tasks that call providers at one time.
     """
-    names = [*GROUPS]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), batch):
-                some = part.iloc[at : at + batch]
-                texts = some["chunk_json"].fillna("").tolist()
-                out = some[["document_id", "chunk_id"]].copy()
-                for name in names:
-                    provider = providers.get(name)
-                    answers: list = [None] * len(texts)
-                    for i, x in enumerate(texts if provider else []):
-                        try:
-                            answers[i] = provider([x])[0]
-                        except Exception:  # noqa: BLE001  a provider may fail in any way; the chunk lists the group
-                            answers[i] = None
-                    out[name] = answers if provider else ["{}"] * len(texts)
-                yield out
-
-    rows = chunks.repartition(concurrency) if concurrency else chunks
-    raw = rows.select("document_id", "chunk_id", "chunk_json").mapInPandas(run, "document_id string, chunk_id string, " + ", ".join(f"{n} string" for n in names))
+    held = store or answer_store.store(chunks.sparkSession)
+    rest = [c for c in chunks.columns if c != "chunk_json"]
+    rows = kept(chunks.withColumn("chunk_row", F.monotonically_increasing_id()))
     schema = emit.schema()["entities"].dataType
-    parsed = raw
+    parsed = rows
     for name, kinds in GROUPS.items():
         fields = ", ".join(f"{k}: {schema[k].dataType.simpleString()}" for k in kinds)
-        parsed = parsed.withColumn(name, F.when(F.ltrim(name).startswith("{"), F.from_json(name, f"struct<{fields}>")))
-    failed = F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in names)))
+        if name not in providers:
+            parsed = parsed.withColumns({name: F.from_json(F.lit("{}"), f"struct<{fields}>"), f"{name}_error": F.lit(None).cast("string")})
+            continue
+        answers = held.answered(rows, ["chunk_row"], "chunk_json", name, providers[name], retries=retries, tasks=concurrency)
+        parsed = parsed.join(answers, "chunk_row")
+        read = F.from_json("value", f"struct<{fields}, unread: string>", {"columnNameOfCorruptRecord": "unread"})
+        wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("value").isNull(), "no answer").when(~F.ltrim("value").startswith("{"), "not a JSON object")
+        parsed = parsed.withColumn(name, read).withColumn(f"{name}_error", wrong.when(F.col(name).isNull() | F.col(f"{name}.unread").isNotNull(), "broken JSON")).drop("value", "error")
+        parsed = parsed.withColumn(name, F.when(F.col(f"{name}_error").isNull(), F.col(name)))
+    failed = F.array_compact(F.array(*(F.when(F.col(f"{n}_error").isNotNull(), n) for n in GROUPS)))
+    errors = F.map_filter(F.create_map(*(x for n in GROUPS for x in (F.lit(n), F.col(f"{n}_error")))), lambda k, v: v.isNotNull())
     group_of = {k: n for n, kinds in GROUPS.items() for k in kinds}
     arrays = [F.coalesce(F.col(f"{group_of[k]}.{k}"), F.array().cast(schema[k].dataType)).alias(k) for k in emit.ENTITIES]
-    return parsed.select("document_id", "chunk_id", F.struct(*arrays).alias("entities"), failed.alias("failed_groups"))
+    found = parsed.select(*rest, F.struct(*arrays).alias("entities"), failed.alias("failed_groups"), errors.alias("errors"))
+    out = kept(found)
+    discarded(rows)
+    return out
 
 
-def graph_of(found: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number by ``order`` (from 0), by a range partitioning and the counts of its parts."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"order_part": F.spark_partition_id(), "order_at": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("order_part").agg(F.count("*").alias("n"), F.min("order_at").alias("first"))  # a row a part
+    before = F.sum("n").over(Window.orderBy("order_part")) - F.col("n") - F.col("first")
+    shift = counts.select("order_part", before.alias("shift"))
+    return ranged.join(F.broadcast(shift), "order_part").withColumn(name, F.col("order_at") + F.col("shift")).drop("order_part", "order_at", "shift")
+
+
+def graph_of(found: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the graph with what was extracted merged in; edges need both ends.
 
-    Records are ordered by document and chunk, so that reruns agree on which value is the latest.
+    The last value wins: by ``order`` of the chunks (else document, then chunk id, shorter ones first, so that chunk 10 follows chunk 9), and
+    within a chunk by the order of the rules. What is merged in is later than all that the graph holds.
     """
-    seq = F.xxhash64("document_id", "chunk_id")
-    fresh = emit.nodes(found).select("label", graph.node_id().alias("node_id"), F.map_concat("key", F.map_filter("props", lambda k, v: ~F.map_contains_key("key", k))).alias("props"), seq.alias("seq"))
-    links = emit.edges(found).select("type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"), "props", seq.alias("seq"))
-    all_nodes = graph.upsert_nodes(fresh if nodes is None else nodes.unionByName(fresh))
-    return all_nodes, graph.upsert_edges(links if edges is None else edges.unionByName(links), all_nodes)
+    order = order or [F.col("document_id"), F.length("chunk_id"), F.col("chunk_id")]
+    last = 0
+    for stored in (nodes, edges):
+        if stored is not None:
+            last = max(last, stored.agg(F.max("seq")).first()[0] or 0)
+    ranked = kept(numbered(found, order, "seq").withColumn("seq", (F.col("seq") + last + 1).cast("long")).select("document_id", "chunk_id", "entities", "seq"))
+    fresh = emit.nodes(ranked).select("label", graph.node_id().alias("node_id"), F.map_concat("key", F.map_filter("props", lambda k, v: ~F.map_contains_key("key", k))).alias("props"), "seq")
+    links = emit.edges(ranked).select("type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"), "props", "seq")
+    all_nodes = kept(graph.upsert_nodes(fresh if nodes is None else nodes.unionByName(fresh)))
+    all_edges = kept(graph.upsert_edges(links if edges is None else edges.unionByName(links), all_nodes))
+    discarded(ranked)
+    return all_nodes, all_edges
 
 
 def written(nodes: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
