@@ -56,7 +56,9 @@ _cases("languages", lambda c: F.concat_ws("|", language.normalize_language(c), l
 _cases("detectable", language.should_detect, ("short text", "false"), ("this is a message of more than eight words and of enough characters", "true"), ("averyveryveryveryverylongsinglewordwithoutanyspacesatall", "false"))
 _cases("language_switches", lambda c: language.explicit_switch(c, F.lit("it")), ("please reply in English", "en"), ("escribe en español", "es"), ("rispondi in italiano", None), ("what is the penalty", None))
 _cases("draft_requests", language.is_generation_request, ("generami un atto di opposizione", "true"), ("drafta", "true"), ("crea una lista", "false"))
-_cases("placeholders", lambda c: language.field_or_placeholder(c, "Court"), (" ", "[PLACEHOLDER] (Court)"), ("Rome", "Rome"))
+_cases("placeholders", lambda c: F.concat_ws("|", *(language.field_or_placeholder(c, "Court", x) for x in ("it", "en", "es", "fr"))), (" ", "[DA COMPILARE] (Court)|[TO BE COMPLETED] (Court)|[COMPLETAR] (Court)|[DA COMPILARE] (Court)"), ("Rome ", "Rome|Rome|Rome|Rome"))
+_cases("case_fields", lambda c: _bar(F.map_values(language.case_details(c))), ('```json\n{"court": "Roma", "amount": 5}\n```', "|||Roma|5||"), ("no json", "||||||"), ('{"plaintiff": "A", "date": null}', "A||||||"))
+_cases("unclear_switches", lambda c: F.concat_ws("|", language.unclear_switch(c), language.switch_reply(c, F.lit("it"))), ("EN.", "false|en"), ("no", "false"), ("it", "false"))
 _cases("article_numbers", lambda c: titles.article_number(titles.clean_title(c)), ("Article Five", "5"), ("Article (12)", "12"), ("Schedule (A)", None))
 _cases("article_versions", lambda c: titles.article_version(titles.clean_title(c)), ("Text After Amendment", "After"), ("Article Text Before Amendment", "Before"), ("Notice", None))
 _cases("metadata_blocks", lambda c: F.concat_ws("|", F.try_element_at(parse.document_metadata(c), F.lit("document_id")), F.try_element_at(parse.document_metadata(c), F.lit("language"))), ("<document_metadata>\ndocument_id: g-1\nlanguage: en\n# no\n</document_metadata>\nx", "g-1|en"), ('<document_metadata>{"document_id": "g-2", "language": "es"}</document_metadata>', "g-2|es"))

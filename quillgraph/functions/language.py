@@ -61,5 +61,35 @@ def is_generation_request(c: Column | str) -> Column:
     return both | F.arrays_overlap(words, _list(STRONG))
 
 
-def field_or_placeholder(value: Column | str, label: str, placeholder: str = "[PLACEHOLDER]") -> Column:
-    return F.coalesce(F.nullif(F.trim(col(value)), F.lit("")), F.lit(f"{placeholder} ({label})"))
+def unclear_switch(c: Column | str) -> Column:
+    """Whether a message hints at a language without asking for one in words that are known: only a provider can tell."""
+    c = F.coalesce(col(c), F.lit(""))
+    known = c.rlike(SWITCH["it"]) | c.rlike(SWITCH["en"]) | c.rlike(SWITCH["es"])
+    return F.arrays_overlap(_words(c), _list(HINTS)) & ~known
+
+
+def switch_reply(reply: Column | str, current: Column | str) -> Column:
+    """The language that a provider's reply names, if it isn't the current one; a no, or anything else, is null."""
+    said = F.lower(F.trim(F.coalesce(col(reply), F.lit(""))))
+    token = F.substring(F.regexp_replace(said, "[^a-z]", ""), 1, 2)
+    return F.when(~said.isin("no", "none", "n") & token.isin("it", "en", "es") & ~token.eqNullSafe(col(current)), token)
+
+
+# What stands in a draft for a field that isn't known, by language.
+PLACEHOLDERS = {"es": "[COMPLETAR]", "en": "[TO BE COMPLETED]", "it": "[DA COMPILARE]"}
+#: The fields of a case that a draft is made from.
+CASE_FIELDS = ["plaintiff", "defendant", "injunction_reference", "court", "amount", "grounds", "date"]
+
+
+def field_or_placeholder(value: Column | str, label: str, lang: Column | str = "it") -> Column:
+    """A field's trimmed value, or the placeholder of ``lang`` (a code, or a column of codes; Italian for any other) with the field's label."""
+    code = F.lit(lang) if isinstance(lang, str) else lang
+    mark = F.when(code == "es", PLACEHOLDERS["es"]).when(code == "en", PLACEHOLDERS["en"]).otherwise(PLACEHOLDERS["it"])
+    return F.coalesce(F.nullif(F.trim(col(value)), F.lit("")), F.concat(mark, F.lit(f" ({label})")))
+
+
+def case_details(answer: Column | str) -> Column:
+    """A map of the fields of a case from a provider's answer, in a code fence or not; a field that is missing, and all of an answer that can't be read, are empty."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(answer), F.lit("")), r"```(?:json)?\s*", ""), r"[`\s]+$", ""))
+    read = F.from_json(body, "map<string,string>")
+    return F.create_map(*(x for f in CASE_FIELDS for x in (F.lit(f), F.coalesce(F.try_element_at(read, F.lit(f)), F.lit("")))))

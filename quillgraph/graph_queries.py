@@ -54,27 +54,38 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Which documents name customer "), "c_custkey").alias("question"))
 
 
-_ROWS = """
+def _written(texts: list[str]) -> list[str]:
+    return ["from rows" if "\nData:\n" in t else "from a note" if "\nNote: " in t else "from nothing" for t in texts]
+
+
+_LOOP = """
 WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY 'd' || o_orderkey) AS n FROM orders),
-f AS (SELECT o_orderkey FROM orders ORDER BY 'd' || o_orderkey, 'c' || o_custkey LIMIT 10),
-r AS (SELECT c_custkey AS qid, o_orderkey FROM customer JOIN o ON o_custkey = c_custkey AND n <= 10 WHERE c_custkey % 4 IN (0, 1) OR c_custkey % 8 = 2
-      UNION ALL SELECT c_custkey, o_orderkey FROM customer, f WHERE c_custkey % 4 = 3),
+c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY 'd' || o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 4 = 0),
+m AS (SELECT c_custkey AS qid, c_custkey % 4 AS kind, (SELECT least(10, count(*)) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT least(10, count(*)) FROM c WHERE o_custkey = c_custkey) AS nc FROM customer),
+s AS (SELECT *, kind IN (0, 1) OR qid % 8 IN (2, 7) AS runs, CASE WHEN nc > 0 THEN nc ELSE n END AS before FROM m),
+r AS (SELECT qid, o_orderkey FROM s JOIN o ON o_custkey = qid AND o.n <= 10 WHERE runs AND nc < 2
+      UNION ALL SELECT qid, o_orderkey FROM s JOIN c ON o_custkey = qid AND c.n <= 10 WHERE nc >= 2),
 k AS (SELECT qid, count(*) AS n_rows, string_agg('Order ' || o_orderkey, ',' ORDER BY 'Order ' || o_orderkey) AS citations FROM r GROUP BY qid)
-"""
+SELECT s.qid, CASE WHEN NOT runs THEN 'abort' WHEN before = 1 THEN 'reformulation' WHEN nc > 0 THEN 'intersection' WHEN kind = 2 THEN 'context_explore' ELSE 'fallback' END AS attempt,
+  CAST(CASE WHEN kind IN (0, 1) OR qid % 8 = 7 THEN 1 ELSE 0 END AS BIGINT) AS n_entry, CAST(CASE WHEN s.qid % 8 = 2 THEN 1 ELSE nc END AS BIGINT) AS n_context,
+  coalesce(n_rows, 0) AS n_rows, CASE WHEN NOT runs OR before <> 1 THEN 0 WHEN kind = 0 AND n > 1 THEN 1 ELSE 2 END AS rounds, coalesce(n_rows, 0) > 0 AS verdict_ok, coalesce(citations, '') AS citations,
+  CASE WHEN NOT runs THEN 'from a note' WHEN n_rows > 0 THEN 'from rows' ELSE 'from nothing' END AS answer
+FROM s LEFT JOIN k USING (qid)"""
 
 
-@registered(_ROWS + """SELECT c_custkey AS qid,
-  CASE WHEN c_custkey % 8 = 6 THEN 'abort' WHEN n_rows = 1 AND c_custkey % 4 <> 3 THEN 'reformulation' WHEN c_custkey % 8 = 2 THEN CASE WHEN n_rows > 0 THEN 'context_explore' ELSE 'intersection' END
-       WHEN c_custkey % 4 = 3 THEN 'intersection' WHEN c_custkey % 4 = 0 THEN 'intersection' WHEN n_rows > 0 THEN 'fallback' ELSE 'intersection' END AS attempt,
-  CAST(CASE WHEN c_custkey % 4 IN (0, 1) THEN 1 ELSE 0 END AS BIGINT) AS n_entry, CAST(CASE WHEN c_custkey % 8 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_context,
-  coalesce(n_rows, 0) AS n_rows, coalesce(n_rows, 0) > 1 AS verdict_ok, coalesce(citations, '') AS citations
-FROM customer LEFT JOIN k ON qid = c_custkey""")
+@registered(_LOOP)
 def question_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer's question through decomposition, linking, patterns, review and citations."""
+    """Every customer's question through decomposition, linking, context, patterns, review and an answer, by all routes.
+
+    Linked acts are matched with the orders among their context (every third); acts alone fall back to their edges; unknown entities are explored from their
+    context, if there is one; acts that aren't there have the entry nodes of a wider phrase, if there is one.
+    """
     nodes, edges = _act_graph(spark, sf)
-    context = lambda rows: rows.where("qid % 8 = 2").select("qid", F.concat(F.lit("c"), "qid").alias("element_id"), F.lit(0.5).alias("score"))
-    found = questions.answered(_questions(spark, sf), nodes, edges, _decomposed, _poor_if_single, context)
-    return found.select("qid", "attempt", "n_entry", "n_context", "n_rows", "verdict_ok", F.coalesce(F.array_join("citations", ","), F.lit("")).alias("citations"))
+    orders = _t(spark, sf, "orders").where("o_orderkey % 3 = 0 AND o_custkey % 4 = 0").select(F.col("o_custkey").alias("qid"), F.concat(F.lit("d"), "o_orderkey").alias("element_id"), F.lit(0.5).alias("score"))
+    act = lambda rows: rows.select("qid", F.concat(F.lit("c"), "qid").alias("element_id"), F.lit(0.5).alias("score"))
+    context = lambda rows: orders.join(rows.select("qid"), "qid", "left_semi").unionByName(act(rows.where("qid % 8 = 2")))
+    found = questions.answered(_questions(spark, sf), nodes, edges, _decomposed, _poor_if_single, context, generalized=lambda rows: act(rows.where("qid % 8 = 7")), writer=_written)
+    return found.select("qid", "attempt", "n_entry", "n_context", "n_rows", "rounds", "verdict_ok", F.coalesce(F.array_join("citations", ","), F.lit("")).alias("citations"), "answer")
 
 
 @registered("""
@@ -90,13 +101,27 @@ def question_entities(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("qid", "id", "label", F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("props"))
 
 
+# What each customer's question links: from, type, to.
+_LINKED = [("Document", "HAS_CHUNK", "Section"), ("Document", "HAS_CHUNK", "LegalAct"), ("Section", "HAS_CHUNK", "Document"), ("Penalty", "IMPOSED_ON", "Company"), ("Company", "IMPOSED_ON", "Penalty"), ("Document", "HAS_CHUNK", "Tender"), ("Document", "HAS_CHUNK", "Vote")]
+
+
+def _links_asked(texts: list[str]) -> list[str]:
+    out = []
+    for text in texts:
+        source, kind, target = _LINKED[int(text.rsplit(" ", 1)[1]) % len(_LINKED)]
+        nodes = [{"id": "s", "label": source, "properties": {}}, {"id": "t", "label": target, "properties": {}}]
+        out.append(json.dumps({"nodes": nodes, "relationships": [{"source_id": "s", "target_id": "t", "type": kind}, {"source_id": "s", "target_id": "nowhere", "type": kind}, {"source_id": "s", "target_id": "t", "type": ""}]}))
+    return out
+
+
 @registered("""
-SELECT c_custkey AS qid, 'HAS_CHUNK' AS type, 'Document' AS src_label, 'LegalAct' AS dst_label FROM customer WHERE c_custkey % 4 IN (0, 3)""")
+SELECT c_custkey AS qid, CASE WHEN c_custkey % 7 = 3 THEN 'IMPOSED_ON' ELSE 'HAS_CHUNK' END AS type, CASE WHEN c_custkey % 7 = 3 THEN 'Penalty' ELSE 'Document' END AS src_label,
+  CASE c_custkey % 7 WHEN 0 THEN 'Section' WHEN 1 THEN 'LegalAct' WHEN 3 THEN 'Company' ELSE 'Tender' END AS dst_label FROM customer WHERE c_custkey % 7 IN (0, 1, 3, 5)""")
 def question_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Links the wrong way round are discarded."""
+    """Links match a rule whole: any target that the schema has for a type; the wrong way round, unknown targets and unknown ends are discarded."""
     from quillgraph.operators.providers import called
 
-    entities, links = decompose.question_graph(called(_questions(spark, sf), "qid", "question", _decomposed))
+    entities, links = decompose.question_graph(called(_questions(spark, sf), "qid", "question", _links_asked))
     kept = decompose.valid_links(links, decompose.valid_entities(entities, catalog.entities(spark)), catalog.relations(spark))
     return kept.select("qid", "type", "src_label", "dst_label")
 
@@ -143,7 +168,7 @@ def question_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("""
 WITH e AS (SELECT c_custkey AS qid, (['Resolution', 'Meeting', 'Asset', 'Company', 'Topic'])[1 + CAST(c_custkey % 5 AS INTEGER)] AS label FROM customer)
-SELECT qid, label, CASE label WHEN 'Resolution' THEN 'legalact_embeddings' WHEN 'Company' THEN 'company_embeddings' WHEN 'Topic' THEN 'topic_embeddings' ELSE 'document_embeddings' END AS index FROM e""")
+SELECT qid, label, CASE label WHEN 'Resolution' THEN 'legalact_embeddings' WHEN 'Company' THEN 'company_embeddings' WHEN 'Topic' THEN 'topic_embeddings' ELSE 'document_embeddings' END AS index FROM e WHERE label <> 'Asset'""")
 def label_index_map(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, ("Resolution", "Meeting", "Asset", "Company", "Topic"))), (F.col("c_custkey") % 5 + 1).cast("int"))
     asked = _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), label.alias("label"))
@@ -183,6 +208,20 @@ def source_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), told["type"].alias("type"), told["id"].alias("source"), told["act_number"].alias("act_number"), F.try_element_at(told, F.lit("text_preview")).alias("preview"), text.alias("summary"))
 
 
+@registered("""
+WITH r AS (SELECT o_custkey AS qid, o_orderkey AS ord, '{"a":{"labels":["Penalty"],"title":""' || ',"text_en":"' || o_orderstatus || '"},"d":{"labels":["Document"],"document_id":"' || o_orderkey || '","document_title":"Order \\"' || o_orderkey || '\\"","document_date":"' || CAST(o_orderdate AS DATE) || '"}}' AS json FROM orders),
+s AS (SELECT *, row_number() OVER w AS n, sum(length(json)) OVER w AS total FROM r WINDOW w AS (PARTITION BY qid ORDER BY ord))
+SELECT qid, ord, json FROM s WHERE n <= 8 AND total <= 700""")
+def node_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of nodes, each told by its label, while all together are within a bound; the row that would pass it is left out."""
+    node = lambda label, **kv: F.struct(F.array(F.lit(label)).alias("labels"), F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v))).alias("props"))
+    key = F.col("o_orderkey").cast("string")
+    document = node("Document", document_id=key, document_title=F.concat(F.lit('Order "'), key, F.lit('"')), document_date=F.to_date("o_orderdate").cast("string"), more=F.lit("untold"))
+    nodes = F.create_map(F.lit("d"), document, F.lit("a"), node("Penalty", text_en=F.col("o_orderstatus"), name=F.lit(None).cast("string")))
+    rows = _t(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("ord"), nodes.alias("nodes"))
+    return answer.summary(rows, most=8, length=700)
+
+
 @registered("""
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CASE lang WHEN 'es' THEN '(ninguna seccion recuperada de la base de conocimiento)' WHEN 'en' THEN '(no sections retrieved from the knowledge base)' ELSE '(nessuna sezione recuperata dalla knowledge base)' END
   ELSE '[1] ' || CASE WHEN doc_id % 3 = 0 THEN 'Sezione 1' ELSE 'T' || doc_id END || CASE WHEN coalesce(source, '') <> '' THEN ' (Fonte: ' || source || ')' ELSE '' END

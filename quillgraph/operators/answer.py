@@ -33,12 +33,30 @@ def result_sections(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, most: int = SUMMARY_ROWS, length: int = SUMMARY_LENGTH) -> DataFrame:
-    """The first rows of each question as JSON, until their length passes the bound. rows: qid, ord, props (map)."""
+    """The first rows of each question as JSON, while their length together is within the bound. rows: qid, ord, and props (map) or nodes.
+
+    ``nodes`` is a map from a name to struct<labels:array<string>,props:map<string,string>>; each is told as ``node_summary`` has it, with its labels.
+    """
     order = Window.partitionBy("qid").orderBy("ord")
-    short = F.map_filter(F.transform_values("props", lambda k, v: cut(v, 100)), lambda k, v: v.isNotNull())
-    out = rows.select("qid", "ord", F.to_json(short).alias("json")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-    before = F.coalesce(F.sum(F.length("json")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("before", before).where(F.col("before") <= length).drop("before", "n")
+    if "nodes" in rows.columns:
+        told = F.transform(F.array_sort(F.map_keys("nodes")), lambda k: F.concat(_quoted(k), F.lit(":"), _node_json(F.try_element_at("nodes", k))))
+        json = F.concat(F.lit("{"), F.array_join(told, ","), F.lit("}"))
+    else:
+        json = F.to_json(F.map_filter(F.transform_values("props", lambda k, v: cut(v, 100)), lambda k, v: v.isNotNull()))
+    out = rows.select("qid", "ord", json.alias("json")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    total = F.sum(F.length("json")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return out.withColumn("total", total).where(F.col("total") <= length).drop("total", "n")
+
+
+def _quoted(c: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[([\s\S]*)\]$", 1)
+
+
+def _node_json(node: Column) -> Column:
+    told = node_summary(node["labels"], node["props"])
+    rest = F.when(F.size(told) > 0, F.concat(F.lit(","), F.regexp_replace(F.to_json(told), r"^\{", ""))).otherwise("}")
+    return F.concat(F.lit('{"labels":'), F.to_json(F.coalesce(node["labels"], F.array().cast("array<string>"))), rest)
 
 
 def node_lines(rows: DataFrame, with_score: bool = False) -> DataFrame:

@@ -79,13 +79,13 @@ def rewrite_prompts(incoming: DataFrame, messages: DataFrame, keep: int = RECENT
     return incoming.join(told, "session_id", "left").select("session_id", "text", prompt.alias("prompt"))
 
 
-def chat_turn(incoming: DataFrame, messages: DataFrame, sessions: DataFrame, rewriter, answers, detector=None) -> tuple[DataFrame, DataFrame]:
+def chat_turn(incoming: DataFrame, messages: DataFrame, sessions: DataFrame, rewriter, answers, detector=None, switcher=None) -> tuple[DataFrame, DataFrame]:
     """(turns, messages): one message of each session answered, and the history with both sides added.
 
     incoming: session_id, text; sessions: session_id, language. Turns: session_id, language, original_query,
     resolved_query, answer. A session's second message on is rewritten with what was said before; where the rewriter
     fails, the message stands. ``answers`` maps (qid, question) to (qid, answer). ``detector`` names the language of a
-    first message that is long enough.
+    first message that is long enough; ``switcher`` (it, en, es or no) tells what a message with an unclear hint asks for.
     """
     from quillgraph.functions import language
     from quillgraph.operators.providers import called
@@ -99,6 +99,10 @@ def chat_turn(incoming: DataFrame, messages: DataFrame, sessions: DataFrame, rew
         long = rows.where(first & F.col("switch").isNull() & language.should_detect("text"))
         seen = called(long, "session_id", "text", detector).select("session_id", F.col("value").alias("detected"))
         rows = rows.join(seen, "session_id", "left").withColumn("switch", F.coalesce("switch", F.when(F.col("detected").isNotNull(), language.normalize_language("detected"))))
+    if switcher is not None:
+        unclear = rows.where(F.col("switch").isNull() & language.unclear_switch("text"))
+        told = called(unclear, "session_id", "text", switcher).select("session_id", F.col("value").alias("reply"))
+        rows = rows.join(told, "session_id", "left").withColumn("switch", F.coalesce("switch", language.switch_reply("reply", "current")))
     turns = rows.select("session_id", F.coalesce("switch", "current").alias("language"), F.col("text").alias("original_query"), F.coalesce("resolved", "text").alias("resolved_query"))
     given = answers(turns.select(F.col("session_id").alias("qid"), F.col("resolved_query").alias("question")))
     turns = turns.join(given.select(F.col("qid").alias("session_id"), "answer"), "session_id", "left")

@@ -55,17 +55,17 @@ def normalized_entities(valid: DataFrame) -> DataFrame:
     return out.where("size(props) > 0 OR size(key_props) = 0").drop("key_props")
 
 
-def valid_links(links: DataFrame, valid: DataFrame, relations: DataFrame) -> DataFrame:
+def valid_links(links: DataFrame, valid: DataFrame, relations: DataFrame, last_only: bool = False) -> DataFrame:
     """Links between valid entities that the schema allows: src_label and dst_label are added.
 
-    An end that is dropped later for want of properties doesn't matter. Of rules with one (from, type) the last
-    counts; relations: from_label, type, to_label, ord.
+    An end that is dropped later for want of properties doesn't matter. A rule is matched whole; with ``last_only``, of
+    rules with one (from, type) the last alone counts. relations: from_label, type, to_label, ord.
     """
     ends = valid.select("qid", "id", "label")
     out = links.where("coalesce(type, '') <> ''")
     for side, name in (("source_id", "src_label"), ("target_id", "dst_label")):
         out = out.join(ends.toDF("qid", side, name), ["qid", side])
-    return allowed(out, relations, last_only=True).select("qid", "ord", "source_id", "target_id", "type", "src_label", "dst_label")
+    return allowed(out, relations, last_only).select("qid", "ord", "source_id", "target_id", "type", "src_label", "dst_label")
 
 
 def chosen_labels(answer: Column | str, known: list[str]) -> Column:

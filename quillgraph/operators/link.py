@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import lookup_candidates
+from quillgraph.operators.cut import kept
+from quillgraph.operators.search import tokens
+from quillgraph.operators.text_index import TextIndex
 
 # Labels with a composite key, and with an id of their own.
 COMPOSITE = {"Article": ["parent_act_key", "index"], "Clause": ["parent_article_key", "index"], "CourtCase": ["document_id", "chunk_id"], "Section": ["document_id", "chunk_id"]}
@@ -56,10 +59,18 @@ def _key_source(label):
     return F.when(label == "LegalAct", "legalact:key").when(label.isin(*COMPOSITE), F.concat(F.lit("btree:composite_"), F.lower(label))).otherwise(F.concat(F.lit("btree:id_"), F.lower(label)))
 
 
-def linked(entities: DataFrame, nodes: DataFrame, properties: DataFrame) -> DataFrame:
-    """Matches of each entity in its first tier that has any: its key, else its properties.
+def looked_up(entities: DataFrame, properties: DataFrame) -> DataFrame:
+    """qid, id of the entities that ask for a node of their own: with a whole key, or a property that is looked up."""
+    keyed = entities.where(_key(F.col("label"), F.col("props")).isNotNull()).select("qid", "id")
+    named = entities.select("qid", "id", "label", F.explode(F.map_keys("props")).alias("prop")).join(F.broadcast(properties), ["label", "prop"])  # a row per label and property
+    return keyed.union(named.select("qid", "id")).distinct()
 
-    properties: label, prop: what may be looked up by a property.
+
+def linked(entities: DataFrame, nodes: DataFrame, properties: DataFrame, lookup=None) -> DataFrame:
+    """Matches of each entity in its first tier that has any: its key, else its properties, else what ``lookup`` finds.
+
+    properties: label, prop: what may be looked up by a property. ``lookup`` gets the entities (qid, id, label, props) without a match in the first two tiers,
+    such as by ``vector_index.targeted`` or ``text_lookup``, and gives qid, id, element_id, source.
     """
     keyed = entities.withColumn("k", _key(F.col("label"), F.col("props"))).where("k IS NOT NULL").select("qid", "id", "label", "k")
     there = nodes.withColumn("k", _key(F.col("label"), F.col("props"))).where("k IS NOT NULL").select("label", "k", "element_id", "labels")
@@ -72,7 +83,25 @@ def linked(entities: DataFrame, nodes: DataFrame, properties: DataFrame) -> Data
     held = exploded(nodes, "element_id", "labels").select("element_id", "labels", "label", "prop", F.lower("v").alias("v"))
     second = wanted.join(held, ["label", "prop", "v"]).select("qid", "id", "element_id", "labels", F.lit("btree").alias("source"), F.lit(2).alias("tier")).distinct()
     best = F.min("tier").over(Window.partitionBy("qid", "id"))
-    return first.union(second).withColumn("best", best).where("tier = best").drop("best")
+    found = first.union(second).withColumn("best", best).where("tier = best").drop("best")
+    if lookup is None:
+        return found
+    found = kept(found)
+    rest = entities.join(found.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
+    third = lookup(rest.select("qid", "id", "label", "props")).select("qid", "id", "element_id", "source").distinct()
+    carries = nodes.select("element_id", "labels")
+    return found.unionByName(third.join(carries, "element_id").select("qid", "id", "element_id", "labels", "source", F.lit(3).alias("tier")))
+
+
+def text_lookup(entities: DataFrame, index: TextIndex, labels: list[str], limit: int = 3) -> DataFrame:
+    """qid, id, element_id, source: entities of the given labels looked up by the words of their properties among nodes of the same label."""
+    out = None
+    for label in labels:  # labels with a full-text index: a few of the schema's
+        words = tokens(F.array_join(F.map_values("props"), " "))
+        asked = entities.where(F.col("label") == label).select(F.struct("qid", "id").alias("qid"), words.alias("terms"))
+        found = index.search(asked, limit, [label]).select("qid.qid", "qid.id", "element_id", F.lit(f"fulltext:{label.lower()}").alias("source"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def entry_nodes(matches: DataFrame, entities: DataFrame) -> DataFrame:
@@ -98,6 +127,6 @@ def collected_labels(nodes: DataFrame) -> DataFrame:
     return nodes.select("qid", F.explode("labels").alias("label")).groupBy("qid").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
-def vector_indexes(labels: DataFrame, hints: DataFrame, default: str = "document_embeddings") -> DataFrame:
-    """label, index: the vector index to search for each label; ``default`` where a label has none."""
-    return labels.join(F.broadcast(hints), "label", "left").withColumn("index", F.coalesce("index", F.lit(default)))  # a row per label
+def vector_indexes(labels: DataFrame, hints: DataFrame) -> DataFrame:
+    """label, index: the vector index to search for each label; a label without one isn't searched."""
+    return labels.join(F.broadcast(hints), "label")  # a row per label
