@@ -69,23 +69,33 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.join(F.broadcast(shift), "order_part").withColumn(name, F.col("order_at") + F.col("shift")).drop("order_part", "order_at", "shift")
 
 
+def records_of(found: DataFrame, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): what was extracted as records with ``seq``, the number of their chunk by ``order``.
+
+    Else chunks go by document, then chunk id, shorter ones first, so that chunk 10 follows chunk 9. A record of a node has its key among its properties.
+    """
+    order = order or [F.col("document_id"), F.length("chunk_id"), F.col("chunk_id")]
+    ranked = kept(numbered(found, order, "seq"))
+    ranked = ranked.select("document_id", "chunk_id", "entities", F.col("seq").cast("long").alias("seq"))
+    whole = F.map_concat("key", F.map_filter("props", lambda k, v: ~F.map_contains_key("key", k)))
+    fresh = emit.nodes(ranked).select("label", graph.node_id().alias("node_id"), whole.alias("props"), "seq")
+    links = emit.edges(ranked).select("type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"), "props", "seq")
+    return fresh, links
+
+
 def graph_of(found: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the graph with what was extracted merged in; edges need both ends.
 
-    The last value wins: by ``order`` of the chunks (else document, then chunk id, shorter ones first, so that chunk 10 follows chunk 9), and
-    within a chunk by the order of the rules. What is merged in is later than all that the graph holds.
+    The last value wins: by ``order`` of the chunks (see ``records_of``), and within a chunk by the order of the rules. What is merged in is later
+    than all that the graph holds.
     """
-    order = order or [F.col("document_id"), F.length("chunk_id"), F.col("chunk_id")]
     last = 0
     for stored in (nodes, edges):
         if stored is not None:
             last = max(last, stored.agg(F.max("seq")).first()[0] or 0)
-    ranked = kept(numbered(found, order, "seq").withColumn("seq", (F.col("seq") + last + 1).cast("long")).select("document_id", "chunk_id", "entities", "seq"))
-    fresh = emit.nodes(ranked).select("label", graph.node_id().alias("node_id"), F.map_concat("key", F.map_filter("props", lambda k, v: ~F.map_contains_key("key", k))).alias("props"), "seq")
-    links = emit.edges(ranked).select("type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"), "props", "seq")
+    fresh, links = (r.withColumn("seq", F.col("seq") + last + 1) for r in records_of(found, order))
     all_nodes = kept(graph.upsert_nodes(fresh if nodes is None else nodes.unionByName(fresh)))
     all_edges = kept(graph.upsert_edges(links if edges is None else edges.unionByName(links), all_nodes))
-    discarded(ranked)
     return all_nodes, all_edges
 
 

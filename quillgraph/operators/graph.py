@@ -26,12 +26,10 @@ def upsert(rows: DataFrame, identity: list[str]) -> DataFrame:
 
     Running it over its own result changes nothing.
     """
-    each = rows.select(*identity, "seq", F.explode("props").alias("k", "v"))
-    last = each.groupBy(*identity, "k").agg(F.max_by(F.struct("v"), "seq")["v"].alias("v")).where("v IS NOT NULL")
-    props = last.groupBy(*identity).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
-    whole = rows.groupBy(*identity).agg(F.max("seq").alias("seq"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return whole.join(props, identity, "left").withColumn("props", F.coalesce("props", empty))
+    each = rows.select(*identity, "seq", F.explode_outer("props").alias("k", "v"))
+    last = each.groupBy(*identity, "k").agg(F.max_by(F.struct("v"), "seq")["v"].alias("v"), F.max("seq").alias("seq"))
+    pairs = F.collect_list(F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), F.struct("k", "v")))  # an entity's properties
+    return last.groupBy(*identity).agg(F.max("seq").alias("seq"), F.map_from_entries(F.sort_array(pairs)).alias("props"))
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import graph_queries, queries  # noqa: F401  its SQL is used again
-from quillgraph.operators import search, text_index, vector_index
+from quillgraph.operators import graph_store, search, text_index, vector_index
 from quillgraph.operators.cut import scratch
 from quillgraph.plans import conjunctive
 from quillgraph.queries import _t, registered
@@ -91,3 +91,26 @@ def text_index_topk(spark: SparkSession, sf: str) -> DataFrame:
 def text_index_labels(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), "text", F.array("lang").alias("labels"))
     return text_index.build(docs, scratch(spark)).search(_asked_texts(spark, sf), labels=["de", "fr"]).withColumn("score", F.round("score", 4))
+
+
+# -- stored graph -------------------------------------------------------------------------
+
+
+@registered("""
+WITH e AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0))
+SELECT 'Company' AS label, 'f' || c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN 'balance=' || CAST(c_acctbal AS VARCHAR) || ',' ELSE '' END || 'name=' || c_name || ',seen=' || CASE WHEN c_custkey % 2 = 1 THEN 'second' ELSE 'first' END AS told FROM customer WHERE c_custkey % 4 <> 0
+UNION ALL SELECT 'Document', 'd' || o_orderkey, 'status=' || o_orderstatus FROM orders
+UNION ALL SELECT 'ORDERED_BY', 'd' || o_orderkey || '>f' || o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'again=yes' ELSE '' END FROM e""")
+def graph_store_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads, the second of every other firm and every third link: later values win, and links to firms that aren't there are dropped."""
+    customers, orders = _t(spark, sf, "customer").where("c_custkey % 4 <> 0"), _t(spark, sf, "orders")
+    id_of = lambda letter, c: F.concat(F.lit(letter), c)
+    props = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))))
+    firm = lambda seen, rows, **kv: rows.select(F.lit("Company").alias("label"), id_of("f", "c_custkey").alias("node_id"), props(name=F.col("c_name"), seen=F.lit(seen), **kv).alias("props"), F.lit(1).cast("long").alias("seq"))
+    document = orders.select(F.lit("Document").alias("label"), id_of("d", "o_orderkey").alias("node_id"), props(status=F.col("o_orderstatus")).alias("props"), F.lit(1).cast("long").alias("seq"))
+    link = lambda rows, p: rows.select(F.lit("ORDERED_BY").alias("type"), F.lit("Document").alias("src_label"), id_of("d", "o_orderkey").alias("src_id"), F.lit("Company").alias("dst_label"), id_of("f", "o_custkey").alias("dst_id"), p.alias("props"), F.lit(2).cast("long").alias("seq"))
+    store = graph_store.GraphStore(spark, scratch(spark), 16)
+    store.load(firm("first", customers).union(document), link(orders, F.create_map().cast("map<string,string>")), "one")
+    store.load(firm("second", customers.where("c_custkey % 2 = 1"), balance=F.col("c_acctbal")), link(orders.where("o_orderkey % 3 = 0"), props(again=F.lit("yes"))), "two")
+    told = F.array_join(F.transform(F.array_sort(F.map_keys("props")), lambda k: F.concat(k, F.lit("="), F.try_element_at("props", k))), ",").alias("told")
+    return store.nodes().select("label", F.col("node_id").alias("id"), told).unionByName(store.edges().select(F.col("type").alias("label"), F.concat_ws(">", "src_id", "dst_id").alias("id"), told))
