@@ -34,6 +34,23 @@ def idle_sessions(events: DataFrame, user: str, ts: str, idle: int = SESSION_IDL
     return rows.groupBy(user, "session_no").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_events"))
 
 
+def conversation(messages: DataFrame, keep: int = HISTORY_MESSAGES, recent: int = RECENT_MESSAGES, idle: int = SESSION_IDLE_SECONDS, default: str = "it") -> DataFrame:
+    """session_id, message_id, ts, role, text, language, context, n_messages of each message; a pause of more than ``idle`` seconds begins anew.
+
+    messages: session_id, message_id (repeated ones count once), ts, role, text, switch, detected.
+    """
+    rows = messages.dropDuplicates(["session_id", "message_id"])
+    order = Window.partitionBy("session_id").orderBy("ts", "message_id")
+    micros = F.unix_micros("ts")
+    rows = rows.withColumn("no", F.sum(F.when(micros - F.lag(micros).over(order) > idle * 1_000_000, 1).otherwise(0)).over(order))
+    own = Window.partitionBy("session_id", "no").orderBy("ts", "message_id")
+    before = F.collect_list(F.substring("text", 1, 300)).over(own.rowsBetween(-(recent - 1), -1))
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    language = F.coalesce(F.last("switch", ignorenulls=True).over(so_far), F.first("detected").over(so_far), F.lit(default))
+    count = F.least(F.row_number().over(own), F.lit(keep))
+    return rows.select("session_id", "message_id", "ts", "role", "text", language.alias("language"), F.array_join(before, "\n").alias("context"), count.alias("n_messages"))
+
+
 def session_language(messages: DataFrame, session: str, order: str, switch: str, detected: str, default: str = "it") -> DataFrame:
     """``language`` at each message: the last explicit switch, else what the first message was detected as, else the default."""
     w = Window.partitionBy(session).orderBy(order)

@@ -1,4 +1,4 @@
-"""Sessions and caches over streams."""
+"""Idle sessions over streams."""
 
 from __future__ import annotations
 
@@ -13,9 +13,3 @@ def idle_sessions(events: DataFrame, user: str, ts: str, idle: int = SESSION_IDL
     events = events.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", late)
     out = events.groupBy(user, F.session_window("event_time", f"{idle} seconds").alias("w")).agg(F.min("event_time").alias("start"), F.max("event_time").alias("end"), F.count("*").alias("n_events"))
     return out.drop("w")
-
-
-def latest_entries(updates: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """A stream of cache writes (key, value, expiry), the last write of each expiry window by key."""
-    updates = updates.withWatermark("expiry", late)
-    return updates.groupBy(key, F.window("expiry", late)).agg(F.max_by("value", "expiry").alias("value"), F.max("expiry").alias("expiry")).drop("window")
