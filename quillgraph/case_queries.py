@@ -33,6 +33,8 @@ def _cases(name: str, function: Callable[[Column], Column], *cases: tuple[str |
     registered(f"SELECT o_orderkey, ([{listed}])[1 + CAST(o_orderkey % {len(cases)} AS INTEGER)] AS value FROM orders")(query)
 
 
+_SETTINGS = """('company_embeddings', 1, 0.35), ('legalparty_embeddings', 1, 0.35), ('institution_embeddings', 1, 0.3), ('legalact_embeddings', 2, 0.3),
+  ('document_embeddings', 3, 0.25), ('section_embeddings', 3, 0.25), ('tender_embeddings', 2, 0.28), ('contract_embeddings', 2, 0.28), ('penalty_embeddings', 1, 0.32), ('award_embeddings', 2, 0.28)"""
 _bar = lambda c: F.array_join(c, "|")
 _fields = lambda s, *names: F.concat_ws("|", *(s[n] for n in names))
 _act = lambda s: F.when(s.isNotNull(), _fields(s, "act_type", "act_number", "act_year"))
@@ -98,16 +100,26 @@ def entity_totals(spark: SparkSession, sf: str) -> DataFrame:
     return emit.entity_totals(_extracted(spark, sf)).select("chunk_id", "n_entities")
 
 
-@registered("""SELECT 'Award' AS from_label, 'AWARDED_TO' AS type, 'Company' AS to_label UNION ALL SELECT 'Tender', 'REMOVED_FROM_TENDER', 'Company' UNION ALL SELECT 'Award', 'AWARD_OF', 'Tender'""")
+@registered("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'AWARDED_TO' WHEN 1 THEN 'REMOVED_FROM_TENDER' ELSE 'AWARD_OF' END AS type FROM orders WHERE o_orderkey % 5 IN (0, 1, 2)""")
 def chosen_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules between three labels."""
-    return graph.strict_relations(catalog.relations(spark), ["Award", "Company", "Tender"]).select("from_label", "type", "to_label")
+    """Links between three chosen labels: of those that orders stand for, one leaves them and one goes the wrong way round."""
+    asked = [("Award", "AWARDED_TO", "Company"), ("Tender", "REMOVED_FROM_TENDER", "Company"), ("Award", "AWARD_OF", "Tender"), ("Award", "RESULTS_IN_CONTRACT", "Contract"), ("Tender", "AWARD_OF", "Award")]
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in asked)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    links = _t(spark, sf, "orders").select("o_orderkey", pick(0).alias("src_label"), pick(1).alias("type"), pick(2).alias("dst_label"))
+    rules = graph.strict_relations(catalog.relations(spark), ["Award", "Company", "Tender"])
+    return graph.allowed(links, rules).select("o_orderkey", "type")
 
 
-@registered("""SELECT index, k, CAST(min_score AS DOUBLE) AS min_score FROM (VALUES ('company_embeddings', 1, 0.35), ('legalparty_embeddings', 1, 0.35), ('institution_embeddings', 1, 0.3), ('legalact_embeddings', 2, 0.3),
-  ('document_embeddings', 3, 0.25), ('section_embeddings', 3, 0.25), ('tender_embeddings', 2, 0.28), ('contract_embeddings', 2, 0.28), ('penalty_embeddings', 1, 0.32), ('award_embeddings', 2, 0.28)) v(index, k, min_score)""")
+@registered("""
+WITH i(n, index) AS (VALUES (0, 'company_embeddings'), (1, 'document_embeddings'), (2, 'penalty_embeddings'), (3, 'topic_embeddings')),
+s(index, k, min_score) AS (VALUES RULES)
+SELECT vec_id, index, coalesce(k, 3) AS k, CAST(min_score AS DOUBLE) AS min_score FROM embeddings JOIN i ON n = vec_id % 4 LEFT JOIN s USING (index)""".replace("RULES", _SETTINGS))
 def vector_settings(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.vector_settings(spark)
+    """What a search of each vector's index keeps: its own number and least score, or the default number and no bound."""
+    names = F.array(*map(F.lit, ("company_embeddings", "document_embeddings", "penalty_embeddings", "topic_embeddings")))
+    rows = _t(spark, sf, "embeddings").select("vec_id", F.element_at(names, (F.col("vec_id") % 4 + 1).cast("int")).alias("index"))
+    return rows.join(F.broadcast(catalog.vector_settings(spark)), "index", "left").select("vec_id", "index", F.coalesce("k", F.lit(catalog.DEFAULT_K)).alias("k"), "min_score")
 
 
 # -- answers, anchors -----------------------------------------------------------------
@@ -186,8 +198,30 @@ def batch_stats(spark: SparkSession, sf: str) -> DataFrame:
     return files.batch_counts(_t(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("success")))
 
 
-@registered("""SELECT 0 AS qid, 'first?' AS question UNION ALL SELECT 1, 'second?'""")
+@registered("""SELECT CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS INTEGER) AS qid, c_name AS question FROM customer""")
 def question_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of questions for each nation, in the three forms that a file may have."""
+    names = F.sort_array(F.collect_list("c_name"))  # one file's questions
+    rows = _t(spark, sf, "customer").groupBy("c_nationkey").agg(names.alias("q"))
+    form = F.col("c_nationkey") % 3
+    text = F.when(form == 0, F.to_json("q")).when(form == 1, F.to_json(F.struct(F.col("q").alias("questions")))).otherwise(F.to_json(F.struct(F.col("q").alias("queries"))))
     path = scratch(spark)
-    spark.createDataFrame([('{"questions": ["first?", "second?"]}',)], "value string").coalesce(1).write.text(path)
+    rows.select("c_nationkey", text.alias("value")).write.partitionBy("c_nationkey").text(path)
     return files.questions(spark, path)
+
+
+@registered("""
+WITH l AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS seq, CASE WHEN c_custkey % 7 = 0 THEN 'blank' WHEN c_custkey % 11 = 0 THEN 'broken' WHEN c_custkey % 5 = 0 THEN 'edge' ELSE 'node' END AS kind FROM customer)
+SELECT kind, c_custkey AS id FROM l WHERE kind IN ('edge', 'node') UNION ALL SELECT kind, count(*) FROM l WHERE kind = 'broken' GROUP BY kind""")
+def ordered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of several files with nodes, edges, blanks and broken ones among them."""
+    k = F.col("c_custkey")
+    end = F.struct(F.lit("Company").alias("label"), F.create_map(F.lit("id"), k.cast("string")).alias("key"))
+    node = F.to_json(F.struct(F.lit("Company").alias("label"), F.create_map(F.lit("id"), k.cast("string")).alias("key"), F.lit("no edge").alias("type")))
+    edge = F.to_json(F.struct(F.lit("T").alias("type"), end.alias("from"), end.alias("to")))
+    line = F.when(k % 7 == 0, "  ").when(k % 11 == 0, F.substring(node, 1, 20)).when(k % 5 == 0, edge).otherwise(node)
+    path = scratch(spark)
+    _t(spark, sf, "customer").select(line.alias("value")).repartition(3).write.text(path)
+    nodes, edges, broken = files.graph_lines(spark, path)
+    key = lambda c: F.col(c)["id"].cast("long").alias("id")
+    return nodes.select(F.lit("node").alias("kind"), key("key")).union(edges.select(F.lit("edge"), key("src.key"))).union(broken.groupBy(F.lit("broken")).agg(F.count("*")))

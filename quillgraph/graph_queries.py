@@ -297,16 +297,15 @@ def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.summary(status)
 
 
-@registered("""SELECT 'Document' AS label, '(Addendum)-[ADDENDS]->(Document)' AS first, 11 AS n_relations
-UNION ALL SELECT 'Tender', '(Award)-[AWARD_OF]->(Tender)', 4 UNION ALL SELECT 'Company', '(Auction)-[AUCTION_ORGANIZED_FOR]->(Company)', 7""")
+@registered("""
+SELECT c_custkey AS qid, CASE c_custkey % 3 WHEN 0 THEN '(Addendum)-[ADDENDS]->(Document)' WHEN 1 THEN '(Award)-[AWARD_OF]->(Tender)' ELSE '(Auction)-[AUCTION_ORGANIZED_FOR]->(Company)' END AS first,
+  CASE c_custkey % 3 WHEN 0 THEN 11 WHEN 1 THEN 4 ELSE 7 END AS n_relations FROM customer""")
 def schema_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Of three labels, the schema's first relation in text order, and how many there are."""
-    out = None
-    for label in ("Document", "Tender", "Company"):
-        lines = catalog.schema_text(spark, [label]).select(F.filter(F.split("schema_text", "\n"), lambda x: x.startswith("(")).alias("l"))
-        row = lines.select(F.lit(label).alias("label"), F.col("l")[0].alias("first"), F.size("l").alias("n_relations"))
-        out = row if out is None else out.union(row)
-    return out
+    """Of each question's label, the schema's first relation in text order, and how many there are."""
+    label = F.element_at(F.array(*map(F.lit, ("Document", "Tender", "Company"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    told = catalog.schema_texts(spark, _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.array(label, label).alias("labels")))
+    lines = F.filter(F.split("schema_text", "\n"), lambda x: x.startswith("("))
+    return told.select("qid", lines[0].alias("first"), F.size(lines).alias("n_relations"))
 
 
 # -- chat -----------------------------------------------------------------------------

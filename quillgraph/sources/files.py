@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.operators.cut import kept
+
 CHUNK = "chunk_id string, chunk_type string, title string, act struct<act_type:string,act_number:string,act_year:string,act_type_label:string>, text_en string, page_number int, indices struct<article:int,version:string>, clauses array<struct<index:string,text_en:string>>"
 END = "struct<label:string,key:map<string,string>>"
 
@@ -41,16 +43,50 @@ def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "document", "c.*")
 
 
-def graph_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) from JSON lines; a record with both ``type`` and ``from`` is an edge.
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 1 in its file), seq (from 0 over all files by path), value: lines in the order in which they stand.
 
-    ``seq`` orders records within a file as they were written by ``write_graph``.
+    A file may be read in several splits: lines go by file, the split's place in it, and their order in the split.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = kept(raw)
+    counts = rows.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row a split
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own, files = Window.partitionBy("path").orderBy("split"), Window.orderBy("path")
+    earlier = counts.groupBy("path").agg(F.sum("n").alias("n")).select("path", before(files).alias("offset"))  # a row a file
+    places = counts.select("path", "split", "first", before(own).alias("skipped")).join(earlier, "path")
+    line = F.col("at") - F.col("first") + F.col("skipped")
+    return rows.join(places, ["path", "split"]).select("path", (line + 1).alias("line"), (line + F.col("offset")).alias("seq"), "value")
+
+
+def graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, broken) from JSON lines; ``seq`` is a line's place over all files, so that what was written last comes last.
+
+    A record that has the fields ``type`` and ``from``, with whatever value, is an edge; any other is a node. Blank lines are passed over. broken: path, line,
+    value of lines that aren't a JSON object, or lack a label and key, or an end's.
     """
-    schema = f"seq long, label string, key map<string,string>, type string, `from` {END}, `to` {END}, properties map<string,string>"
-    rows = spark.read.schema(schema).json(path)
-    edge = F.col("type").isNotNull() & F.col("from").isNotNull()
-    nodes = rows.where(~edge).select("seq", "label", "key", "properties")
-    return nodes, rows.where(edge).select("seq", "type", F.col("from").alias("src"), F.col("to").alias("dst"), "properties")
+    schema = f"label string, key map<string,string>, type string, `from` {END}, `to` {END}, properties map<string,string>, unread string"
+    rows = ordered_lines(spark, path).where(F.trim("value") != "")
+    fields = F.json_object_keys("value")
+    rows = rows.withColumns({"r": F.from_json("value", schema, {"columnNameOfCorruptRecord": "unread"}), "edge": F.array_contains(fields, "type") & F.array_contains(fields, "from")})
+    is_edge = F.coalesce("edge", F.lit(False))
+    whole_end = lambda e: F.col(f"r.{e}.label").isNotNull() & F.col(f"r.{e}.key").isNotNull()
+    good = F.when(is_edge, F.col("r.type").isNotNull() & whole_end("from") & whole_end("to")).otherwise(F.col("r.label").isNotNull() & F.col("r.key").isNotNull())
+    good = F.col("r").isNotNull() & F.col("r.unread").isNull() & F.coalesce(good, F.lit(False))
+    rows = kept(rows.withColumns({"edge": is_edge, "good": good}))
+    properties = F.coalesce("r.properties", F.create_map().cast("map<string,string>")).alias("properties")
+    nodes = rows.where("good AND NOT edge").select("seq", "r.label", "r.key", properties)
+    edges = rows.where("good AND edge").select("seq", "r.type", F.col("r.from").alias("src"), F.col("r.to").alias("dst"), properties)
+    return nodes, edges, rows.where("NOT good").select("path", "line", "value")
+
+
+def graph_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``graph_lines``; a line that can't be read is an error."""
+    nodes, edges, broken = graph_lines(spark, path)
+    first = broken.orderBy("path", "line").first()
+    if first is not None:
+        raise ValueError(f"{first.path}, line {first.line}: not a record of a graph")
+    return nodes, edges
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -199,6 +199,31 @@ def test_files_round_trip(spark, tmp_path):
     assert files.run_query(spark, "SELECT nothing_there")["success"] is False
 
 
+def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
+    import json
+
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for name, n in (("a.jsonl", 900), ("b.jsonl", 3), ("c.jsonl", 250)):
+        (folder / name).write_text("".join(json.dumps({"label": "Company", "key": {"id": "same" if i % 3 else name}, "properties": {"at": f"{name}{i}"}}) + "\n" for i in range(n)))
+    (folder / "d.jsonl").write_text('\n  \nno json\n{"label": "Company"}\n{"type": null, "from": {"label": "A", "key": {}}}\n{"type": "T", "label": "Company", "key": {"id": "same"}, "properties": {"at": "last"}}\n[1]\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        lines = files.ordered_lines(spark, str(folder))
+        rows = lines.orderBy("seq").collect()
+        nodes, edges, broken = files.graph_lines(spark, str(folder))
+        merged = graph.upsert_nodes(nodes.select("label", graph.node_id().alias("node_id"), F.col("properties").alias("props"), "seq"))
+        last = {r.node_id: r.props["at"] for r in merged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.seq for r in rows] == list(range(len(rows))) and [r.line for r in rows if r.path.endswith("a.jsonl")] == list(range(1, 901))
+    assert [json.loads(r.value)["properties"]["at"] for r in rows if r.path.endswith("c.jsonl")] == [f"c.jsonl{i}" for i in range(250)]
+    assert last == {"a.jsonl": "a.jsonl897", "b.jsonl": "b.jsonl0", "c.jsonl": "c.jsonl249", "same": "last"}
+    assert edges.count() == 0 and sorted((r.path[-7:], r.line) for r in broken.collect()) == [("d.jsonl", 3), ("d.jsonl", 4), ("d.jsonl", 5), ("d.jsonl", 7)]
+    with pytest.raises(ValueError, match="line 3"):
+        files.graph_records(spark, str(folder))
+
+
 def test_emitted_edges_are_what_the_schema_allows():
     from quillgraph import catalog
     from quillgraph.operators import emit
