@@ -95,9 +95,12 @@ def emit_links(spark: SparkSession, sf: str) -> DataFrame:
     return emit.edges(_extracted(spark, sf)).select("chunk_id", "type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"))
 
 
-@registered("""SELECT 'k' || s_suppkey AS chunk_id, 2 AS n_entities FROM supplier""")
+@registered("""SELECT 'k' || s_suppkey AS chunk_id, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 2 END AS n_entities, 2 AS n_counted FROM supplier""")
 def entity_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return emit.entity_totals(_extracted(spark, sf)).select("chunk_id", "n_entities")
+    """Some chunks have two sections besides, a kind that a load's log doesn't count."""
+    section = F.from_json(F.lit('[{"title": "a"}, {"title": "b"}]'), emit.schema()["entities"].dataType["sections"].dataType)
+    found = _extracted(spark, sf).withColumn("entities", F.col("entities").withField("sections", F.when(F.substring("chunk_id", 2, 9).cast("int") % 3 == 0, section)))
+    return emit.entity_totals(found)
 
 
 @registered("""

@@ -201,7 +201,11 @@ def _edges(extracted: DataFrame) -> DataFrame:
     return rows.select("*", "r.*").drop("r")
 
 
+#: The kinds that a load's log counts.
+COUNTED = ["companies", "institutions", "penalties", "persons", "contracts", "legal_acts", "tenders", "awards", "articles", "clauses", "meetings", "auctions", "court_cases", "documents"]
+
+
 def entity_totals(extracted: DataFrame) -> DataFrame:
-    """chunk_id, n_entities: how many entities of all kinds a chunk has."""
-    sizes = reduce(lambda a, b: a + b, (F.coalesce(F.size(F.col(f"entities.{k}")), F.lit(0)) for k in ENTITIES))
-    return extracted.select("chunk_id", F.greatest(sizes, F.lit(0)).alias("n_entities"))
+    """chunk_id, n_entities (of all kinds), n_counted (of those that a load's log counts)."""
+    total = lambda kinds: F.greatest(reduce(lambda a, b: a + b, (F.coalesce(F.size(F.col(f"entities.{k}")), F.lit(0)) for k in kinds)), F.lit(0))
+    return extracted.select("chunk_id", total(ENTITIES).alias("n_entities"), total(COUNTED).alias("n_counted"))

@@ -7,7 +7,7 @@ removes the property.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import pascal_case
@@ -71,11 +71,23 @@ def strict_relations(relations: DataFrame, labels: list[str]) -> DataFrame:
     return relations.where(F.col("from_label").isin(labels) & F.col("to_label").isin(labels)) if labels else relations
 
 
-def relabelled(nodes: DataFrame, migrations: dict[str, str]) -> DataFrame:
-    """Nodes with upper-case labels renamed by a table, or else in Pascal case. ``labels`` is an array."""
+def _new_name(migrations: dict[str, str]):
+    """A label's new name: by a table, or else in Pascal case, if it is in upper case."""
     names = F.create_map(*(F.lit(x) for pair in migrations.items() for x in pair))
-    new = lambda x: F.when(x == F.upper(x), F.coalesce(F.try_element_at(names, x), pascal_case(x))).otherwise(x)
-    return nodes.withColumn("labels", F.array_sort(F.array_distinct(F.transform("labels", new))))
+    return lambda x: F.when(x == F.upper(x), F.coalesce(F.try_element_at(names, x), pascal_case(x))).otherwise(x)
+
+
+def relabelled(nodes: DataFrame, migrations: dict[str, str]) -> DataFrame:
+    """Nodes with upper-case labels renamed: in the array ``labels``, and in ``label``, where there is one."""
+    new = _new_name(migrations)
+    out = nodes.withColumn("labels", F.array_sort(F.array_distinct(F.transform("labels", new)))) if "labels" in nodes.columns else nodes
+    return out.withColumn("label", new(F.col("label"))) if "label" in nodes.columns else out
+
+
+def relabelled_edges(edges: DataFrame, migrations: dict[str, str]) -> DataFrame:
+    """Edges whose ends have the new labels."""
+    new = _new_name(migrations)
+    return edges.withColumns({c: new(F.col(c)) for c in ("src_label", "dst_label")})
 
 
 def relabel_report(nodes: DataFrame, migrations: dict[str, str]) -> DataFrame:
@@ -85,10 +97,11 @@ def relabel_report(nodes: DataFrame, migrations: dict[str, str]) -> DataFrame:
     return old.withColumn("new", F.coalesce(F.try_element_at(names, F.col("old")), pascal_case("old"))).groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
-def ids_by_label(nodes: DataFrame) -> DataFrame:
-    """label, n, ids: sorted distinct ids of nodes that carry a label."""
-    each = nodes.select(F.explode("labels").alias("label"), "element_id").distinct()
-    return each.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("element_id")).alias("ids"))
+def ids_by_label(nodes: DataFrame, most: int = 8) -> DataFrame:
+    """qid, label, n, ids: of each question's first ``most`` nodes by id (qid, element_id, labels), the ids that carry a label, sorted."""
+    rank = F.dense_rank().over(Window.partitionBy("qid").orderBy("element_id"))
+    each = nodes.select("qid", "element_id", F.explode("labels").alias("label")).distinct().withColumn("rank", rank).where(F.col("rank") <= most)
+    return each.groupBy("qid", "label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("element_id")).alias("ids"))
 
 
 def expand(nodes: DataFrame, edges: DataFrame, hops: list[tuple[str, str, str]], start: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:

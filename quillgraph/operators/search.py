@@ -44,7 +44,8 @@ def vector_lookup(nodes: DataFrame, queries: DataFrame, settings: DataFrame, def
 def _block_matches(nodes: DataFrame, queries: DataFrame, own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
     """qid, element_id, index, score: of each task, at least its k best nodes of each query and index."""
     table = queries.select("qid", "query").where("query IS NOT NULL").toArrow()  # about QUERY_BLOCK rows
-    held = nodes.sparkSession.sparkContext.broadcast((table.column("qid").combine_chunks(), _normalized(table.column("query").combine_chunks())))
+    vectors = table.column("query").combine_chunks()
+    held = nodes.sparkSession.sparkContext.broadcast((table.column("qid").combine_chunks(), _normalized(vectors)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, asked = held.value
@@ -76,14 +77,18 @@ def _block_matches(nodes: DataFrame, queries: DataFrame, own: dict[str, int], de
 
 def _normalized(vectors: pa.ListArray) -> np.ndarray:
     """Rows of length one; of zeros, no number."""
-    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), int(sizes[0]) if len(sizes) else 0)
     with np.errstate(invalid="ignore", divide="ignore"):
         return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
 def merged_matches(matches: DataFrame, limit: int | None = None) -> DataFrame:
-    """qid, element_id, score (the greatest), sources (sorted, distinct); at most ``limit`` for each query."""
-    out = matches.groupBy("qid", "element_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
+    """qid, element_id, score (the greatest), sources (sorted, distinct), and labels, where matches have them (the first that aren't empty); at most ``limit`` for each query."""
+    labels = [F.coalesce(F.min(F.when(F.size("labels") > 0, F.struct("source", "labels")))["labels"], F.array().cast("array<string>")).alias("labels")] if "labels" in matches.columns else []
+    out = matches.groupBy("qid", "element_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("source")).alias("sources"), *labels)
     if limit is None:
         return out
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "element_id"))

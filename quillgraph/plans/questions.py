@@ -55,19 +55,27 @@ def written_links(questions: DataFrame, valid: DataFrame, planner: Provider, rel
     return links.join(errors, "qid", "left_anti"), errors
 
 
-def neighbour_rows(anchors: DataFrame, edges: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
-    """The first edges by ids at a question's anchors (qid, element_id), on either side.
+def adjacent(edges: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """element_id, and the first ``limit`` edges by ids at it on either side.
 
-    Edges are ranked before the shuffle too, so those of a hub never meet in one task.
+    Edges are ranked by node before the shuffle too, so those of a hub never meet in one task; what follows reads ``2 * limit`` edges a node at most.
     """
-    anchors = anchors.select("qid", "element_id").distinct()
-    edge = edges.select("type", "src_label", "src_id", "dst_label", "dst_id")
-    order = ["src_id", "dst_id", "type", "src_label", "dst_label"]
-    sides = []
+    edge = edges.select("type", "src_label", "src_id", "dst_label", "dst_id").distinct()
+    out = None
     for side in ("src_id", "dst_id"):
-        found = anchors.withColumnRenamed("element_id", side).join(edge, side).select("qid", *edge.columns).distinct()
-        sides.append(found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("n") <= limit).drop("n"))
-    rows = sides[0].union(sides[1]).distinct().withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("ord") <= limit)
+        rank = F.row_number().over(Window.partitionBy(side).orderBy(*_EDGE_ORDER))
+        one = edge.withColumn("n", rank).where(F.col("n") <= limit).select(F.col(side).alias("element_id"), *edge.columns)
+        out = one if out is None else out.union(one)
+    return out
+
+
+_EDGE_ORDER = ["src_id", "dst_id", "type", "src_label", "dst_label"]
+
+
+def neighbour_rows(anchors: DataFrame, near: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """The first edges by ids at a question's anchors (qid, element_id), on either side. near: what ``adjacent`` gives, for at least ``limit``."""
+    found = anchors.select("qid", "element_id").distinct().join(near, "element_id").drop("element_id").distinct()
+    rows = found.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy(*_EDGE_ORDER))).where(F.col("ord") <= limit)
     node = lambda name, side: F.struct(F.lit(name).alias("name"), F.col(f"{side}_label").alias("label"), F.col(f"{side}_id").alias("element_id"))
     return rows.select("qid", "ord", F.array(node("source", "src"), node("target", "dst")).cast(NODES).alias("nodes"))
 
@@ -125,8 +133,8 @@ def answered(
     required = kept(link.looked_up(wanted, catalog.property_lookups(spark)).select("qid", F.col("id").alias("var")))
     variables = asked.select("qid", F.col("source").alias("var"), F.col("src_label").alias("label")).union(asked.select("qid", "target", "dst_label")).distinct()
     free = variables.join(held.select("qid", "var").union(required).distinct(), ["qid", "var"], "left_anti")
-    near = around.join(nodes.select("element_id", F.explode("labels").alias("label")), "element_id").select("qid", "label", "element_id")
-    context_held = free.join(near, ["qid", "label"]).select("qid", "var", "element_id")
+    around_labels = around.join(nodes.select("element_id", F.explode("labels").alias("label")), "element_id").select("qid", "label", "element_id")
+    context_held = free.join(around_labels, ["qid", "label"]).select("qid", "var", "element_id")
 
     number = lambda rows, name: rows.groupBy("qid").agg(F.count("*").alias(name))
     state = questions.join(number(entry, "n_entry"), "qid", "left").join(number(around, "n_context"), "qid", "left").join(number(asked, "n_links"), "qid", "left").join(errors, "qid", "left")
@@ -141,10 +149,11 @@ def answered(
     found = state.join(number(first, "n_rows"), "qid", "left").fillna(0, ["n_rows"])
     after = routing.after_execution(F.col("error"), F.col("attempt"), F.col("n_rows"))
     found = kept(found.withColumn("route", F.when(F.col("route") == "run", F.when(after == "retry", "fallback").otherwise(after)).otherwise(F.col("route"))))
+    near = kept(adjacent(edges))
     retried = found.where("route = 'fallback'")
     relaxed = kept(link_rows(of(asked, retried), held, required, edges))
-    second = relaxed.unionByName(neighbour_rows(of(entry, retried).join(relaxed.select("qid").distinct(), "qid", "left_anti"), edges))
-    third = neighbour_rows(of(around, found.where("route = 'context_explore'")), edges)
+    second = relaxed.unionByName(neighbour_rows(of(entry, retried).join(relaxed.select("qid").distinct(), "qid", "left_anti"), near))
+    third = neighbour_rows(of(around, found.where("route = 'context_explore'")), near)
     rows = kept(first.withColumn("attempt", F.lit("intersection")).unionByName(second.withColumn("attempt", F.lit("fallback"))).unionByName(third.withColumn("attempt", F.lit("context_explore"))))
 
     verdicts = rows.select("qid").distinct().withColumn("verdict_ok", F.lit(True)) if reviewer is None else kept(_reviewed(rows, nodes, reviewer))
@@ -154,7 +163,7 @@ def answered(
         if poor.isEmpty():
             break
         rounds = rounds.unionByName(poor.select("qid", F.lit(nth).alias("round")))
-        again = link_rows(of(asked, poor), held, required, edges) if nth == 1 else neighbour_rows(of(entry.unionByName(around.select("qid", "element_id")), poor), edges)
+        again = link_rows(of(asked, poor), held, required, edges) if nth == 1 else neighbour_rows(of(entry.unionByName(around.select("qid", "element_id")), poor), near)
         again = kept(again.withColumn("attempt", F.lit("reformulation")))
         rows = kept(rows.join(again.select("qid").distinct(), "qid", "left_anti").unionByName(again))
         fresh = kept(_reviewed(of(rows, again.select("qid").distinct()), nodes, reviewer))

@@ -309,12 +309,27 @@ def relabel(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relabel_report(_t(spark, sf, "customer").select(F.array(old).alias("labels")), catalog.LABEL_MIGRATIONS)
 
 
+@registered(f"""
+WITH n AS (SELECT c_custkey, CASE ({_OLD!r})[1 + CAST(c_custkey % {len(_OLD)} AS INTEGER)] WHEN 'LEGAL_DOC' THEN 'Document' WHEN 'PERSON' THEN 'Person' WHEN 'EVENT' THEN 'Meeting' WHEN 'ROLE' THEN 'Topic' WHEN 'COURT_ROOM' THEN 'CourtRoom' ELSE 'Section' END AS label FROM customer)
+SELECT o_orderkey, label, CASE WHEN label = 'Company' THEN 'Company' ELSE 'Company,' || label END AS labels FROM orders JOIN n ON c_custkey = o_custkey""")
+def relabelled_links(spark: SparkSession, sf: str) -> DataFrame:
+    """After a migration links still meet their ends, under the new labels."""
+    old = F.element_at(F.array(*map(F.lit, _OLD)), (F.col("c_custkey") % len(_OLD) + 1).cast("int"))
+    customers = _t(spark, sf, "customer").select("c_custkey", old.alias("label"), F.array(F.lit("Company"), old).alias("labels"))
+    links = _t(spark, sf, "orders").join(customers.select("c_custkey", "label"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", F.lit("Document").alias("src_label"), F.col("label").alias("dst_label"))
+    nodes = graph.relabelled(customers, catalog.LABEL_MIGRATIONS).withColumnsRenamed({"c_custkey": "o_custkey", "label": "dst_label"})
+    met = graph.relabelled_edges(links, catalog.LABEL_MIGRATIONS).join(nodes, ["o_custkey", "dst_label"])
+    return met.select("o_orderkey", F.col("dst_label").alias("label"), F.array_join(F.array_sort("labels"), ",").alias("labels"))
+
+
 @registered("""
-WITH n AS (SELECT c_custkey AS id, c_mktsegment AS label FROM customer UNION SELECT c_custkey, 'nation_' || c_nationkey FROM customer)
-SELECT label, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM n GROUP BY label""")
+WITH n AS (SELECT DISTINCT c_nationkey AS qid, c_custkey AS id, c_mktsegment AS segment FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM n),
+e AS (SELECT qid, id, segment AS label FROM f WHERE r <= 8 UNION ALL SELECT qid, id, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END FROM f WHERE r <= 8)
+SELECT qid, label, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM e GROUP BY qid, label""")
 def label_groups(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _t(spark, sf, "customer").select(F.col("c_custkey").alias("element_id"), F.array("c_mktsegment", F.concat(F.lit("nation_"), "c_nationkey")).alias("labels"))
-    return graph.ids_by_label(nodes).select("label", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Each nation's first customers by label, as a question's entry nodes are told."""
+    nodes = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("element_id"), F.array("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd")).alias("labels"))
+    return graph.ids_by_label(nodes).select("qid", "label", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # -- linking ---------------------------------------------------------------------

@@ -107,9 +107,15 @@ def batch_counts(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total_queries"), F.count_if("success").alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"))
 
 
-def batch_report(results: DataFrame) -> DataFrame:
-    """total_queries, successful, failed, results: one row for a batch of answers."""
-    return results.agg(F.count("*").alias("total_queries"), F.count_if("success").alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"), F.sort_array(F.collect_list(F.struct(*results.columns))).alias("results"))
+def write_report(results: DataFrame, path: str) -> None:
+    """A batch of answers as JSON lines under ``path/results``, and its counts, one line, under ``path/summary``."""
+    results.write.mode("overwrite").json(f"{path}/results")
+    batch_counts(results).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(counts, results) of ``write_report``."""
+    return spark.read.json(f"{path}/summary"), spark.read.json(f"{path}/results")
 
 
 def append_log(events: DataFrame, path: str) -> None:
