@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph import graph_queries, queries  # noqa: F401  its SQL is used again
+from quillgraph import catalog, graph_queries, queries  # noqa: F401  its SQL is used again
 from quillgraph.operators import graph_store, search, text_index, vector_index
 from quillgraph.operators.cut import scratch
-from quillgraph.plans import conjunctive
+from quillgraph.plans import conjunctive, preparation
 from quillgraph.queries import _t, registered
+from quillgraph.sources import files
 
 # -- conjunctive patterns ---------------------------------------------------------
 
@@ -114,3 +115,93 @@ def graph_store_loads(spark: SparkSession, sf: str) -> DataFrame:
     store.load(firm("second", customers.where("c_custkey % 2 = 1"), balance=F.col("c_acctbal")), link(orders.where("o_orderkey % 3 = 0"), props(again=F.lit("yes"))), "two")
     told = F.array_join(F.transform(F.array_sort(F.map_keys("props")), lambda k: F.concat(k, F.lit("="), F.try_element_at("props", k))), ",").alias("told")
     return store.nodes().select("label", F.col("node_id").alias("id"), told).unionByName(store.edges().select(F.col("type").alias("label"), F.concat_ws(">", "src_id", "dst_id").alias("id"), told))
+
+
+# -- preparation of questions and drafts ------------------------------------------------------
+
+
+def _topic(texts: list[str]) -> list[str]:
+    out = []
+    for t in texts:
+        n = int(t.rsplit("#", 1)[1])
+        if n % 5 == 4:
+            raise ValueError("no phrase")
+        out.append("" if n % 5 == 3 else f" topic {n % 7} ")
+    return out
+
+
+def _topic_words(texts: list[str]) -> list[str]:
+    return [f"{t}, , b,c,d" if t.startswith("topic") else "" for t in texts]
+
+
+@registered("""
+SELECT c_custkey AS qid, CASE WHEN c_custkey % 5 < 3 THEN 'topic ' || c_custkey % 7 ELSE c_name END AS phrase, CASE WHEN c_custkey % 5 < 3 THEN 'topic ' || c_custkey % 7 || ',b,c' ELSE '' END AS keywords FROM customer""")
+def question_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases and keywords; where the provider fails or is silent, the question stands."""
+    rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), "c_name")
+    found = preparation.phrases(rows.select("qid", F.col("c_name").alias("question")), _by_number(_topic), _topic_words)
+    return found.select("qid", "phrase", F.array_join("keywords", ",").alias("keywords"))
+
+
+def _by_number(answer):
+    """A provider that sees a customer's number, whatever its name is padded with."""
+    return lambda texts: [x for t in texts for x in answer([f"#{int(t.rsplit('#', 1)[1])}"])]
+
+
+def _labels_of(texts: list[str]) -> list[str]:
+    out = []
+    for t in texts:
+        kind = int(t.split("Question: ", 1)[1].split("\n", 1)[0]) % 5
+        if kind == 4:
+            raise ValueError("no answer")
+        out.append(['["Award", "Company", "Tender"]', "```json\n[\"Vote\"]\n```", "no list", '["Award", "Tender", "Nowhere"]'][kind])
+    return out
+
+
+def _types_of(texts: list[str]) -> list[str]:
+    return ['["AWARD_OF"]' if "Company" in t.split("\n", 1)[0] and len(t.split("\n", 1)[0]) < 60 else "[]" for t in texts]
+
+
+@registered("""
+SELECT o_orderkey AS qid, CASE o_orderkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 25 END AS n_labels, CASE o_orderkey % 5 WHEN 0 THEN 'AWARD_OF' WHEN 1 THEN '' WHEN 3 THEN 'AWARD_OF' ELSE 'all' END AS types FROM orders""")
+def schema_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and relation types for each question: picked, a label without relations, no list, an unknown label, and a provider that fails."""
+    none = F.array().cast("array<string>")
+    rows = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_orderkey") % 5).cast("string").alias("question"), none.alias("keywords"), none.alias("anchors"))
+    found = preparation.chosen_schema(rows, _labels_of, _types_of)
+    n_types = len({t for _, t, _ in catalog.RELATIONS})
+    types = F.when(F.size("types") == n_types, "all").otherwise(F.array_join("types", ","))
+    return found.select("qid", F.size("labels").alias("n_labels"), types.alias("types"))
+
+
+def _details(texts: list[str]) -> list[str]:
+    out = []
+    for t in texts:
+        out.append("I can't" if t.endswith("0") else '```json\n{"court": "Court of %s", "amount": ""}\n```' % t)
+    return out
+
+
+@registered("""
+WITH r AS (SELECT c_custkey AS id, c_mktsegment || c_custkey % 10 AS message, (['en', 'es', 'it', 'fr'])[1 + CAST(c_custkey % 4 AS INTEGER)] AS lang FROM customer),
+p AS (SELECT *, CASE lang WHEN 'en' THEN '[TO BE COMPLETED]' WHEN 'es' THEN '[COMPLETAR]' ELSE '[DA COMPILARE]' END AS mark FROM r)
+SELECT id AS request_id, CASE WHEN message LIKE '%0' THEN mark || ' (tribunale / court)' ELSE 'Court of ' || message END AS court, mark || ' (importo / amount)' AS amount, CASE WHEN id % 3 = 0 THEN '[1] Part ' || id ELSE CASE lang WHEN 'en' THEN '(no sections retrieved from the knowledge base)' WHEN 'es' THEN '(ninguna seccion recuperada de la base de conocimiento)' ELSE '(nessuna sezione recuperata dalla knowledge base)' END END AS sections FROM p""")
+def draft_briefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Briefs of drafts in four languages, with details that are known, missing, or couldn't be read."""
+    section = F.array(F.struct(F.concat(F.lit("Part "), "c_custkey").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source")))
+    code = F.element_at(F.array(*map(F.lit, ("en", "es", "it", "fr"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.concat("c_mktsegment", F.col("c_custkey") % 10).alias("message"), code.alias("language"), F.when(F.col("c_custkey") % 3 == 0, section).alias("sections"))
+    found = preparation.drafts(rows, _details, lambda texts: texts)
+    part = lambda name: F.regexp_extract("draft", rf"(?m)^{name}: (.*)$", 1).alias(name)
+    return found.select("request_id", part("court"), part("amount"), F.regexp_extract("draft", r"Sections:\n(.*)$", 1).alias("sections"))
+
+
+# -- sinks ---------------------------------------------------------------------------------------
+
+
+@registered("""SELECT 'counts' AS kind, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok FROM orders UNION ALL SELECT 'results', count(*), count(*) FILTER (WHERE o_orderstatus = 'F') FROM orders""")
+def batch_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch's answers and counts written as files and read back."""
+    path = scratch(spark)
+    files.write_report(_t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("success")), path)
+    counts, results = files.report(spark, path)
+    return counts.select(F.lit("counts").alias("kind"), F.col("total_queries").alias("n"), F.col("successful").alias("ok")).union(results.groupBy(F.lit("results").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("success").cast("long")).alias("ok")))
