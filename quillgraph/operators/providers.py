@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.answer_store import AnswerStore
+from quillgraph.operators.cut import discarded, kept
+
 BATCH = 64
 
 
@@ -47,9 +50,28 @@ def called(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]],
     return rows.select(key, text).mapInPandas(run, f"{key} {kind_of_key}, value {kind}, error string")
 
 
-def with_embeddings(nodes: DataFrame, provider: Callable[[list[str]], list], key: str = "element_id", text: str = "embedding_text") -> DataFrame:
-    """Nodes whose embedding is missing get one, from each distinct text once; others keep theirs."""
+def with_embeddings(nodes: DataFrame, provider: Callable[[list[str]], list], key: str = "element_id", text: str = "embedding_text", held: AnswerStore | None = None) -> DataFrame:
+    """Nodes whose embedding is missing get one, from each distinct text once; others keep theirs.
+
+    With ``held``, texts that it knows aren't embedded again, in later runs neither; a text that fails leaves its nodes without.
+    """
     missing = nodes.where("embedding IS NULL")
     texts = missing.select(text).where(F.col(text).isNotNull()).distinct().withColumn("id", F.col(text))
-    made = called(texts, "id", text, provider, "array<float>").select(F.col("id").alias(text), F.col("value").alias("new"))
+    made = called(texts, "id", text, provider, "array<float>") if held is None else held.answered(texts, ["id"], text, "embeddings", provider, "array<float>")
+    made = made.select(F.col("id").alias(text), F.col("value").alias("new"))
     return nodes.join(made, text, "left").withColumn("embedding", F.coalesce("embedding", "new")).drop("new").select(nodes.columns)
+
+
+def write_embeddings(nodes: DataFrame, path: str, key: str = "element_id") -> int:
+    """Add the nodes that have an embedding and aren't there with one to the table under ``path``, a folder for each label; how many were added."""
+    spark = nodes.sparkSession
+    rows = nodes.where("embedding IS NOT NULL").select(key, "label", "embedding").dropDuplicates([key, "label"])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema(rows.schema).parquet(path).select(key, "label")
+        rows = rows.join(there, [key, "label"], "left_anti")
+    rows = kept(rows)
+    rows.write.mode("append").partitionBy("label").parquet(path)
+    n = rows.count()
+    discarded(rows)
+    return n

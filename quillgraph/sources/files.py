@@ -26,14 +26,16 @@ def markdown(spark: SparkSession, root: str, skip: int = 0, limit: int | None =
 
 
 def write_documents(chunks: DataFrame, path: str) -> None:
-    """One JSON record per document with its chunks."""
-    whole = chunks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*[c for c in chunks.columns if c not in ("path", "position")]).alias("chunk")))).alias("c"))
-    whole.select("path", F.transform("c", lambda x: x["chunk"]).alias("chunks")).write.json(path)
+    """One JSON record per document (``path``) with its chunks by position."""
+    fields = [c for c in chunks.columns if c not in ("path", "position")]
+    whole = chunks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("position", F.to_json(F.struct(*fields)).alias("chunk")))).alias("c"))  # a document's chunks
+    body = F.concat(F.lit('{"path":'), F.regexp_extract(F.to_json(F.array("path")), r"^\[([\s\S]*)\]$", 1), F.lit(',"chunks":['), F.array_join(F.transform("c", lambda x: x["chunk"]), ","), F.lit("]}"))
+    whole.select(body.alias("value")).write.text(path)
 
 
 def write_normalized(rows: DataFrame, path: str) -> None:
-    """Validated chunks as JSON lines, without the mark of validity."""
-    rows.drop("valid").write.json(path)
+    """Validated chunks, one JSON record per document, without the mark of validity."""
+    write_documents(rows.drop("valid"), path)
 
 
 def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +45,16 @@ def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "document", "c.*")
 
 
+def normalized_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, position, chunk fields of what ``write_normalized`` wrote; documents without chunks give none."""
+    rows = spark.read.schema(f"path string, chunks array<struct<{_chunk_fields()}>>").json(path)
+    return rows.select("path", F.posexplode("chunks").alias("position", "c")).select("path", "position", "c.*")
+
+
+def _chunk_fields() -> str:
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in T._parse_datatype_string(CHUNK))
+
+
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 1 in its file), seq (from 0 over all files by path), value: lines in the order in which they stand.
 

@@ -103,3 +103,31 @@ def test_every_kind_and_rule_emits_in_one_pass(spark):
     assert sorted((r.type, r.src_label, r.dst_label) for r in edges.collect()) == sorted((rule[1], rule[2], rule[4]) for rule in emit.EDGES)
     for made in (nodes, edges):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_embeddings_are_made_once_and_added_to_their_labels(spark, tmp_path):
+    from quillgraph.operators import providers
+
+    provider, asked = counting(tmp_path / "calls", lambda t: providers.hashed_vectors([t])[0])
+    kept = answer_store.store(spark, str(tmp_path / "answers"))
+    kind = "element_id string, label string, embedding_text string, embedding array<float>"
+    nodes = spark.createDataFrame([("a", "Company", "x", None), ("b", "Company", "x", None), ("c", "Topic", "y", [1.0]), ("d", "Topic", None, None)], kind)
+    path = str(tmp_path / "vectors")
+    assert providers.write_embeddings(providers.with_embeddings(nodes, provider, held=kept), path) == 3
+    more = nodes.union(spark.createDataFrame([("e", "Topic", "x", None), ("f", "Topic", "z", None)], kind))
+    assert providers.write_embeddings(providers.with_embeddings(more, provider, held=kept), path) == 2
+    assert asked() == ["x", "z"]
+    assert {(r.label, r.element_id) for r in spark.read.parquet(path).collect()} == {("Company", "a"), ("Company", "b"), ("Topic", "c"), ("Topic", "e"), ("Topic", "f")}
+
+
+def test_normalized_documents_are_one_record_each(spark, tmp_path):
+    from quillgraph.operators import parse
+    from quillgraph.sources import files
+
+    docs = spark.createDataFrame([("a.md", '# Decree No. 46/2025\nBody "quoted".\n## Article One\n1. First clause.\n'), ("b.md", "# Notice\nText\n")], "path string, text string")
+    chunks = parse.validated(parse.chunks(docs))
+    files.write_normalized(chunks, str(tmp_path / "n"))
+    assert spark.read.text(str(tmp_path / "n")).count() == 2
+    back = files.normalized_documents(spark, str(tmp_path / "n"))
+    told = lambda rows: sorted((r.path, r.chunk_type, r.title, r.text_en, str(r.clauses)) for r in rows.collect())
+    assert told(back) == told(chunks) and "valid" not in back.columns
