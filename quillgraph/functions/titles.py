@@ -11,10 +11,11 @@ from quillgraph.functions.text import first_match, normalize_space, number_from_
 ARTICLE = [
     r"(?i)^Article\s+(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|Eleven|Twelve|Thirteen|Fourteen|Fifteen|Sixteen|Seventeen|Eighteen|Nineteen|Twenty)\b",
     r"(?i)^\(Article\s+(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|\d+)\)\s*$",
-    r"(?i)^Article\s*\(\s*(\d+)\s*\)\s*[:.]?\s*$",
-    r"(?i)^Article\s+(\d+)\s*[:.]?\s*$",
+    r"(?i)^Article\s*\(\s*(\d+)\s*\)\s*[:\.]?\s*$",
+    r"(?i)^Article\s+(\d+)\s*[:\.]?\s*$",
     r"(?i)^Article\s+(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)\s*:\s*$",
 ]
+# What names a legal act, what marks an amendment, and the ordinals of decisions.
 LEGAL_ACT = r"(?i)\b(Decree|Decision|Ministerial\s+Resolution|Committee\s+Resolution|Regulation|Decree-Law)\b"
 AMENDMENTS = [
     r"(?i)(Text\s+of\s+the\s+Article\s+(Before|After)\s+Amendment|After\s+Amendment:|Before\s+Amendment:|Text\s+After\s+Amendment|Article\s+Text\s+Before\s+Amendment)",
