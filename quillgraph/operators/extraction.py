@@ -60,13 +60,15 @@ def extracted(chunks: DataFrame, providers: dict[str, Callable[[list[str]], list
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows`` with their number by ``order`` (from 0), by a range partitioning and the counts of its parts."""
+    """``rows`` with their number by ``order`` (from 0), by a range partitioning and the counts of its parts; a written table."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"order_part": F.spark_partition_id(), "order_at": F.monotonically_increasing_id()}))
     counts = ranged.groupBy("order_part").agg(F.count("*").alias("n"), F.min("order_at").alias("first"))  # a row a part
     before = F.sum("n").over(Window.orderBy("order_part")) - F.col("n") - F.col("first")
     shift = counts.select("order_part", before.alias("shift"))
-    return ranged.join(F.broadcast(shift), "order_part").withColumn(name, F.col("order_at") + F.col("shift")).drop("order_part", "order_at", "shift")
+    out = kept(ranged.join(F.broadcast(shift), "order_part").withColumn(name, (F.col("order_at") + F.col("shift")).cast("long")).drop("order_part", "order_at", "shift"))
+    discarded(ranged)
+    return out
 
 
 def records_of(found: DataFrame, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,9 +76,15 @@ def records_of(found: DataFrame, order: list[Column] | None = None) -> tuple[Dat
 
     Else chunks go by document, then chunk id, shorter ones first, so that chunk 10 follows chunk 9. A record of a node has its key among its properties.
     """
-    order = order or [F.col("document_id"), F.length("chunk_id"), F.col("chunk_id")]
-    ranked = kept(numbered(found, order, "seq"))
-    ranked = ranked.select("document_id", "chunk_id", "entities", F.col("seq").cast("long").alias("seq"))
+    return _records(_ranked(found, order))
+
+
+def _ranked(found: DataFrame, order: list[Column] | None) -> DataFrame:
+    return numbered(found, order or [F.col("document_id"), F.length("chunk_id"), F.col("chunk_id")], "seq")
+
+
+def _records(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ranked = ranked.select("document_id", "chunk_id", "entities", "seq")
     whole = F.map_concat("key", F.map_filter("props", lambda k, v: ~F.map_contains_key("key", k)))
     fresh = emit.nodes(ranked).select("label", graph.node_id().alias("node_id"), whole.alias("props"), "seq")
     links = emit.edges(ranked).select("type", "src_label", graph.node_id("src_key").alias("src_id"), "dst_label", graph.node_id("dst_key").alias("dst_id"), "props", "seq")
@@ -93,9 +101,11 @@ def graph_of(found: DataFrame, nodes: DataFrame | None = None, edges: DataFrame
     for stored in (nodes, edges):
         if stored is not None:
             last = max(last, stored.agg(F.max("seq")).first()[0] or 0)
-    fresh, links = (r.withColumn("seq", F.col("seq") + last + 1) for r in records_of(found, order))
+    ranked = _ranked(found, order)
+    fresh, links = (r.withColumn("seq", F.col("seq") + last + 1) for r in _records(ranked))
     all_nodes = kept(graph.upsert_nodes(fresh if nodes is None else nodes.unionByName(fresh)))
     all_edges = kept(graph.upsert_edges(links if edges is None else edges.unionByName(links), all_nodes))
+    discarded(ranked)
     return all_nodes, all_edges
 
 

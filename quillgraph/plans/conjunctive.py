@@ -118,7 +118,7 @@ def _first_rows(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataFrame | None = None, limit: int = ROW_LIMIT) -> DataFrame:
-    """qid, ord, ids (map from variable to node): the first ``limit`` rows of each question that meet all its links."""
+    """qid, ord, ids (map from variable to node): the first ``limit`` rows of each question that meet all its links; a written table."""
     held = held.select("qid", "var", "element_id").where("element_id IS NOT NULL").distinct()
     plan = kept(planned(links, held, required))
     used = [plan]
@@ -141,8 +141,9 @@ def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataF
     is_held = domain.select("pid", "new").distinct()
     longest = parts.agg(F.max(F.size("steps"))).first()[0]
     if longest is None:  # no links
+        none = kept(plan.select("qid", F.lit(1).alias("ord"), F.map_from_arrays("names", "names").alias("ids")).where("false"))
         discarded(*used)
-        return plan.select("qid", F.lit(1).alias("ord"), F.map_from_arrays("names", "names").alias("ids")).limit(0)
+        return none
 
     # A step's later steps hang on its new variable; the root is the new variable of step 0.
     after = steps.select("pid", F.col("known").alias("new"), F.col("step").alias("later")).groupBy("pid", "new").agg(F.collect_set("later").alias("later"))

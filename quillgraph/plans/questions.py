@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import catalog
 from quillgraph.operators import answer, decompose, link
-from quillgraph.operators.cut import kept
+from quillgraph.operators.cut import discarded, kept
 from quillgraph.operators.providers import called
 from quillgraph.plans import conjunctive, routing
 from quillgraph.plans.patterns import EDGE_ALIASES, ROW_LIMIT
@@ -34,11 +34,13 @@ def asked_links(links: DataFrame) -> DataFrame:
 
 
 def link_rows(links: DataFrame, held: DataFrame, required: DataFrame, edges: DataFrame) -> DataFrame:
-    """The first rows of each question that meet all its links together."""
+    """The first rows of each question that meet all its links together; a written table."""
     found = conjunctive.matched(links, held, edges, required)
     label = links.select("qid", F.col("source").alias("name"), F.col("src_label").alias("label")).union(links.select("qid", "target", "dst_label")).distinct()
     each = found.select("qid", "ord", F.explode("ids").alias("name", "element_id")).join(label, ["qid", "name"])
-    return each.groupBy("qid", "ord").agg(F.sort_array(F.collect_list(F.struct("name", "label", "element_id"))).alias("nodes"))  # a question's variables
+    rows = kept(each.groupBy("qid", "ord").agg(F.sort_array(F.collect_list(F.struct("name", "label", "element_id"))).alias("nodes")))  # a question's variables
+    discarded(found)
+    return rows
 
 
 def written_links(questions: DataFrame, valid: DataFrame, planner: Provider, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,24 +115,30 @@ def answered(
     ``reformulation``: first the links from entry nodes alone, then edges at entry and context nodes; after both, the rows stand. A round without rows changes nothing.
     """
     spark = questions.sparkSession
+    held_tables: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held_tables.append(made := df if hasattr(df, "scratch_path") else kept(df))
+        return made
+
     qid_type = questions.schema["qid"].dataType
     none = spark.createDataFrame([], "qid string, element_id string, score double").select(F.col("qid").cast(qid_type), "element_id", "score")
-    entities, links = decompose.question_graph(kept(called(questions, "qid", "question", decomposer)))
-    valid = kept(decompose.valid_entities(entities, catalog.entities(spark)))
-    wanted = kept(decompose.normalized_entities(valid))
+    entities, links = decompose.question_graph(hold(called(questions, "qid", "question", decomposer)))
+    valid = hold(decompose.valid_entities(entities, catalog.entities(spark)))
+    wanted = hold(decompose.normalized_entities(valid))
     asked, errors = decompose.valid_links(links, valid, catalog.relations(spark)), spark.createDataFrame([], "qid string, error string").select(F.col("qid").cast(qid_type), "error")
     if planner is not None:
         asked, errors = written_links(questions, valid, planner, catalog.relations(spark))
-    asked, errors = kept(asked_links(asked)), kept(errors)
-    matches = kept(link.linked(wanted, nodes, catalog.property_lookups(spark), lookup))
+    asked, errors = hold(asked_links(asked)), hold(errors)
+    matches = hold(link.linked(wanted, nodes, catalog.property_lookups(spark), lookup))
     entry = link.entry_nodes(matches, wanted).select("qid", "element_id")
     if generalized is not None:
         entry = entry.unionByName(_first_nodes(generalized(questions.join(entry.select("qid").distinct(), "qid", "left_anti"))).select("qid", "element_id"))
-    entry = kept(entry)
-    around = kept(_first_nodes(context(questions)) if context is not None else none)
+    entry = hold(entry)
+    around = hold(_first_nodes(context(questions)) if context is not None else none)
 
-    held = kept(matches.select("qid", F.col("id").alias("var"), "element_id").distinct())
-    required = kept(link.looked_up(wanted, catalog.property_lookups(spark)).select("qid", F.col("id").alias("var")))
+    held = hold(matches.select("qid", F.col("id").alias("var"), "element_id").distinct())
+    required = hold(link.looked_up(wanted, catalog.property_lookups(spark)).select("qid", F.col("id").alias("var")))
     variables = asked.select("qid", F.col("source").alias("var"), F.col("src_label").alias("label")).union(asked.select("qid", "target", "dst_label")).distinct()
     free = variables.join(held.select("qid", "var").union(required).distinct(), ["qid", "var"], "left_anti")
     around_labels = around.join(nodes.select("element_id", F.explode("labels").alias("label")), "element_id").select("qid", "label", "element_id")
@@ -141,33 +149,33 @@ def answered(
     state = state.fillna(0, ["n_entry", "n_context", "n_links"]).withColumn("attempt", F.lit("intersection"))
     ready = (F.col("n_entry") > 0) & (F.lit(context is None) | (F.col("n_context") > 0)) & ((F.col("n_links") > 0) | F.col("error").isNotNull())
     state = state.withColumn("query", F.when(ready, "links"))
-    state = kept(state.withColumn("route", routing.after_planning(F.col("query"), F.col("attempt"), F.col("n_entry"), F.col("n_context"))))
+    state = hold(state.withColumn("route", routing.after_planning(F.col("query"), F.col("attempt"), F.col("n_entry"), F.col("n_context"))))
 
     of = lambda rows, ids: rows.join(ids.select("qid"), "qid", "left_semi")
     running = state.where("route = 'run' AND error IS NULL")
-    first = kept(link_rows(of(asked, running), held.unionByName(context_held), required, edges))
+    first = hold(link_rows(of(asked, running), held.unionByName(context_held), required, edges))
     found = state.join(number(first, "n_rows"), "qid", "left").fillna(0, ["n_rows"])
     after = routing.after_execution(F.col("error"), F.col("attempt"), F.col("n_rows"))
-    found = kept(found.withColumn("route", F.when(F.col("route") == "run", F.when(after == "retry", "fallback").otherwise(after)).otherwise(F.col("route"))))
-    near = kept(adjacent(edges))
+    found = hold(found.withColumn("route", F.when(F.col("route") == "run", F.when(after == "retry", "fallback").otherwise(after)).otherwise(F.col("route"))))
+    near = hold(adjacent(edges))
     retried = found.where("route = 'fallback'")
-    relaxed = kept(link_rows(of(asked, retried), held, required, edges))
+    relaxed = hold(link_rows(of(asked, retried), held, required, edges))
     second = relaxed.unionByName(neighbour_rows(of(entry, retried).join(relaxed.select("qid").distinct(), "qid", "left_anti"), near))
     third = neighbour_rows(of(around, found.where("route = 'context_explore'")), near)
-    rows = kept(first.withColumn("attempt", F.lit("intersection")).unionByName(second.withColumn("attempt", F.lit("fallback"))).unionByName(third.withColumn("attempt", F.lit("context_explore"))))
+    rows = hold(first.withColumn("attempt", F.lit("intersection")).unionByName(second.withColumn("attempt", F.lit("fallback"))).unionByName(third.withColumn("attempt", F.lit("context_explore"))))
 
-    verdicts = rows.select("qid").distinct().withColumn("verdict_ok", F.lit(True)) if reviewer is None else kept(_reviewed(rows, nodes, reviewer))
+    verdicts = rows.select("qid").distinct().withColumn("verdict_ok", F.lit(True)) if reviewer is None else hold(_reviewed(rows, nodes, reviewer))
     rounds = spark.createDataFrame([], "qid string, round int").select(F.col("qid").cast(qid_type), "round")
     for nth in (1, 2) if reviewer is not None else ():
-        poor = kept(verdicts.where(routing.after_evaluation(F.col("verdict_ok")) == "reformulate").select("qid"))
+        poor = hold(verdicts.where(routing.after_evaluation(F.col("verdict_ok")) == "reformulate").select("qid"))
         if poor.isEmpty():
             break
         rounds = rounds.unionByName(poor.select("qid", F.lit(nth).alias("round")))
-        again = link_rows(of(asked, poor), held, required, edges) if nth == 1 else neighbour_rows(of(entry.unionByName(around.select("qid", "element_id")), poor), near)
-        again = kept(again.withColumn("attempt", F.lit("reformulation")))
-        rows = kept(rows.join(again.select("qid").distinct(), "qid", "left_anti").unionByName(again))
-        fresh = kept(_reviewed(of(rows, again.select("qid").distinct()), nodes, reviewer))
-        verdicts = kept(verdicts.join(fresh.select("qid"), "qid", "left_anti").unionByName(fresh))
+        again = hold(link_rows(of(asked, poor), held, required, edges)) if nth == 1 else neighbour_rows(of(entry.unionByName(around.select("qid", "element_id")), poor), near)
+        again = hold(again.withColumn("attempt", F.lit("reformulation")))
+        rows = hold(rows.join(again.select("qid").distinct(), "qid", "left_anti").unionByName(again))
+        fresh = hold(_reviewed(of(rows, again.select("qid").distinct()), nodes, reviewer))
+        verdicts = hold(verdicts.join(fresh.select("qid"), "qid", "left_anti").unionByName(fresh))
     # What is poor after the last round stands.
     last = rows.groupBy("qid").agg(F.first("attempt").alias("reached"), F.count("*").alias("n_rows"))
     out = found.select("qid", "question", "n_entry", "n_context", "error", F.col("route").alias("planned")).join(last, "qid", "left").join(rounds.groupBy("qid").agg(F.max("round").alias("rounds")), "qid", "left")
@@ -176,10 +184,13 @@ def answered(
     out = out.select("qid", "question", F.coalesce("reached", made).alias("attempt"), "n_entry", "n_context", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("rounds", F.lit(0)).alias("rounds"), (F.coalesce("n_rows", F.lit(0)) > 0).alias("verdict_ok"), wrong.alias("error"))
     out = out.join(cited(rows, nodes), "qid", "left")
     if writer is None:
-        return out.withColumn("answer", F.lit(None).cast("string"))
-    out = kept(out)
-    told = called(synthesis(out, _told(rows, nodes, answer.SUMMARY_ROWS)), "qid", "text", writer)
-    return out.join(told.select("qid", F.col("value").alias("answer")), "qid", "left")
+        out = kept(out.withColumn("answer", F.lit(None).cast("string")))
+    else:
+        state = hold(out)
+        told = called(synthesis(state, _told(rows, nodes, answer.SUMMARY_ROWS)), "qid", "text", writer)
+        out = kept(state.join(told.select("qid", F.col("value").alias("answer")), "qid", "left"))
+    discarded(*held_tables)
+    return out
 
 
 def synthesis(state: DataFrame, told: DataFrame) -> DataFrame:
