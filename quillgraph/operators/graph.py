@@ -97,11 +97,17 @@ def relabel_report(nodes: DataFrame, migrations: dict[str, str]) -> DataFrame:
     return old.withColumn("new", F.coalesce(F.try_element_at(names, F.col("old")), pascal_case("old"))).groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
-def ids_by_label(nodes: DataFrame, most: int = 8) -> DataFrame:
-    """qid, label, n, ids: of each question's first ``most`` nodes by id (qid, element_id, labels), the ids that carry a label, sorted."""
-    rank = F.dense_rank().over(Window.partitionBy("qid").orderBy("element_id"))
-    each = nodes.select("qid", "element_id", F.explode("labels").alias("label")).distinct().withColumn("rank", rank).where(F.col("rank") <= most)
-    return each.groupBy("qid", "label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("element_id")).alias("ids"))
+def ids_by_label(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """label, n, ids: sorted distinct ids of all nodes that carry a label (element_id, labels).
+
+    Nodes with a ``qid`` are grouped for each question apart; with ``most``, only a question's first nodes by id are told.
+    """
+    by = ["qid"] if "qid" in nodes.columns else []
+    each = nodes.select(*by, "element_id", F.explode("labels").alias("label")).distinct()
+    if most is not None:
+        rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("element_id"))
+        each = each.withColumn("rank", rank).where(F.col("rank") <= most)
+    return each.groupBy(*by, "label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("element_id")).alias("ids"))
 
 
 def expand(nodes: DataFrame, edges: DataFrame, hops: list[tuple[str, str, str]], start: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:

@@ -271,3 +271,12 @@ def test_a_question_without_a_reviewer_is_answered(spark):
     decomposed = lambda texts: ['{"nodes": [{"id": "a", "label": "Document", "properties": {"document_id": "7"}}], "relationships": []}'] * len(texts)
     row = questions.answered(asked, nodes, edges, decomposed).first()
     assert (row.attempt, row.n_entry, row.n_rows, row.verdict_ok, row.citations) == ("fallback", 1, 1, True, ["Gazette"])
+
+
+def test_ids_by_label_lists_every_node_unless_a_question_bounds_them(spark):
+    nodes = spark.range(20).selectExpr("id % 2 AS qid", "id AS element_id", "array('A', IF(id = 19, 'B', 'A')) AS labels")
+    found = {r.label: (r.n, r.ids) for r in graph.ids_by_label(nodes.drop("qid")).collect()}
+    assert found == {"A": (20, [*range(20)]), "B": (1, [19])}
+    told = {(r.qid, r.label): (r.n, r.ids) for r in graph.ids_by_label(nodes, 3).collect()}
+    assert told == {(0, "A"): (3, [0, 2, 4]), (1, "A"): (3, [1, 3, 5])}
+    assert {(r.qid, r.label): r.n for r in graph.ids_by_label(nodes).collect()} == {(0, "A"): 10, (1, "A"): 10, (1, "B"): 1}
