@@ -168,7 +168,7 @@ def question_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("""
 WITH e AS (SELECT c_custkey AS qid, (['Resolution', 'Meeting', 'Asset', 'Company', 'Topic'])[1 + CAST(c_custkey % 5 AS INTEGER)] AS label FROM customer)
-SELECT qid, label, CASE label WHEN 'Resolution' THEN 'legalact_embeddings' WHEN 'Company' THEN 'company_embeddings' WHEN 'Topic' THEN 'topic_embeddings' ELSE 'document_embeddings' END AS index FROM e WHERE label <> 'Asset'""")
+SELECT qid, label, CASE label WHEN 'Resolution' THEN 'legalact_embeddings' WHEN 'Company' THEN 'company_embeddings' WHEN 'Topic' THEN 'topic_embeddings' WHEN 'Meeting' THEN 'document_embeddings' END AS index FROM e""")
 def label_index_map(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, ("Resolution", "Meeting", "Asset", "Company", "Topic"))), (F.col("c_custkey") % 5 + 1).cast("int"))
     asked = _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), label.alias("label"))

@@ -128,5 +128,5 @@ def collected_labels(nodes: DataFrame) -> DataFrame:
 
 
 def vector_indexes(labels: DataFrame, hints: DataFrame) -> DataFrame:
-    """label, index: the vector index to search for each label; a label without one isn't searched."""
-    return labels.join(F.broadcast(hints), "label")  # a row per label
+    """label, index: the vector index to search for each label; of a label without one the index is null, and it isn't searched."""
+    return labels.join(F.broadcast(hints), "label", "left")  # a row per label

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import catalog
 from quillgraph.functions import language, text, titles
-from quillgraph.operators import answer, chat, emit, graph, parse, providers, search
+from quillgraph.operators import answer, chat, emit, graph, link, parse, providers, search
 from quillgraph.plans import patterns, routing
 from quillgraph.sources import files
 from quillgraph.streaming import sessions as stream_sessions
@@ -280,3 +280,9 @@ def test_ids_by_label_lists_every_node_unless_a_question_bounds_them(spark):
     told = {(r.qid, r.label): (r.n, r.ids) for r in graph.ids_by_label(nodes, 3).collect()}
     assert told == {(0, "A"): (3, [0, 2, 4]), (1, "A"): (3, [1, 3, 5])}
     assert {(r.qid, r.label): r.n for r in graph.ids_by_label(nodes).collect()} == {(0, "A"): 10, (1, "A"): 10, (1, "B"): 1}
+
+
+def test_labels_without_a_vector_index_stay_with_none(spark):
+    asked = spark.createDataFrame([(1, "Asset"), (2, "Topic"), (3, "Meeting")], "qid long, label string")
+    found = {r.qid: r["index"] for r in link.vector_indexes(asked, catalog.label_indexes(spark)).collect()}
+    assert found == {1: None, 2: "topic_embeddings", 3: "document_embeddings"}
