@@ -5,7 +5,7 @@ store by the hash before anything is asked; only texts without an answer go to t
 it is used, so neither the branches of a plan nor a later run ask again; a text whose call failed is asked again in the next run.
 
 Inside a task several calls are in flight at one time. A call holds up to ``batch`` texts; one that fails is tried again text by text, each ``retries`` times
-more, and the last error is kept. A lost executor's tasks run again, and may repeat the calls that it had not written.
+more, and the last error is kept. Before each further try there is one wait for all texts of a batch of rows that failed, not one for each text. A lost executor's tasks run again, and may repeat the calls that it had not written.
 
 A null text is an empty one. Answers for one text are the same for all its rows.
 """
@@ -27,19 +27,9 @@ BATCH, IN_FLIGHT, RETRIES = 16, 4, 2
 
 
 def asked_texts(texts: list[str], provider: Callable[[list[str]], list], batch: int, in_flight: int, retries: int, wait: float) -> list[tuple]:
-    """(answer, error) of each text, by calls in threads."""
+    """(answer, error) of each text, by calls in threads; what failed is tried again in rounds, with one wait for all of it."""
 
-    def one(text: str) -> tuple:
-        for attempt in range(retries + 1):
-            try:
-                return provider([text])[0], None
-            except Exception as e:  # noqa: BLE001  a provider may fail in any way; the row says how
-                error = f"{type(e).__name__}: {e}"
-                if attempt < retries:
-                    time.sleep(wait * 2**attempt)
-        return None, error
-
-    def many(some: list[str]) -> list[tuple]:
+    def many(some: list[str]) -> list[tuple] | None:
         if len(some) > 1:
             try:
                 answers = list(provider(some))
@@ -47,11 +37,27 @@ def asked_texts(texts: list[str], provider: Callable[[list[str]], list], batch:
                     return [(a, None) for a in answers]
             except Exception:  # noqa: BLE001  tried again text by text
                 pass
-        return [one(x) for x in some]
+        return None
 
+    def one(text: str) -> tuple:
+        try:
+            return provider([text])[0], None
+        except Exception as e:  # noqa: BLE001  a provider may fail in any way; the row says how
+            return None, f"{type(e).__name__}: {e}"
+
+    found: list[tuple] = []
     with ThreadPoolExecutor(in_flight) as pool:
-        parts = pool.map(many, [texts[a : a + batch] for a in range(0, len(texts), batch)])
-        return [x for part in parts for x in part]
+        calls = [texts[a : a + batch] for a in range(0, len(texts), batch)]
+        for some, part in zip(calls, pool.map(many, calls), strict=True):
+            found += part or [(None, "")] * len(some)
+        left = [i for i, (_, error) in enumerate(found) if error is not None]
+        for attempt in range(retries + 1):
+            if attempt and left:
+                time.sleep(wait * 2 ** (attempt - 1))
+            for i, told in zip(left, pool.map(one, [texts[i] for i in left]), strict=True):
+                found[i] = told
+            left = [i for i in left if found[i][1] is not None]
+    return found
 
 
 @dataclass(frozen=True)
@@ -67,12 +73,12 @@ class AnswerStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def answered(self, rows: DataFrame, key: list[str], text: str, name: str, provider: Callable[[list[str]], list], kind: str = "string", batch: int = BATCH, in_flight: int = IN_FLIGHT, retries: int = RETRIES, wait: float = 0.1, tasks: int | None = None) -> DataFrame:
-        """``key``, value, error: a row for each of ``rows``. ``tasks`` bounds how many tasks call the provider at one time."""
+        """``key``, value, error: a row for each of ``rows``. ``tasks`` bounds how many tasks call the provider at one time; else there is one a core, however small the texts are."""
         filled = F.coalesce(text, F.lit(""))
         hashed = rows.select(*key, F.sha2(filled, 256).alias("hash"))
         known = self._table(name, kind).where("error IS NULL").dropDuplicates(["hash"])
         missing = rows.select(filled.alias("text")).distinct().withColumn("hash", F.sha2("text", 256)).join(known.select("hash"), "hash", "left_anti")
-        missing = missing.repartition(tasks) if tasks else missing
+        missing = missing.repartition(tasks or self.spark.sparkContext.defaultParallelism)  # calls wait: their number counts, not their bytes
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:

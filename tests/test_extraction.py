@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 
+from pyspark import TaskContext
 
 from quillgraph.operators import answer_store, emit, extraction
 
@@ -131,3 +133,25 @@ def test_normalized_documents_are_one_record_each(spark, tmp_path):
     back = files.normalized_documents(spark, str(tmp_path / "n"))
     told = lambda rows: sorted((r.path, r.chunk_type, r.title, r.text_en, str(r.clauses)) for r in rows.collect())
     assert told(back) == told(chunks) and "valid" not in back.columns
+
+
+def test_texts_that_fail_wait_together():
+    calls = []
+
+    def provider(texts):
+        calls.append(texts)
+        if any(int(t) % 5 == 4 for t in texts):
+            raise ValueError("no answer")
+        return texts
+
+    began = time.monotonic()
+    found = answer_store.asked_texts([str(i) for i in range(100)], provider, 16, 4, 2, 0.1)
+    assert time.monotonic() - began < 1.5  # 20 texts, each 0.3 s of waits, in 4 threads: 1.5 s
+    assert found == [(None, "ValueError: no answer") if i % 5 == 4 else (str(i), None) for i in range(100)]
+    assert all(calls.count([str(i)]) == (3 if i % 5 == 4 else 1) for i in range(96))
+
+
+def test_few_texts_are_asked_by_all_cores(spark):
+    rows = spark.range(64).selectExpr("id AS key", "CAST(id AS STRING) AS text")
+    told = answer_store.store(spark).answered(rows, ["key"], "text", "tasks", lambda texts: [str(TaskContext.get().partitionId()) for _ in texts])
+    assert told.select("value").distinct().count() == spark.sparkContext.defaultParallelism
