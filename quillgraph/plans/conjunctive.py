@@ -5,10 +5,11 @@ stand for, of which there may be several; a variable without rows is free, unles
 rows. edges: type, src_label, src_id, dst_label, dst_id.
 
 Each question's links become connected parts, and each part a walk from its first held variable, or else its first one: a step for each
-link that reaches a new variable, and checks for the others. A part without held variables is the same for all questions that ask it, so it
-is matched once. All parts are matched at once, so the number of joins follows the longest walk and not the number of shapes:
+link that reaches a new variable, and checks for the others. Parts of one shape whose variables are held to the same nodes have the same rows,
+whatever questions ask them, so they are matched once. All parts are matched at once, so the number of joins follows the longest walk and not the number of shapes:
 
-1. forward, the edges of each step start from the nodes that the steps before have reached, and end in what is held;
+1. forward, the edges of each step start from the nodes that the steps before have reached, and end in what is held: there by both ends. Where
+   nothing hangs on the new variable, only a node's first ``limit`` edges by the other end can be in the first rows, and no others are read;
 2. backward, from the leaves, each step keeps the edges that every later step on it can continue;
 3. then every partial row of a part without cycles leads to a whole one, so the first ``limit`` rows by the ids along the walk follow from
    the first ``limit`` partial rows of each step; Spark bounds them before the shuffle too, so a hub's edges never meet in one task.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from quillgraph.operators.cut import discarded, kept
 
 ROW_LIMIT = 10
+#: Questions of one part that meet its rows in one task.
+QUESTIONS = 4096
 RULE = ["type", "src_label", "dst_label"]
 STEP = "struct<step:int,known:int,new:int,forward:boolean,type:string,src_label:string,dst_label:string>"
 
@@ -63,7 +66,7 @@ def walk(links: list[dict], held: set[str]) -> list[dict]:
 
 def planned(links: DataFrame, held: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """qid, part, pid, names, free, steps, checks: a row for each connected part of a question's links."""
-    own = held.groupBy("qid").agg(F.collect_set("var").alias("held"))  # variables of one question
+    own = held.groupBy("qid", "var").agg(_digest("element_id").alias("nodes")).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("var", "nodes"))).alias("held"))  # variables of one question
     if required is not None:
         missing = required.select("qid", "var").distinct().join(held.select("qid", "var").distinct(), ["qid", "var"], "left_anti")
         links = links.join(missing.select("qid").distinct(), "qid", "left_anti")
@@ -74,27 +77,51 @@ def planned(links: DataFrame, held: DataFrame, required: DataFrame | None = None
         for batch in batches:
             rows = []
             for qid, links, held in zip(batch["qid"], batch["links"], batch["held"], strict=True):
-                parts = walk([x if isinstance(x, dict) else x.asDict() for x in links], set(held) if held is not None else set())
-                rows += [(qid, i, p["names"], p["free"], p["steps"], p["checks"]) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["qid", "part", "names", "free", "steps", "checks"])
+                nodes = dict(held) if held is not None else {}
+                parts = walk([x if isinstance(x, dict) else x.asDict() for x in links], set(nodes))
+                rows += [(qid, i, p["names"], p["free"], p["steps"], p["checks"], [nodes.get(v) for v in p["names"]]) for i, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["qid", "part", "names", "free", "steps", "checks", "nodes"])
 
     kind = links.schema["qid"].dataType.simpleString()
-    found = asked.mapInPandas(run, f"qid {kind}, part int, names array<string>, free boolean, steps array<{STEP}>, checks array<{STEP}>")
-    shape = F.sha2(F.to_json(F.struct("steps", "checks")), 256)
-    return found.withColumn("pid", F.when(F.col("free"), shape).otherwise(F.concat(F.col("qid").cast("string"), F.lit("/"), "part")))
+    found = asked.mapInPandas(run, f"qid {kind}, part int, names array<string>, free boolean, steps array<{STEP}>, checks array<{STEP}>, nodes array<string>")
+    return found.withColumn("pid", F.sha2(F.to_json(F.struct("steps", "checks", "nodes")), 256)).drop("nodes")
 
 
-def _edges_of(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that continue ``asked`` (known_id may be null: from anywhere) by its rule, in its direction."""
-    edge = edges.select(*RULE, "src_id", "dst_id")
+def _digest(c: str) -> Column:
+    """A text that tells sets of distinct values apart: their number, and four sums over parts of their hashes, in whatever order."""
+    hashed = F.sha2(F.col(c).cast("string"), 256)
+    sums = (F.sum(F.conv(F.substring(hashed, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4))
+    return F.concat_ws("/", F.count("*").cast("string"), *sums)
+
+
+def _first_edges(ends: dict[bool, DataFrame], steps: DataFrame, limit: int) -> DataFrame:
+    """forward, rule, known_id, new_id: of the rules by which some step ends, each node's first ``limit`` edges by the other end."""
     out = None
-    for forward, near, far in ((True, "src_id", "dst_id"), (False, "dst_id", "src_id")):
+    for forward, edges in ends.items():
+        asked = steps.where((F.col("forward") == forward) & F.col("last") & ~F.col("is_held")).select(*RULE).distinct()
+        rank = F.dense_rank().over(Window.partitionBy(*RULE, "known_id").orderBy("new_id"))
+        one = edges.join(asked, RULE, "left_semi").withColumn("n", rank).where(F.col("n") <= limit).select(F.lit(forward).alias("forward"), *RULE, "known_id", "new_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _edges_of(asked: DataFrame, every: dict[bool, DataFrame], domain: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges that continue ``asked`` (known_id may be null: from anywhere) by its rule, in its direction: pid, known, new, known_id, new_id.
+
+    ``asked`` says whether the new variable is held (``is_held``), to what ``domain`` (pid, new, new_id) has, and whether it is an end (``last``); ``first`` has the edges for those.
+    """
+    columns = ["pid", "known", "new", "known_id", "new_id"]
+    out = asked.where("known_id IS NOT NULL AND NOT is_held AND last").join(first, ["forward", *RULE, "known_id"]).select(columns)
+    for forward, ends in every.items():
         one = asked.where(F.col("forward") == forward)
-        ends = edge.select(*RULE, F.col(near).alias("known_id"), F.col(far).alias("new_id"))
-        met = one.where("known_id IS NOT NULL").join(ends, [*RULE, "known_id"])
-        free = one.where("known_id IS NULL").drop("known_id").join(ends, RULE)
-        both = met.unionByName(free)
-        out = both if out is None else out.unionByName(both)
+        from_node, anywhere = one.where("known_id IS NOT NULL"), one.where("known_id IS NULL").drop("known_id")
+        # Both ends are known, so a hub's other edges aren't read.
+        both = from_node.where("is_held").join(domain, ["pid", "new"]).join(ends, [*RULE, "known_id", "new_id"], "left_semi")
+        more = from_node.where("NOT is_held AND NOT last").join(ends, [*RULE, "known_id"])
+        free = anywhere.where("NOT is_held").join(ends, RULE)
+        held = anywhere.where("is_held").join(domain, ["pid", "new"]).join(ends, [*RULE, "new_id"])
+        for rows in (both, more, free, held):
+            out = out.unionByName(rows.select(columns))
     return out
 
 
@@ -137,7 +164,7 @@ def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataF
     cycles = pairs.where("with IS NULL").select("pid", "c.*")
     kinds = {(r.step, r.known, r.new) for r in cycles.select("step", "known", "new").distinct().collect()}  # numbers within a walk
     numbers = plan.select("qid", "part", "pid", F.posexplode("names").alias("new", "var"), "free").where("NOT free").join(held, ["qid", "var"])
-    domain = hold(numbers.select("pid", "new", F.col("element_id").alias("id")))  # what each variable is held to, by number
+    domain = hold(numbers.select("pid", "new", F.col("element_id").alias("id")).distinct())  # what each variable is held to, by number
     is_held = domain.select("pid", "new").distinct()
     longest = parts.agg(F.max(F.size("steps"))).first()[0]
     if longest is None:  # no links
@@ -149,10 +176,17 @@ def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataF
     after = steps.select("pid", F.col("known").alias("new"), F.col("step").alias("later")).groupBy("pid", "new").agg(F.collect_set("later").alias("later"))
     no_steps = F.array().cast("array<int>")
 
-    def held_only(rows: DataFrame) -> DataFrame:
-        """Rows whose new variable is free, or held to their new node."""
-        free = rows.join(is_held, ["pid", "new"], "left_anti")
-        return free.unionByName(rows.join(domain.withColumnRenamed("id", "new_id"), ["pid", "new", "new_id"], "left_semi"))
+    held_to = domain.select("pid", "new", F.col("id").alias("new_id"))
+    # An end is a new variable on which neither a later step nor a check hangs.
+    bound_later = after.select("pid", "new").union(parts.select("pid", F.explode("checks").alias("c")).select("pid", F.explode(F.array("c.known", "c.new")).alias("new"))).distinct()
+    steps = hold(
+        steps.join(is_held.withColumn("is_held", F.lit(True)), ["pid", "new"], "left")
+        .join(bound_later.withColumn("more", F.lit(True)), ["pid", "new"], "left")
+        .withColumns({"is_held": F.coalesce("is_held", F.lit(False)), "last": F.col("more").isNull()})
+        .drop("more")
+    )
+    every_end = {f: edges.select(*RULE, F.col(near).alias("known_id"), F.col(far).alias("new_id")) for f, near, far in ((True, "src_id", "dst_id"), (False, "dst_id", "src_id"))}
+    first_edges = hold(_first_edges(every_end, steps, limit))
 
     frontier = domain.where("new = 0").select("pid", F.col("new").alias("known"), F.col("id").alias("known_id"))
     reached = frontier
@@ -161,7 +195,7 @@ def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataF
         ask = steps.where(F.col("step") == s).join(reached, ["pid", "known"], "left")
         # A free part's first step starts anywhere; without nodes, any other step ends there.
         ask = ask.where((F.col("known_id").isNotNull()) | ((F.col("known") == 0) & (F.lit(s) == 1)))
-        found = held_only(_edges_of(ask, edges).select("pid", "known", "new", "known_id", "new_id").distinct())
+        found = _edges_of(ask, every_end, held_to, first_edges).distinct()
         for along in (True, False):
             beside = parallel.where((F.col("step") == s) & (F.col("along") == along)).drop("step", "along")
             ends = ("known_id", "new_id") if along else ("new_id", "known_id")
@@ -209,12 +243,16 @@ def matched(links: DataFrame, held: DataFrame, edges: DataFrame, required: DataF
         rows = with_checks(rows, s).drop("open")
     rows = hold((rows if done is None else done.unionByName(rows)).select("pid", "ids"))
 
-    # The parts of a question side by side; each has at most ``limit`` rows.
+    # The parts of a question side by side; each has at most ``limit`` rows. A part that many questions share goes to several tasks.
+    shared = plan.groupBy("pid").agg(F.ceil(F.count("*") / QUESTIONS).alias("tasks")).where("tasks > 1")  # one in QUESTIONS at most
+    tasks = F.coalesce("tasks", F.lit(1).cast("long"))
+    plan_by_task = plan.join(F.broadcast(shared), "pid", "left").withColumn("task", F.pmod(F.xxhash64("qid"), tasks))
+    rows = rows.join(F.broadcast(shared), "pid", "left").select("pid", "ids", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"))
     most = plan.agg(F.max("part")).first()[0]
     number = plan.groupBy("qid").agg(F.max("part").alias("last"))
     out = None
     for p in range(most + 1):
-        here = plan.where(F.col("part") == p).select("qid", "pid", "names").join(rows, "pid").select("qid", F.map_from_arrays("names", "ids").alias("more"), F.col("ids").alias("more_ids"))
+        here = plan_by_task.where(F.col("part") == p).select("qid", "pid", "names", "task").join(rows, ["pid", "task"]).select("qid", F.map_from_arrays("names", "ids").alias("more"), F.col("ids").alias("more_ids"))
         if out is None:
             both = here.select("qid", F.col("more").alias("ids"), F.col("more_ids").alias("order"))
         else:

@@ -74,3 +74,26 @@ def test_a_row_of_two_links_meets_both_and_hubs_keep_their_first_rows(spark):
 def test_no_links_no_rows(spark):
     frame = spark.createDataFrame
     assert conjunctive.matched(frame([], LINKS), frame([(1, "x", "a")], HELD), frame([], EDGES)).count() == 0
+
+
+def test_questions_of_one_pattern_and_nodes_are_matched_once_and_hubs_are_not_read_for_each(spark, monkeypatch):
+    frame = spark.createDataFrame
+    links = [(q, i, *x) for q in range(400) for i, x in enumerate([(f"a{q}", "i", "T", "A", "B"), ("c", "i", "U", "C", "B")])]
+    edges = [("T", "A", f"a{i:03}", "B", "hub") for i in range(400)] + [("U", "C", f"c{i:03}", "B", "hub") for i in range(300)]
+    held = [(q, "i", "hub") for q in range(200)] + [(q, f"a{q}", f"a{q:03}") for q in range(200, 400)] + [(q, "c", f"c{q % 7:03}") for q in range(300, 400)]
+    plan = conjunctive.planned(frame(links, LINKS), frame(held, HELD))
+    assert plan.where("qid < 200").select("pid").distinct().count() == 1
+    assert plan.where("qid >= 200").select("pid").distinct().count() == 200
+    read = []
+    edges_of = conjunctive._edges_of
+    monkeypatch.setattr(conjunctive, "_edges_of", lambda *a: read.append(edges_of(*a).count()) or edges_of(*a))
+    monkeypatch.setattr(conjunctive, "QUESTIONS", 16)
+    found = conjunctive.matched(frame(links, LINKS), frame(held, HELD), frame(edges, EDGES))
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.qid, []).append((r.ord, r.ids[f"a{r.qid}"], r.ids["c"]))
+    first = [(n + 1, "a000", f"c{n:03}") for n in range(10)]
+    assert all(sorted(rows[q]) == first for q in range(200))
+    assert all(sorted(rows[q]) == [(n, f"a{q:03}", c) for n, _, c in first] for q in range(200, 300))
+    assert all(rows[q] == [(1, f"a{q:03}", f"c{q % 7:03}")] for q in range(300, 400))
+    assert sum(read) < 2500  # 400 questions by the hub's 700 edges: 160,000
