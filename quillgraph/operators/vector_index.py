@@ -148,7 +148,7 @@ class VectorIndex:
 
     def _best(self, probed: DataFrame, own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
         """qid, element_id, index, score: of each chunk, its best for each query that looks at it; then the best over chunks."""
-        joined = probed.join(self.chunks, ["index", "list"])
+        joined = probed.join(self.chunks.hint("merge"), ["index", "list"])  # copies are small in files, so their size there would have them sent through the driver
         kinds = {f.name: f.dataType for f in joined.schema}
         qid_kind = kinds["asked"].elementType["qid"].dataType.simpleString()
         id_kind = kinds["ids"].elementType.simpleString()

@@ -81,3 +81,11 @@ def test_vectors_of_other_lengths_are_an_error(spark, tmp_path):
 
 def test_registered_query(spark):
     assert np.isclose(queries.queries()["vector_index_topk"](spark, "/root/testdata/sf0.001").agg(F.max("score")).first()[0], queries.queries()["vector_topk"](spark, "/root/testdata/sf0.001").agg(F.max("score")).first()[0])
+
+
+def test_vectors_do_not_pass_through_the_driver(spark, tmp_path):
+    nodes = spark.range(500).selectExpr("id AS element_id", "'x' AS `index`", "array(1.0D, CAST(id % 7 AS DOUBLE)) AS embedding")
+    index = vector_index.build(nodes, str(tmp_path / "index"), buckets=2)
+    asked = nodes.where("element_id < 9").selectExpr("element_id AS qid", "embedding AS query")
+    plan = index._best(index._probed(asked, 4), {}, 3, True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
