@@ -49,24 +49,22 @@ def chosen_schema(questions: DataFrame, label_chooser: Provider, type_chooser: P
     listed = json_list("value")
     labels = F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, listed).otherwise(every)
     rows = kept(asked.select("qid", "question").join(first.select("qid", labels.alias("labels"), F.col("error").isNotNull().alias("failed")), "qid"))
-    rules = _rules(spark)
-    met = rows.join(F.broadcast(rules), F.array_contains("labels", F.col("from_label")) & F.array_contains("labels", F.col("to_label")))  # the schema's rules
+    # Rules meet each distinct list of labels, not each question.
+    rules = F.broadcast(catalog.relations(spark).select("from_label", "type", "to_label"))  # the schema's rules
+    met = rows.select("labels").distinct().join(rules, F.array_contains("labels", F.col("from_label")) & F.array_contains("labels", F.col("to_label")))
     candidate = F.format_string("(%s)-[%s]->(%s)", "from_label", "type", "to_label")
-    told = met.groupBy("qid").agg(F.array_sort(F.collect_set("type")).alias("candidates"), F.array_join(F.array_sort(F.collect_set(candidate)), "\n").alias("lines"))
-    rows = kept(rows.join(told, "qid", "left").withColumn("text", F.concat(F.lit("Labels: "), F.array_join("labels", ", "), F.lit("\nRelations:\n"), "lines", F.lit("\nQuestion: "), F.coalesce("question", F.lit("")))))
+    told = met.groupBy("labels").agg(F.array_sort(F.collect_set("type")).alias("candidates"), F.array_join(F.array_sort(F.collect_set(candidate)), "\n").alias("lines"))
+    rows = rows.join(kept(told), "labels", "left")
+    rows = kept(rows.withColumn("text", F.concat(F.lit("Labels: "), F.array_join("labels", ", "), F.lit("\nRelations:\n"), "lines", F.lit("\nQuestion: "), F.coalesce("question", F.lit("")))).drop("lines"))
     second = held.answered(rows.where("candidates IS NOT NULL"), ["qid"], "text", "schema-types", type_chooser)
     joined = rows.join(second.select("qid", json_list("value").alias("picked"), F.col("error").isNotNull().alias("also_failed")), "qid", "left")
     none = F.array().cast("array<string>")
     types = F.when(F.col("candidates").isNull(), none).when(F.coalesce(F.size("picked"), F.lit(0)) > 0, F.col("picked")).otherwise(F.col("candidates"))
-    whole = F.array(*(F.lit(r[0]) for r in rules.select("type").distinct().orderBy("type").collect()))  # the schema's types
+    whole = F.array(*map(F.lit, sorted({t for _, t, _ in catalog.RELATIONS})))
     broken = F.col("failed") | F.coalesce("also_failed", F.lit(False))
     return joined.select("qid", F.when(broken, every).otherwise(F.col("labels")).alias("labels"), F.when(broken, whole).otherwise(types).alias("types"))
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    return catalog.relations(spark).select("from_label", "type", "to_label")
-
-
 # What a placeholder says of each field of a case.
 FIELD_NAMES = {
     "plaintiff": "nome opponente / opposing party name",

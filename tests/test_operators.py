@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph import catalog
 from quillgraph.functions import language, text, titles
 from quillgraph.operators import answer, chat, emit, graph, link, parse, providers, search
-from quillgraph.plans import patterns, routing
+from quillgraph.plans import patterns, preparation, routing
 from quillgraph.sources import files
 from quillgraph.streaming import sessions as stream_sessions
 
@@ -294,3 +294,15 @@ def test_schema_meets_lists_of_labels_not_questions(spark):
     assert "Aggregate [qid" not in told._jdf.queryExecution().optimizedPlan().toString()
     found = {r.qid: r.schema_text for r in told.collect()}
     assert found.keys() == {1, 5} and found[1] == catalog.schema_text(spark, ["Tender"]).first()[0] and found[5] == catalog.schema_text(spark, ["Vote"]).first()[0]
+
+
+def test_schema_choice_groups_no_rules_by_question(spark, monkeypatch):
+    plans = []
+    whole = preparation.kept
+    monkeypatch.setattr(preparation, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    rows = spark.createDataFrame([(1, "q", [], []), (2, "p", [], [])], "qid long, question string, keywords array<string>, anchors array<string>")
+    labels = lambda texts: ['["Award", "Tender"]' if "Question: q" in t else "none" for t in texts]
+    found = {r.qid: r for r in preparation.chosen_schema(rows, labels, lambda texts: ["[]" for _ in texts]).collect()}
+    assert (found[1].labels, found[1].types) == (["Award", "Tender"], ["AWARD_OF"])
+    assert (len(found[2].labels), found[2].types) == (len(catalog.ENTITIES), sorted({t for _, t, _ in catalog.RELATIONS}))
+    assert not any("Aggregate [qid" in p for p in plans)
