@@ -1,6 +1,6 @@
 """A stored full-text index, searched for the best documents without scoring all of them.
 
-Documents are dealt into ranges of about ``RANGE_DOCUMENTS`` by a hash of their id and numbered within. A posting row holds the documents of one
+Documents are dealt into ranges of about ``RANGE_DOCUMENTS``, or ``RANGE_POSTINGS``, by a hash of their id and numbered within. A posting row holds the documents of one
 term in one range by number, with what the term adds to each before its rarity (the impact), and the greatest impact of every ``BLOCK`` of them.
 So a frequent word has a row a range, and no row is larger than a range.
 
@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.cut import discarded, kept
-from quillgraph.operators.search import tokens
+from quillgraph.operators.search import term_counts
 
-RANGE_DOCUMENTS, BLOCK, QUESTIONS = 8192, 64, 2048
+RANGE_DOCUMENTS, RANGE_POSTINGS, BLOCK, QUESTIONS = 8192, 1 << 22, 64, 2048
 #: Greatest impacts kept for each term; searches for more documents begin without a bound.
 TOPS = 10
 #: Scores that differ by less are ties.
@@ -121,33 +122,56 @@ def range_best(postings: pa.Table, asked: pa.Table, number: int, limit: int, fil
     return pa.table({"qid": asked.column("qid").take(index), "range": pa.array([number] * len(rows), pa.int32()), "no": pa.array(np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int32)), "score": pa.array(np.concatenate([*scores, np.zeros(0)]))})
 
 
+def range_postings(group: pa.Table, number: int, mean: float, k1: float, b: float) -> pa.Table:
+    """The postings of a range's documents (no, size, terms, tfs), by term: documents by number, impacts, the greatest of every block, and the greatest of all."""
+    order = np.argsort(group.column("no").to_numpy())
+    group = group.take(pa.array(order)).combine_chunks()
+    lists = group.column("terms").combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    by_name = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    word = place[words.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), np.int64))
+    tf, size = group.column("tfs").combine_chunks().flatten().to_numpy(), group.column("size").to_numpy()[doc]
+    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+    at = np.argsort(word, kind="stable")
+    doc, impact, count = doc[at], impact[at], np.bincount(word, minlength=len(by_name))
+    stops = np.cumsum(count)
+    blocks = -(-count // BLOCK)
+    begins = np.repeat(stops - count, blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    most = np.maximum.reduceat(impact, begins) if len(begins) else impact
+    down = np.lexsort((-impact, word[at]))
+    nth = np.arange(len(down)) - np.repeat(stops - count, count)
+    tops, told = impact[down[nth < TOPS]], np.minimum(count, TOPS)
+    array = lambda sizes, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(x))
+    columns = [pa.array(np.full(len(count), number, np.int32)), words.dictionary.take(pa.array(by_name)), array(count, doc.astype(np.int32)), array(count, impact), array(blocks, most), array(told, tops)]
+    return pa.table(dict(zip(["range", "term", "docs", "impacts", "most", "tops"], columns, strict=True)))
+
+
 def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75) -> TextIndex:
     """Index documents (element_id, text, and maybe an array ``labels``) under ``path`` in a folder that executors share."""
     spark = docs.sparkSession
     labels = F.col("labels") if "labels" in docs.columns else F.lit(None).cast("array<string>")
-    sized = kept(docs.select("element_id", labels.alias("labels"), F.size(tokens("text")).alias("size")))
-    n, mean = sized.agg(F.count("*"), F.avg("size")).first()
-    ranges = max(1, -(-n // RANGE_DOCUMENTS))
-    place = F.pmod(F.xxhash64("element_id"), F.lit(ranges)).cast("int")
-    number = F.row_number().over(Window.partitionBy("range").orderBy("element_id")) - 1
-    documents = sized.withColumn("range", place).withColumn("no", number)
-    documents.select("range", "no", "element_id", "labels", "size").write.mode("overwrite").parquet(f"{path}/documents")
-    documents = spark.read.parquet(f"{path}/documents")
-    words = docs.select("element_id", F.explode(tokens("text")).alias("term"))
-    counts = words.groupBy("element_id", "term").agg(F.count("*").alias("tf")).join(documents, "element_id")
-    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
-    rows = counts.select("range", "term", "no", impact.alias("impact")).groupBy("range", "term").agg(F.sort_array(F.collect_list(F.struct("no", "impact"))).alias("p"))  # a range's documents at most
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda i: F.array_max(F.slice("p.impact", i * BLOCK + 1, BLOCK)))
-    postings = rows.select("range", "term", F.col("p.no").alias("docs"), F.col("p.impact").alias("impacts"), blocks.alias("most"))
-    postings.repartition("range").sortWithinPartitions("range", "term").write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
+    counts = kept(term_counts(docs.withColumn("labels", labels), "element_id", "labels").withColumn("no", F.monotonically_increasing_id()))
+    n, mean, total = counts.agg(F.count("*"), F.avg("size"), F.sum(F.size("terms").cast("long"))).first()
+    ranges = max(1, -(-n // RANGE_DOCUMENTS), -(-(total or 0) // RANGE_POSTINGS))
+    placed = counts.withColumn("range", F.pmod(F.xxhash64("element_id"), F.lit(ranges)).cast("int"))
+    # the order of these numbers is that of ``no``, here and in ``range_postings``
+    number = F.row_number().over(Window.partitionBy("range").orderBy("no")) - 1
+    placed.select("range", number.alias("no"), "element_id", "labels", "size").write.mode("overwrite").parquet(f"{path}/documents")
+
+    def posted(key: tuple, group: pa.Table) -> pa.Table:
+        return range_postings(group, key[0].as_py(), mean, k1, b)
+
+    schema = "range int, term string, docs array<int>, impacts array<double>, most array<double>, tops array<double>"
+    placed.select("range", "no", "size", "terms", "tfs").groupBy("range").applyInArrow(posted, schema).write.mode("overwrite").parquet(f"{path}/postings")
     # The greatest impacts of a term, from the greatest of each range.
-    tops = postings.select("term", F.size("docs").alias("df"), F.slice(F.sort_array("impacts", asc=False), 1, TOPS).alias("some"))
-    best = tops.select("term", F.explode("some").alias("impact")).withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact")))).where(F.col("nth") <= TOPS)
-    best = best.groupBy("term").agg(F.sort_array(F.collect_list("impact"), asc=False).alias("tops"))
-    tops.groupBy("term").agg(F.sum("df").alias("df")).join(best, "term").write.mode("overwrite").parquet(f"{path}/terms")
+    each = spark.read.parquet(f"{path}/postings").select("term", F.size("docs").alias("df"), "tops")
+    most = F.slice(F.sort_array(F.flatten(F.collect_list("tops")), asc=False), 1, TOPS)  # TOPS of each range
+    each.groupBy("term").agg(F.sum("df").alias("df"), most.alias("tops")).write.mode("overwrite").parquet(f"{path}/terms")
     spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(ranges).cast("int").alias("ranges")).write.mode("overwrite").parquet(f"{path}/about")
-    discarded(sized)
+    discarded(counts)
     return opened(spark, path)
 
 
