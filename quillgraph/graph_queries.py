@@ -153,7 +153,7 @@ def entry_links(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.col("l_linenumber") % 2 == 1
     props = F.when(odd, F.create_map(F.lit("document_id"), F.col("l_orderkey").cast("string"))).otherwise(F.create_map(F.lit("normalized_name"), F.concat(F.lit("FIRM "), "l_suppkey")))
     entities = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("ord"), F.col("l_linenumber").cast("string").alias("id"), F.when(odd, "Document").otherwise("Company").alias("label"), props.alias("props"))
-    entry = link.entry_nodes(link.linked(entities, nodes, catalog.property_lookups(spark)), entities)
+    entry = link.entry_nodes(link.linked(entities, nodes, catalog.property_lookups(spark), told=True), entities)
     return entry.select("qid", "element_id", F.array_join("labels", ",").alias("labels"), F.array_join("sources", ",").alias("sources"))
 
 

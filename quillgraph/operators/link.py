@@ -66,24 +66,30 @@ def looked_up(entities: DataFrame, properties: DataFrame) -> DataFrame:
     return keyed.union(named.select("qid", "id")).distinct()
 
 
-def linked(entities: DataFrame, nodes: DataFrame, properties: DataFrame, lookup=None) -> DataFrame:
+def linked(entities: DataFrame, nodes: DataFrame, properties: DataFrame, lookup=None, told: bool = False) -> DataFrame:
     """Matches of each entity in its first tier that has any: its key, else its properties, else what ``lookup`` finds.
 
     properties: label, prop: what may be looked up by a property. ``lookup`` gets the entities (qid, id, label, props) without a match in the first two tiers,
-    such as by ``vector_index.targeted`` or ``text_lookup``, and gives qid, id, element_id, source.
+    such as by ``vector_index.targeted`` or ``text_lookup``, and gives qid, id, element_id, source. With ``told`` (without ``lookup``) matches lie by question, come with
+    the entity's ``ord`` and props (``asked``), so that ``entry_nodes`` needs neither a join nor a shuffle, and may be repeated.
     """
-    keyed = entities.withColumn("k", _key(F.col("label"), F.col("props"))).where("k IS NOT NULL").select("qid", "id", "label", "k")
+    if told and lookup is not None:
+        raise ValueError("what lookup finds isn't told")
+    names = ["ord", "asked"] if told else []
+    entities = entities.withColumn("asked", F.col("props")) if told else entities
+    keyed = entities.withColumn("k", _key(F.col("label"), F.col("props"))).where("k IS NOT NULL").select("qid", "id", "label", "k", *names)
     there = nodes.withColumn("k", _key(F.col("label"), F.col("props"))).where("k IS NOT NULL").select("label", "k", "element_id", "labels")
-    first = keyed.join(there, ["label", "k"]).select("qid", "id", "element_id", "labels", _key_source(F.col("label")).alias("source"), F.lit(1).alias("tier"))
+    first = keyed.join(there, ["label", "k"]).select("qid", "id", "element_id", "labels", _key_source(F.col("label")).alias("source"), F.lit(1).alias("tier"), *names)
 
     rules = F.broadcast(properties)  # a row per label and property
     exploded = lambda rows, *keep: rows.select(*keep, "label", F.explode("props").alias("prop", "v")).join(rules, ["label", "prop"])
     forms = F.when(F.col("prop") == "normalized_name", lookup_candidates("v", "normalized_name")).otherwise(lookup_candidates("v", ""))
-    wanted = exploded(entities, "qid", "id").select("qid", "id", "label", "prop", F.explode(forms).alias("v"))
+    wanted = exploded(entities, "qid", "id", *names).select("qid", "id", "label", "prop", F.explode(forms).alias("v"), *names)
     held = exploded(nodes, "element_id", "labels").select("element_id", "labels", "label", "prop", F.lower("v").alias("v"))
-    second = wanted.join(held, ["label", "prop", "v"]).select("qid", "id", "element_id", "labels", F.lit("btree").alias("source"), F.lit(2).alias("tier")).distinct()
+    second = wanted.join(held, ["label", "prop", "v"]).select("qid", "id", "element_id", "labels", F.lit("btree").alias("source"), F.lit(2).alias("tier"), *names)
     best = F.min("tier").over(Window.partitionBy("qid", "id"))
-    found = first.union(second).withColumn("best", best).where("tier = best").drop("best")
+    found = first.union(second).repartition("qid") if told else first.union(second.distinct())
+    found = found.withColumn("best", best).where("tier = best").drop("best")
     if lookup is None:
         return found
     found = kept(found)
@@ -109,7 +115,7 @@ def entry_nodes(matches: DataFrame, entities: DataFrame) -> DataFrame:
 
     Labels, and the properties of the entity that found it, are those of the first match by the entity's ``ord``.
     """
-    rows = matches.join(entities.select("qid", "id", "ord", F.col("props").alias("asked")), ["qid", "id"])
+    rows = matches if "asked" in matches.columns else matches.join(entities.select("qid", "id", "ord", F.col("props").alias("asked")), ["qid", "id"])
     at = F.struct("ord", "tier", "source")
     first = F.min_by(F.struct("labels", "asked"), at)
     out = rows.groupBy("qid", "element_id").agg(F.sort_array(F.collect_set("source")).alias("sources"), first.alias("first"))
