@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import pascal_case
 
 EDGE = ["type", "src_label", "src_id", "dst_label", "dst_id"]
+#: Records that a task merges: more of them are dealt out to more tasks.
+SHARE = 500_000
 
 
 def node_id(key: str = "key"):
@@ -21,15 +23,19 @@ def node_id(key: str = "key"):
     return F.array_join(F.transform(entries, lambda e: F.coalesce(e["value"], F.lit(""))), "|")
 
 
-def upsert(rows: DataFrame, identity: list[str]) -> DataFrame:
+def upsert(rows: DataFrame, identity: list[str], n: int | None = None) -> DataFrame:
     """Merge records of equal identity, property by property; ``seq`` becomes the latest.
 
-    Running it over its own result changes nothing.
+    Running it over its own result changes nothing. Records are dealt out once, by a hash of their identity, to as many tasks as their number
+    asks for; they are counted, unless ``n`` says how many there are at most.
     """
-    each = rows.select(*identity, "seq", F.explode_outer("props").alias("k", "v"))
-    last = each.groupBy(*identity, "k").agg(F.max_by(F.struct("v"), "seq")["v"].alias("v"), F.max("seq").alias("seq"))
+    n = rows.count() if n is None else n
+    tasks = max(-(-n // SHARE), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select(*identity, "props", "seq", F.xxhash64(*identity).alias("deal")).repartition(tasks, "deal")
+    each = dealt.select("deal", *identity, "seq", F.explode_outer("props").alias("k", "v"))
+    last = each.groupBy("deal", *identity, "k").agg(F.max_by(F.struct("v"), "seq")["v"].alias("v"), F.max("seq").alias("seq"))
     pairs = F.collect_list(F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), F.struct("k", "v")))  # an entity's properties
-    return last.groupBy(*identity).agg(F.max("seq").alias("seq"), F.map_from_entries(F.sort_array(pairs)).alias("props"))
+    return last.groupBy("deal", *identity).agg(F.max("seq").alias("seq"), F.map_from_entries(F.sort_array(pairs)).alias("props")).drop("deal")
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def upsert_nodes(rows: DataFrame) -> DataFrame:
 
 def upsert_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Merged edges of which both ends exist."""
-    return upsert(resolved(rows, nodes), EDGE)
+    return upsert(resolved(rows, nodes), EDGE, rows.count())
 
 
 def resolved(edges: DataFrame, nodes: DataFrame, with_labels: bool = True) -> DataFrame:
@@ -46,7 +52,7 @@ def resolved(edges: DataFrame, nodes: DataFrame, with_labels: bool = True) -> Da
     for side in ("src", "dst"):
         keys = [f"{side}_label", f"{side}_id"] if with_labels else [f"{side}_id"]
         ends = nodes.select(*(F.col(k.replace(f"{side}_id", "node_id").replace(f"{side}_label", "label")).alias(k) for k in keys)).distinct()
-        edges = edges.join(ends, keys, "left_semi")
+        edges = edges.join(ends.hint("shuffle_hash"), keys, "left_semi")  # a task holds its share of nodes and sorts no edges
     return edges
 
 

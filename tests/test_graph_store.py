@@ -64,3 +64,17 @@ def test_a_load_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     assert store.nodes().count() == 2 and store.edges().count() == 1
     store.cleared("three")
     assert store.nodes().count() == 0 and store.history().count() == 3
+
+
+def test_upsert_tasks_grow_with_records(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARE", 50)
+    rows = spark.range(2000).selectExpr("'A' AS label", "CAST(id % 700 AS STRING) AS node_id", "map('k', CAST(id AS STRING), 'gone', IF(id < 700, 'x', NULL)) AS props", "id AS seq")
+    merged = graph.upsert_nodes(rows)
+    assert merged.rdd.getNumPartitions() == 40
+    found = {r.node_id: (r.props, r.seq) for r in merged.collect()}
+    latest = {str(i % 700): i for i in range(2000)}
+    assert found == {k: ({"k": str(i)}, i) for k, i in latest.items()}
+    edges = spark.range(2000).selectExpr("'T' AS type", "'A' AS src_label", "CAST(id % 700 AS STRING) AS src_id", "'A' AS dst_label", "CAST(id % 900 AS STRING) AS dst_id", "map('k', 'v') AS props", "id AS seq")
+    linked = graph.upsert_edges(edges, merged)
+    assert linked.rdd.getNumPartitions() == 40
+    assert {(r.src_id, r.dst_id): r.seq for r in linked.collect()} == {(str(i % 700), str(i % 900)): i for i in range(2000) if i % 900 < 700}
