@@ -66,9 +66,10 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own, files = Window.partitionBy("path").orderBy("split"), Window.orderBy("path")
     earlier = counts.groupBy("path").agg(F.sum("n").alias("n")).select("path", before(files).alias("offset"))  # a row a file
-    places = counts.select("path", "split", "first", before(own).alias("skipped")).join(earlier, "path")
+    places = counts.select("path", "split", "first", before(own).alias("skipped")).join(F.broadcast(earlier), "path")
     line = F.col("at") - F.col("first") + F.col("skipped")
-    return rows.join(places, ["path", "split"]).select("path", (line + 1).alias("line"), (line + F.col("offset")).alias("seq"), "value")
+    # a row a split: lines stay where they were read, none is shuffled or sorted
+    return rows.join(F.broadcast(places), ["path", "split"]).select("path", (line + 1).alias("line"), (line + F.col("offset")).alias("seq"), "value")
 
 
 def graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -78,3 +78,20 @@ def test_upsert_tasks_grow_with_records(spark, monkeypatch):
     linked = graph.upsert_edges(edges, merged)
     assert linked.rdd.getNumPartitions() == 40
     assert {(r.src_id, r.dst_id): r.seq for r in linked.collect()} == {(str(i % 700), str(i % 900)): i for i in range(2000) if i % 900 < 700}
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, capsys):
+    from quillgraph.sources import files
+
+    spark.range(500).selectExpr("CONCAT('line ', id) AS value").repartition(3).write.text(str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = files.ordered_lines(spark, str(tmp_path / "lines"))
+        assert sorted(r.seq for r in lines.collect()) == list(range(500))
+        capsys.readouterr()
+        lines.explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert not shuffled and "BroadcastHashJoin" in plan
