@@ -27,8 +27,11 @@ def hashed_vectors(texts: list[str], size: int = 16) -> list[list[float]]:
     return out
 
 
-def called(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]], list], kind: str = "string", batch: int = BATCH) -> DataFrame:
-    """key, value, error: the provider's answer for each row; a batch that fails is tried row by row."""
+def called(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]], list], kind: str = "string", batch: int = BATCH, spread: bool = False) -> DataFrame:
+    """key, value, error: the provider's answer for each row; a batch that fails is tried row by row.
+
+    ``spread`` deals the rows out to every core first: short texts lie in few tasks, by their bytes, and calls take time by their number.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -47,7 +50,11 @@ def called(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]],
                 yield pd.DataFrame({key: some[key].tolist(), "value": values, "error": errors})
 
     kind_of_key = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind_of_key}, value {kind}, error string")
+    rows = rows.select(key, text)
+    if spread:
+        spark = rows.sparkSession
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.mapInPandas(run, f"{key} {kind_of_key}, value {kind}, error string")
 
 
 def with_embeddings(nodes: DataFrame, provider: Callable[[list[str]], list], key: str = "element_id", text: str = "embedding_text", held: AnswerStore | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def written_links(questions: DataFrame, valid: DataFrame, planner: Provider, rel
 
     ``planner`` gives JSON with links of source, target (ids of entities) and type.
     """
-    told = kept(called(questions, "qid", "question", planner).withColumn("read", F.from_json("value", WRITTEN)))
+    told = kept(called(questions, "qid", "question", planner, spread=True).withColumn("read", F.from_json("value", WRITTEN)))
     each = told.select("qid", F.posexplode("read.links").alias("ord", "x")).select("qid", "ord", F.col("x.source").alias("source_id"), F.col("x.target").alias("target_id"), F.col("x.type").alias("type"))
     links = kept(decompose.valid_links(each, valid, relations))
     unknown = each.join(links.select("qid", "ord"), ["qid", "ord"], "left_anti").groupBy("qid").agg(F.min_by("type", "ord").alias("wrong"))
@@ -123,7 +123,7 @@ def answered(
 
     qid_type = questions.schema["qid"].dataType
     none = spark.createDataFrame([], "qid string, element_id string, score double").select(F.col("qid").cast(qid_type), "element_id", "score")
-    entities, links = decompose.question_graph(hold(called(questions, "qid", "question", decomposer)))
+    entities, links = decompose.question_graph(hold(called(questions, "qid", "question", decomposer, spread=True)))
     valid = hold(decompose.valid_entities(entities, catalog.entities(spark)))
     wanted = hold(decompose.normalized_entities(valid))
     asked, errors = decompose.valid_links(links, valid, catalog.relations(spark)), spark.createDataFrame([], "qid string, error string").select(F.col("qid").cast(qid_type), "error")
@@ -187,7 +187,7 @@ def answered(
         out = kept(out.withColumn("answer", F.lit(None).cast("string")))
     else:
         state = hold(out)
-        told = called(synthesis(state, _told(rows, nodes, answer.SUMMARY_ROWS)), "qid", "text", writer)
+        told = called(synthesis(state, _told(rows, nodes, answer.SUMMARY_ROWS)), "qid", "text", writer, spread=True)
         out = kept(state.join(told.select("qid", F.col("value").alias("answer")), "qid", "left"))
     discarded(*held_tables)
     return out
@@ -223,7 +223,7 @@ def _row_maps(named: DataFrame) -> DataFrame:
 
 
 def _reviewed(rows: DataFrame, nodes: DataFrame, reviewer: Provider) -> DataFrame:
-    return called(_told(rows, nodes, 8), "qid", "told", reviewer).select("qid", routing.verdict_ok(F.col("value")).alias("verdict_ok"))
+    return called(_told(rows, nodes, 8), "qid", "told", reviewer, spread=True).select("qid", routing.verdict_ok(F.col("value")).alias("verdict_ok"))
 
 
 def cited(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -117,3 +117,14 @@ def test_searches_without_queries_or_of_two_lengths(spark):
     assert search.vector_lookup(nodes, asked, settings).count() == 0 and search.vector_lookup(nodes, asked.limit(0), settings).count() == 0
     matches = spark.createDataFrame([(1, "a", "s2", 0.1, ["B"]), (1, "a", "s1", 0.9, []), (1, "b", "s1", None, None)], "qid long, element_id string, source string, score double, labels array<string>")
     assert {(r.element_id, r.score, tuple(r.labels)) for r in search.merged_matches(matches, 5).collect()} == {("a", 0.9, ("B",)), ("b", None, ())}
+
+
+def test_few_short_questions_are_asked_from_every_core(spark):
+    from pyspark import TaskContext
+
+    from quillgraph.operators.providers import called
+
+    rows = spark.range(200).selectExpr("id AS qid", "CONCAT('question ', id) AS question").coalesce(1)
+    found = called(rows, "qid", "question", lambda texts: [str(TaskContext.get().partitionId())] * len(texts), spread=True).collect()
+    assert sorted(r.qid for r in found) == list(range(200))
+    assert len({r.value for r in found}) >= spark.sparkContext.defaultParallelism
