@@ -46,8 +46,8 @@ BLOCK_BYTES = 1 << 21
 LEVEL = 3
 NULL_KEY = -(1 << 63)
 MAGIC = b"QGTA"
-#: Pieces of text whose ids a worker remembers: some 100 MB with their ids. A job whose workers need their memory for more passes fewer.
-CACHED_PIECES = 200_000
+#: Pieces of text whose ids a worker remembers, those it meets most often: some 300 MB with their ids. A job whose workers need their memory for more passes fewer.
+CACHED_PIECES = 600_000
 #: Texts of so many bytes are encoded at once.
 ENCODED_BYTES = 1 << 19
 #: New pieces in one text for the library.
@@ -106,13 +106,23 @@ class Encoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.stand_in = {b: 256 + i for i, b in enumerate(rest) if b != 0x0A}  # bytes without a printable form, as in vocabulary files
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = _Places()
         self.flat = np.zeros(0, self.dtype)
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met most often, half of those that may be held at most; what was met long ago counts less."""
+        often = np.argsort(-self.used, kind="stable")[: self.pieces // 2]
+        keep = np.sort(often[self.used[often] > 1])
+        names, known = list(self.known), _Places()
+        for i in keep.tolist():
+            known[names[i]] = len(known)
+        begin, size = self.begin[keep], self.size[keep]
+        done = np.cumsum(size)
+        self.flat = self.flat[np.repeat(begin - (done - size), size) + np.arange(size.sum())]
+        self.known, self.begin, self.size, self.used = known, done - size, size, self.used[keep] // 2
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -175,6 +185,9 @@ class Encoder:
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
+        met = np.bincount(at, minlength=len(self.size))
+        met[: len(self.used)] += self.used
+        self.used = met
         begins, sizes = self.begin[at], self.size[at]
         done = np.cumsum(sizes)
         out = self.flat[np.repeat(begins - (done - sizes), sizes) + np.arange(done[-1])] if len(at) else self.flat[:0]

@@ -40,3 +40,20 @@ def test_the_loss_takes_every_id_of_a_word(model):
     wanted = Counter(model.inner_steps(ids, sizes)[2].tolist())
     group = pa.table({"word": pa.array(words, pa.binary())})
     assert _asked(lm_scoring._word_steps(model, group, np.random.default_rng(0))) == wanted
+
+
+def test_a_full_encoder_keeps_the_pieces_it_meets_often():
+    import public_tokenizers
+
+    from quillgraph.llm import token_archive
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    small, large = token_archive.Encoder(path, 40), token_archive.Encoder(path, 1 << 20)
+    asked = []
+    learn = small._learn
+    small._learn = lambda keys: (asked.extend(keys), learn(keys))
+    texts = [f"often met words stay in, rare{i} once{i} gone{i}!" for i in range(60)]
+    for text in texts:
+        (ids,), (expected,) = small.encode([text]), large.encode([text])
+        assert ids.tolist() == expected.tolist() == small.library.encode(text, add_special_tokens=False).ids
+    assert asked.count("met") == 1 and len(small.known) <= 45
