@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, labelled, mixing, ngram_join, quality, token_archive
-from quillgraph.llm.common import joinable, saved, set_aside, table
+from quillgraph.llm.common import bounded_batches, joinable, saved, set_aside, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker of the last stage remembers: fewer than alone, since executors hold what the stages before have left.
@@ -24,6 +24,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The score depends on the text alone, so a text gets the same verdict wherever it stands.
     """
+    bounded_batches(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     docs, named_back = set_aside(docs, {"score"})
     return named_back(labelled.with_score(docs, model).where(F.col("score") >= 0.5).drop("score"))
@@ -34,6 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null id comes last. Documents without words are linked with nothing and stay, repeated rows of them too.
     """
+    bounded_batches(spark)
     docs, named_back = set_aside(docs, {"at0", "at1", "text_hash", "every", "nth"})
     classes = ngram_join.near_duplicates(docs, located=True)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
@@ -49,6 +51,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word spans of benchmark passages; n_chars counts what is left."""
+    bounded_batches(spark)
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     docs, named_back = set_aside(docs, {"n_words", "hit_spans", "hit_items"})
     found = decontaminate.contaminated_spans(docs, items)
@@ -59,11 +62,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a text's pieces, and once more those that it takes twice."""
+    bounded_batches(spark)
     return mixing.mixed_texts(docs, length="n_chars")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The archive's digest of each text."""
+    bounded_batches(spark)
     return token_archive.archived(docs, public_tokenizers.path(VOCABULARY), pieces=PIECES)
 
 

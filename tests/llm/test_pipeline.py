@@ -73,3 +73,24 @@ def test_stages_keep_odd_rows_and_columns_of_any_name(spark):
     good = corpus_pipeline.good_documents(spark, spark.createDataFrame(rows, docs.schema), SF)
     assert good.columns == docs.columns and {r.score for r in good.collect()} <= {1.5}
     assert corpus_pipeline.token_ids(spark, docs, SF).count() == docs.count()
+
+
+def test_stages_bound_what_goes_to_workers_at_once(spark):
+    from quillgraph.llm.common import BATCH_BYTES, BATCH_SETTING
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 400) AS text").coalesce(1)
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        corpus_pipeline.token_ids(spark, docs.limit(3), SF)
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+        found = docs.mapInArrow(sizes, "bytes long, rows long").collect()
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+    assert sum(r["rows"] for r in found) == 4000
+    assert sum(r["bytes"] for r in found) > 3 * BATCH_BYTES and max(r["bytes"] for r in found) < 1.5 * BATCH_BYTES
