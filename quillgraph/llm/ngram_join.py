@@ -52,6 +52,8 @@ LEAVES = 256
 LEAST_BITS, MOST_BITS = 256, 8192
 FILTER_BITS = 23
 WORDS_CACHED = 150_000
+#: Groups whose prefix a task remembers; it may give a prefix again.
+GROUPS_SEEN = 150_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -159,12 +161,16 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _membership(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per document: key, n, its set's key and signature, its prefix and the prefix's key, and text_hash if ``docs`` has it."""
+    """Per document: key, n, its set's key and signature, its prefix and the prefix's key, and text_hash if ``docs`` has it.
+
+    A prefix is null if one before it in the task has the same size and key: it is the least row of a group in its task that has it.
+    """
     others = [c for c in docs.columns if c == "text_hash"]
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, k))  # FREQUENT_KEPT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
+        seen: set[tuple[int, bytes]] = set()
         for batch, sets in _sets(batches, text, k):
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             at = np.searchsorted(late, flat)
@@ -176,14 +182,21 @@ def _membership(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
                 need = n - -(-percent * n // 100) + 1 if n else 0
                 first = s[~mark][:need]
                 prefixes.append(np.concatenate([first, s[mark][: need - len(first)]]))
+            keys = [_set_key(p) if len(p) else None for p in prefixes]
+            if len(seen) > GROUPS_SEEN:
+                seen.clear()
+            fresh = []
+            for s, group in zip(sets, keys, strict=True):
+                fresh.append(group is not None and (len(s), group) not in seen)
+                seen.add((len(s), group))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([_set_key(p) if len(p) else None for p in prefixes], pa.binary()),
-                    pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64())),
+                    pa.array(keys, pa.binary()),
+                    pa.array([p.view(np.int64) if new else None for p, new in zip(prefixes, fresh, strict=True)], pa.list_(pa.int64())),
                     *(batch.column(c) for c in others),
                 ],
                 [key, "n", "set", "sig", "prefix_key", "prefix", *others],
@@ -361,13 +374,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = placed.where("id = row").select("id", "set", "doc", "n", "prefix_key")
     heads = sets.groupBy("n", "prefix_key").agg(F.min("id").alias("head"))
     sets = saved(sets.join(heads, ["n", "prefix_key"]).drop("prefix_key"), "sets")
-    prefixes = member.select(F.col("row").alias("head"), "prefix").join(sets.select("head").distinct(), "head")
     by_list = Window.partitionBy("list")
-    lists = prefixes.select(F.posexplode("prefix").alias("pos", "list"), "head")
+    # Heads, and the first row of a group in other tasks, which needs no shuffle of prefixes to tell. Such rows come after their
+    # head, so the first of a list is a head; they give pairs to verify, if they are sets, and otherwise find nothing to join.
+    lists = member.select(F.col("row").alias("head"), "prefix").select(F.posexplode("prefix").alias("pos", "list"), "head")
     lists = lists.select("*", F.count("*").over(by_list).alias("count"), F.min("head").over(by_list).alias("first")).where("count > 1")
     lists = saved(lists, "lists")
     bare = saved(member.where("n = 0").select(key, *more_columns), "bare")
-    signatures = saved(member.select(F.col("row").alias("id"), "n", "sig").join(sets.select("id"), "id", "left_semi"), "signatures")
+    signatures = saved(filled.select(F.col("row").alias("id"), "n", "sig"), "signatures")
     dropped(member)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -394,13 +408,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     at = direct.groupBy(F.col("x.id").alias("u"), F.col("y.id").alias("v")).agg(F.min(F.struct("x.pos", F.col("y.pos").alias("other"), "x.n", F.col("y.n").alias("m"))).alias("at"))
     near = at.where(f"{100 + percent} * least(at.n - at.pos, at.m - at.other) >= {percent} * (at.n + at.m)")
     more = verify(near.select("u", "v"))
-    long = saved(_merged(unsettled.where(F.col("count") > SHORT_LIST).select("list", "first", "count", "id", "part")), "long-lists")
+    long = _merged(unsettled.where(F.col("count") > SHORT_LIST).select("list", "first", "count", "id", "part"))
+    long = saved(long.join(sets.select("id", "set", "doc"), "id"), "long-lists")
     dropped(unsettled, signatures)
     if not long.isEmpty():
-        wanted = long.select("id").distinct().join(sets.select("id", "set", "doc"), "id")
-        data = saved(_whole_sets(wanted, docs, key, text, k).dropDuplicates(["set"]).join(wanted, "set").select("id", "data"), "long-sets")
-        across = saved(_long_list_links(long.join(data.hint("merge"), "id"), percent), "list-links")
-        dropped(data)
+        # lists go to the sets, which are shuffled by their key alone
+        data = _whole_sets(long, docs, key, text, k).dropDuplicates(["set"])
+        across = saved(_long_list_links(long.join(data.hint("merge"), "set").drop("set", "doc"), percent), "list-links")
         more = more.union(across)
     part = components(links.union(more)).toDF("id", "part")
     dropped(long, settled)

@@ -513,3 +513,18 @@ def test_columns_with_clashing_names(spark):
     assert scored.columns.count("score") == 1 and 0 <= scored.first().score <= 1
     pairs = spark.createDataFrame([(1, "mine", [("user", "a")], [("user", "b")])], "pair_id long, prompt string, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
     assert preference.format_lists(pairs).columns.count("prompt") == 1
+
+
+def test_a_task_gives_a_groups_prefix_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words)] * 30 + [" ".join([*words, f"x{i}"]) for i in range(30)] + ["alone " * 3, "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = ngram_join._membership(docs.coalesce(1), "doc_id", "text", 4, 85).orderBy("row").collect()
+    groups = [(r.n, bytes(r.prefix_key)) for r in rows if r.n]
+    assert [(r.n, bytes(r.prefix_key)) for r in rows if r.prefix is not None] == list(dict.fromkeys(groups))
+    # in several tasks a group has more than its head; classes stay, in short and in long lists
+    for short, seen in ((64, 150_000), (2, 1)):
+        monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+        monkeypatch.setattr(ngram_join, "GROUPS_SEEN", seen)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs.repartition(7), k=4, percent=85).collect()}
+        assert got == {i: 0 if i < 60 else i for i in range(len(texts))}
