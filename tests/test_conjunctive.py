@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -97,3 +98,23 @@ def test_questions_of_one_pattern_and_nodes_are_matched_once_and_hubs_are_not_re
     assert all(sorted(rows[q]) == [(n, f"a{q:03}", c) for n, _, c in first] for q in range(200, 300))
     assert all(rows[q] == [(1, f"a{q:03}", f"c{q % 7:03}")] for q in range(300, 400))
     assert sum(read) < 2500  # 400 questions by the hub's 700 edges: 160,000
+
+
+def test_rows_of_one_part_are_not_brought_together_to_learn_its_steps(spark, monkeypatch):
+    """What a step does is broadcast by shape: a part from anywhere has as many rows as there are edges."""
+    frame = spark.createDataFrame
+    edges = [("T", "A", f"a{i:04}", "B", f"b{i % 50}") for i in range(2000)] + [("U", "B", f"b{i}", "C", "c") for i in range(40)]
+    links = [(q, i, *x) for q in range(5) for i, x in enumerate([("x", "y", "T", "A", "B"), ("y", "z", "U", "B", "C")])]
+    plans, keep = [], conjunctive.kept
+    monkeypatch.setattr(conjunctive, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = conjunctive.matched(frame(links, LINKS), frame([], HELD), frame(edges, EDGES))
+        monkeypatch.setattr(conjunctive, "SHAPES", 0, raising=False)
+        others = conjunctive.matched(frame(links, LINKS), frame([], HELD), frame(edges, EDGES))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not [p for p in plans[: len(plans) // 2] if re.search(r"SortMergeJoin(\(skew=true\))? \[pid#\d+\], \[pid#\d+\]", p)]
+    rows = {(r.qid, r.ord): dict(r.ids) for r in found.collect()}
+    assert len(rows) == 50 and rows[4, 2] == {"x": "a0001", "y": "b1", "z": "c"} and rows == {(r.qid, r.ord): dict(r.ids) for r in others.collect()}
