@@ -128,3 +128,10 @@ def test_few_short_questions_are_asked_from_every_core(spark):
     found = called(rows, "qid", "question", lambda texts: [str(TaskContext.get().partitionId())] * len(texts), spread=True).collect()
     assert sorted(r.qid for r in found) == list(range(200))
     assert len({r.value for r in found}) >= spark.sparkContext.defaultParallelism
+
+
+def test_all_attempts_share_one_search_of_patterns(spark, monkeypatch):
+    searches, matched = [], questions.conjunctive.matched
+    monkeypatch.setattr(questions.conjunctive, "matched", lambda *a, **k: searches.append(1) or matched(*a, **k))
+    row = ask(spark, told(), context=context(spark, "s3"), reviewer=lambda texts: ["POOR" for _ in texts])
+    assert row.rounds == 2 and len(searches) == 1  # the first attempt, the fallback and the reformulation
