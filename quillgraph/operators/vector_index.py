@@ -2,8 +2,9 @@
 
 Each index has coarse centroids, trained on a bounded sample of its vectors (``SAMPLE`` by a hash of the id). Every vector
 belongs to the list of its nearest centroid by angle. A list is stored in chunks, one row each: ids, and the vectors as 64-bit floats, packed
-in a binary column of about ``CHUNK_BYTES``. So no row, and no task for one list, grows with a hot vector's copies. The table is
-bucketed by index and list, and a search shuffles queries alone.
+in a binary column of about ``CHUNK_BYTES`` (32-bit ones, if the vectors came so). So no row, and no task for one list, grows with a hot vector's copies. The table is
+bucketed by index and list. Queries go over it in blocks of about ``QUERY_BLOCK``, whose vectors are broadcast; a search shuffles a bit for each list and query, and of a
+task the best of each query: no vector.
 
 A search looks at the ``probes`` lists whose centroids are nearest to a query. An exact one then takes its k-th score so far, and looks at
 every other list that may hold a better or equal one: with the angle from query to centroid and the list's radius, none of its vectors is nearer
@@ -18,17 +19,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.operators.cut import discarded, kept
 
 SAMPLE, MOST_LISTS, ROUNDS = 8192, 512, 8
-CHUNK_BYTES, QUERIES_IN_ROW = 1 << 20, 256
+CHUNK_BYTES, QUERY_BLOCK = 1 << 20, 4096
+#: Queries that are compared with a chunk at once.
+AT_ONCE = 1024
 NO_DIRECTION = -1
 
 
@@ -41,7 +48,7 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
     sizes = np.diff(vectors.offsets.to_numpy())
     if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors of one index differ in length")
-    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), int(sizes[0]) if len(sizes) else 0)
 
 
 def _train(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -64,12 +71,13 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """An index under ``path``: ``chunks`` (a bucketed table) and ``lists`` (index, list, centroid, radius)."""
+    """An index under ``path``: ``chunks`` (a bucketed table) and ``lists`` (index, list, centroid, radius); ``kind``: of packed numbers."""
 
     spark: SparkSession
     path: str
     chunks: DataFrame
     lists: DataFrame
+    kind: str
 
     def search(self, queries: DataFrame, settings: DataFrame, default_k: int = 3, prefix: str = "vector", unit: bool = True, probes: int = 24, exact: bool = False) -> DataFrame:
         """The best matches of each query in each index: qid, element_id, index, source, score, as ``search.vector_lookup`` has them.
@@ -95,8 +103,8 @@ class VectorIndex:
         discarded(asked, first)
         return out
 
-    def _probed(self, asked: DataFrame, probes: int, worst: DataFrame | None = None) -> DataFrame:
-        """index, list, qids, vectors (packed): which queries look at which lists; with ``worst``, those beyond the first ``probes`` that may matter."""
+    def _probed(self, asked: DataFrame, probes: int, worst: DataFrame | None = None) -> list[tuple[Broadcast, DataFrame, str]]:
+        """Blocks of queries, which of them look at which lists (index, list, asked: a bit for each query), and the type of their ids; with ``worst``, those beyond the first ``probes`` that may matter."""
         tables: dict[str, tuple] = {}
         for r in self.lists.orderBy("index", "list").toArrow().to_pylist():  # MOST_LISTS + 1 an index at most
             tables.setdefault(r["index"], ([], [], []))
@@ -104,88 +112,132 @@ class VectorIndex:
                 held.append(value)
         tables = {i: (np.asarray(n), np.asarray([c for c, m in zip(cs, n, strict=True) if m >= 0]), np.asarray(r)) for i, (n, cs, r) in tables.items()}
         held = self.spark.sparkContext.broadcast(tables)
-        by_index = "index" in asked.columns
-        rows = asked if by_index else asked.withColumn("index", F.lit(None).cast("string"))
+        rows = asked if "index" in asked.columns else asked.withColumn("index", F.lit(None).cast("string"))
         later = worst is not None
         if later:
             bounds = worst.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("index", "least"))).alias("least"))  # an entry per index
             rows = rows.join(bounds, "qid", "left")
         else:
             rows = rows.withColumn("least", F.create_map().cast("map<string,double>"))
+        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+        part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+        return [self._block(rows.where(part == b) if blocks > 1 else rows, held, probes, later) for b in range(blocks)]
+
+    def _block(self, rows: DataFrame, held: Broadcast, probes: int, later: bool) -> tuple[Broadcast, DataFrame, str]:
+        table = rows.select("qid", "query", "index", "least").toArrow()  # about QUERY_BLOCK rows
+        queries = _units(_matrix(table.column("query").combine_chunks()))
+        block = self.spark.sparkContext.broadcast((table.column("qid").combine_chunks(), queries, table.column("index").to_pylist(), [dict(x or ()) for x in table.column("least").to_pylist()]))
+
+        def looks(name: str) -> np.ndarray:
+            """Whether each query looks at each list of an index."""
+            _, q, only, least = block.value
+            numbers, centroids, radius = held.value[name]
+            out = np.zeros((len(only), len(numbers)), bool)
+            some = np.asarray([i for i, x in enumerate(only) if x is None or x == name], np.int64)
+            if not len(some):
+                return out
+            real = numbers >= 0
+            cosine = np.nan_to_num(q[some] @ centroids.T, nan=-2.0) if real.any() else np.zeros((len(some), 0))
+            order = np.argsort(-cosine, axis=1, kind="stable")
+            first = np.zeros((len(some), len(numbers)), bool)
+            near = np.zeros(cosine.shape, bool)
+            np.put_along_axis(near, order[:, :probes], True, axis=1)
+            first[:, real] = near
+            if later:
+                reach = np.full(first.shape, -2.0)
+                reach[:, real] = np.cos(np.maximum(0, _angle(cosine) - radius[real]))
+                bound = np.asarray([least[i].get(name) for i in some], float)
+                bound = np.where(np.isnan(bound), -9.0, bound)
+                nowhere = ~np.isfinite(q[some]).all(axis=1)  # no score with anything: ties by id, everywhere
+                first = ((reach >= bound[:, None] - 1e-9) | nowhere[:, None]) & ~first
+            out[some] = first
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[str, np.ndarray] = {}
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = _units(_matrix(batch.column("query")))
-                only, least = batch.column("index").to_pylist(), batch.column("least").to_pylist()
-                for name, (numbers, centroids, radius) in held.value.items():
-                    some = np.asarray([i for i, x in enumerate(only) if x is None or x == name], np.int64)
-                    if not len(some):
-                        continue
-                    real = numbers >= 0
-                    cosine = np.nan_to_num(q[some] @ centroids.T, nan=-2.0) if real.any() else np.zeros((len(some), 0))
-                    order = np.argsort(-cosine, axis=1, kind="stable")
-                    first = np.zeros((len(some), len(numbers)), bool)
-                    near = np.zeros(cosine.shape, bool)
-                    np.put_along_axis(near, order[:, :probes], True, axis=1)
-                    first[:, real] = near
-                    if later:
-                        reach = np.full(first.shape, -2.0)
-                        reach[:, real] = np.cos(np.maximum(0, _angle(cosine) - radius[real]))
-                        bound = np.asarray([(dict(x or []).get(name) if x else None) for x in (least[i] for i in some)], float)
-                        bound = np.where(np.isnan(bound), -9.0, bound)
-                        nowhere = ~np.isfinite(q[some]).all(axis=1)  # no score with anything: ties by id, everywhere
-                        first = ((reach >= bound[:, None] - 1e-9) | nowhere[:, None]) & ~first
-                    i, j = np.nonzero(first)
-                    yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(some[i])), pa.array([name] * len(i), pa.string()), pa.array(numbers[j].astype(np.int32)), batch.column("query").take(pa.array(some[i]))], ["qid", "index", "list", "query"])
-
-        types = {f.name: f.dataType.simpleString() for f in rows.schema}
-        pairs = rows.select("qid", "query", "index", "least").mapInArrow(run, f"qid {types['qid']}, `index` string, list int, query {types['query']}")
-        # A row holds some queries of a list, never all of a popular one.
-        spread = pairs.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("index", "list", F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid")) / QUERIES_IN_ROW))
-        return spread.groupBy("index", "list", F.pmod(F.xxhash64("qid"), F.lit(64)).alias("salt"), "part").agg(F.collect_list(F.struct("qid", "query")).alias("asked"))
-
-    def _best(self, probed: DataFrame, own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
-        """qid, element_id, index, score: of each chunk, its best for each query that looks at it; then the best over chunks."""
-        joined = probed.join(self.chunks.hint("merge"), ["index", "list"])  # copies are small in files, so their size there would have them sent through the driver
-        kinds = {f.name: f.dataType for f in joined.schema}
-        qid_kind = kinds["asked"].elementType["qid"].dataType.simpleString()
-        id_kind = kinds["ids"].elementType.simpleString()
+                names, lists, bits = batch.column("index").to_pylist(), batch.column("list").to_pylist(), []
+                for name, n in zip(names, lists, strict=True):
+                    if name not in found:
+                        found[name] = looks(name)
+                    asks = found[name][:, np.searchsorted(held.value[name][0], n)]
+                    bits.append(np.packbits(asks).tobytes() if asks.any() else None)
+                yield pa.RecordBatch.from_arrays([batch.column("index"), batch.column("list"), pa.array(bits, pa.binary())], ["index", "list", "asked"]).filter(pa.array([x is not None for x in bits], pa.bool_()))
+
+        return block, self.lists.select("index", "list").mapInArrow(run, "`index` string, list int, asked binary"), rows.schema["qid"].dataType.simpleString()
+
+    def _best(self, probed: list[tuple[Broadcast, DataFrame, str]], own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
+        """qid, element_id, index, score: of each task, its best for each query; then the best over tasks."""
+        found = reduce(DataFrame.union, [self._block_best(*x, own, default_k, unit) for x in probed])
+        most = max([default_k, *own.values()])
+        rank = F.row_number().over(Window.partitionBy("qid", "index").orderBy(F.desc(F.round("score", 12)), "element_id"))
+        return found.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+
+    def _block_best(self, block: Broadcast, looks: DataFrame, qid_kind: str, own: dict[str, int], default_k: int, unit: bool) -> DataFrame:
+        joined = looks.join(self.chunks.hint("merge"), ["index", "list"])  # copies are small in files, so their size there would have them sent through the driver
+        id_kind = joined.schema["ids"].dataType.elementType.simpleString()
+        kind = self.kind
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, queries, *_ = block.value
+            best: dict[str, pa.Table] = {}
+            bound: dict[str, np.ndarray] = {}
+
+            def kept_of(name: str) -> None:
+                """Of an index, each query's first rows by score and id."""
+                k = own.get(name, default_k)
+                rows = best[name].take(pc.sort_indices(best[name], [("q", "ascending"), ("told", "descending"), ("element_id", "ascending")], null_placement="at_start"))
+                q = rows.column("q").to_numpy()
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                last = np.flatnonzero(nth == k - 1)
+                bound[name][q[last]] = rows.column("score").to_numpy()[last]
+                best[name] = rows.filter(pa.array(nth < k)).combine_chunks()
+
             for batch in batches:
                 for name, asked, ids, packed in zip(*(batch.column(c) for c in ("index", "asked", "ids", "packed")), strict=True):
-                    name, ids = name.as_py(), ids.values
-                    vectors = _units(np.frombuffer(packed.as_py(), np.float64).reshape(len(ids), -1))
-                    queries = _units(_matrix(asked.values.field("query")))
-                    score = vectors @ queries.T
-                    score = np.where(np.isnan(score), -2.0, score)
-                    k = own.get(name, default_k)
-                    bound = np.partition(score, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(score.shape[1], -2.0)
-                    i, j = np.nonzero(score >= bound - 1e-11)  # ties are kept
-                    value = np.where(score[i, j] < -1.5, np.nan, score[i, j])
-                    value = (value + 1) / 2 if unit else value
-                    yield pa.RecordBatch.from_arrays([asked.values.field("qid").take(pa.array(j)), ids.take(pa.array(i)), pa.array([name] * len(i), pa.string()), pa.array(value, from_pandas=True)], ["qid", "element_id", "index", "score"])
-
-        found = joined.mapInArrow(run, f"qid {qid_kind}, element_id {id_kind}, `index` string, score double")
-        most = max([default_k, *own.values()])
-        rank = F.row_number().over(Window.partitionBy("qid", "index").orderBy(F.desc(F.round("score", 12)), "element_id"))
-        return found.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+                    name, ids, k = name.as_py(), ids.values, own.get(name.as_py(), default_k)
+                    least = bound.setdefault(name, np.full(len(qids), -2.0))
+                    vectors = _units(np.frombuffer(packed.as_py(), kind).astype(np.float64).reshape(len(ids), -1))
+                    asks = np.flatnonzero(np.unpackbits(np.frombuffer(asked.as_py(), np.uint8), count=len(qids)))
+                    for a in range(0, len(asks), AT_ONCE):
+                        at = asks[a : a + AT_ONCE]
+                        score = vectors @ queries[at].T
+                        score = np.where(np.isnan(score), -2.0, score)
+                        here = np.partition(score, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(at), -2.0)
+                        i, j = np.nonzero(score >= np.maximum(here, least[at]) - 1e-11)  # ties are kept
+                        value = score[i, j]
+                        told = np.where(value < -1.5, -9.0, np.round((value + 1) / 2 if unit else value, 12))
+                        rows = pa.table({"q": pa.array(at[j]), "told": pa.array(told), "score": pa.array(value), "element_id": ids.take(pa.array(i))})
+                        best[name] = pa.concat_tables([best[name], rows]) if name in best else rows
+                        if len(best[name]) > 2 * k * len(qids) + 4096:
+                            kept_of(name)
+            for name in best:
+                kept_of(name)
+                rows = best[name]
+                value = rows.column("score").to_numpy()
+                value = np.where(value < -1.5, np.nan, (value + 1) / 2 if unit else value)
+                columns = [pc.take(qids, rows.column("q").combine_chunks()), rows.column("element_id").combine_chunks(), pa.array([name] * len(rows), pa.string()), pa.array(value, from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "element_id", "index", "score"])
+
+        return joined.mapInArrow(run, f"qid {qid_kind}, element_id {id_kind}, `index` string, score double")
 
 
 def build(nodes: DataFrame, path: str, most_lists: int = MOST_LISTS, buckets: int | None = None) -> VectorIndex:
     """Index the nodes (element_id, index, embedding) that have an embedding, under ``path`` in a folder that executors share."""
     spark = nodes.sparkSession
-    rows = nodes.where("embedding IS NOT NULL AND `index` IS NOT NULL").select("element_id", "index", F.col("embedding").cast("array<double>").alias("embedding"))
+    number = "float" if nodes.schema["embedding"].dataType.elementType == T.FloatType() else "double"
+    kind = "<f4" if number == "float" else "<f8"
+    rows = nodes.where("embedding IS NOT NULL AND `index` IS NOT NULL").select("element_id", "index", F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     order = Window.partitionBy("index").orderBy(F.xxhash64("element_id"), "element_id")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    # Ids are numbered without their vectors; SAMPLE an index are broadcast.
+    first = lambda x: x.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    sample = first(rows.join(F.broadcast(first(rows.select("element_id", "index")).select("element_id", "index")), ["element_id", "index"], "left_semi"))
     counts = rows.groupBy("index").agg(F.count("*").alias("rows"))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n")
         lists = int(min(most_lists, max(1, np.sqrt(part["rows"].iloc[0])), max(1, len(part) // 4)))
-        centroids = _train(_units(np.stack(part["embedding"].to_list())), lists)
+        centroids = _train(_units(np.stack(part["embedding"].to_list()).astype(np.float64)), lists)
         return pd.DataFrame({"index": pd.Series([part["index"].iloc[0]] * len(centroids), dtype=object), "list": np.arange(len(centroids), dtype=np.int32), "centroid": pd.Series(centroids.tolist(), dtype=object)})
 
     trained = kept(sample.join(F.broadcast(counts), "index").groupBy("index").applyInPandas(train, "`index` string, list int, centroid array<double>"))  # a row per index
@@ -210,7 +262,7 @@ def build(nodes: DataFrame, path: str, most_lists: int = MOST_LISTS, buckets: in
                 yield pa.RecordBatch.from_arrays([batch.column("element_id").take(some), batch.column("index").take(some), batch.column("embedding").take(some), pa.array(near.astype(np.int32)), pa.array(angle)], ["element_id", "index", "embedding", "list", "angle"])
 
     id_kind = nodes.schema["element_id"].dataType.simpleString()
-    placed = kept(rows.mapInArrow(place, f"element_id {id_kind}, `index` string, embedding array<double>, list int, angle double"))
+    placed = kept(rows.mapInArrow(place, f"element_id {id_kind}, `index` string, embedding array<{number}>, list int, angle double"))
     sizes = placed.groupBy("index", "list").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.max(F.size("embedding")).alias("length"))
     parts = F.ceil(F.col("n") * F.col("length") * 8 / CHUNK_BYTES)
     lists = sizes.join(trained, ["index", "list"], "left").select("index", "list", "radius", "centroid")
@@ -219,24 +271,25 @@ def build(nodes: DataFrame, path: str, most_lists: int = MOST_LISTS, buckets: in
     def pack(batch: pa.Table) -> pa.Table:
         v = _matrix(batch.column("embedding").combine_chunks())
         ids = pa.array([batch.column("element_id").to_pylist()], pa.list_(batch.schema.field("element_id").type))
-        return pa.table([batch.column("index")[:1], batch.column("list")[:1], ids, pa.array([v.tobytes()], pa.binary())], ["index", "list", "ids", "packed"])
+        return pa.table([batch.column("index")[:1], batch.column("list")[:1], ids, pa.array([v.astype(kind).tobytes()], pa.binary())], ["index", "list", "ids", "packed"])
 
-    chunked = placed.join(sizes.select("index", "list", parts.alias("parts")), ["index", "list"]).withColumn("chunk", F.pmod(F.xxhash64("element_id"), F.col("parts")))
-    packed = chunked.select("element_id", "index", "embedding", "list", "chunk").groupBy("index", "list", "chunk").applyInArrow(pack, f"`index` string, list int, ids array<{id_kind}>, packed binary")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunked = placed.join(F.broadcast(sizes.select("index", "list", parts.alias("parts"))), ["index", "list"]).withColumn("chunk", F.pmod(F.xxhash64("element_id"), F.col("parts")))
+    # Vectors are shuffled once, to their bucket: chunks are made there.
+    packed = chunked.select("element_id", "index", "embedding", "list", "chunk").repartition(n, "index", "list").groupBy("index", "list", "chunk").applyInArrow(pack, f"`index` string, list int, ids array<{id_kind}>, packed binary")
     name = f"quillgraph_vectors_{uuid.uuid4().hex}"
-    packed.repartition(n, "index", "list").write.bucketBy(n, "index", "list").sortBy("index", "list").option("path", f"{path}/chunks").saveAsTable(name)
-    spark.range(1).select(F.lit(n).alias("buckets"), F.lit(id_kind).alias("id_kind")).write.mode("overwrite").parquet(f"{path}/about")
+    packed.write.bucketBy(n, "index", "list").sortBy("index", "list").option("path", f"{path}/chunks").saveAsTable(name)
+    spark.range(1).select(F.lit(n).alias("buckets"), F.lit(id_kind).alias("id_kind"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/about")
     discarded(trained, placed)
-    return VectorIndex(spark, path, spark.table(name), spark.read.parquet(f"{path}/lists"))
+    return VectorIndex(spark, path, spark.table(name), spark.read.parquet(f"{path}/lists"), kind)
 
 
 def opened(spark: SparkSession, path: str) -> VectorIndex:
     """An index that ``build`` wrote, in a later session too."""
-    buckets, id_kind = spark.read.parquet(f"{path}/about").first()
+    buckets, id_kind, kind = spark.read.parquet(f"{path}/about").first()
     name = f"quillgraph_vectors_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (`index` STRING, list INT, ids ARRAY<{id_kind}>, packed BINARY) USING parquet OPTIONS (path '{path}/chunks') CLUSTERED BY (`index`, list) SORTED BY (`index`, list) INTO {buckets} BUCKETS")
-    return VectorIndex(spark, path, spark.table(name), spark.read.parquet(f"{path}/lists"))
+    return VectorIndex(spark, path, spark.table(name), spark.read.parquet(f"{path}/lists"), kind)
 
 
 def targeted(entities: DataFrame, index: VectorIndex, hints: DataFrame, settings: DataFrame, provider, exact: bool = False) -> DataFrame:

@@ -89,3 +89,19 @@ def test_vectors_do_not_pass_through_the_driver(spark, tmp_path):
     asked = nodes.where("element_id < 9").selectExpr("element_id AS qid", "embedding AS query")
     plan = index._best(index._probed(asked, 4), {}, 3, True)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_search_shuffles_no_vectors_and_a_build_shuffles_them_once(spark, stored, tmp_path, monkeypatch):
+    nodes, asked, index, _ = stored
+    settings = spark.createDataFrame([("all", 10, None), ("some", 4, 0.6)], SETTINGS)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 40, raising=False)
+    monkeypatch.setattr(vector_index, "AT_ONCE", 16, raising=False)
+    told = lambda rows: sorted((r.qid, r["index"], r.element_id, round(r.score, 9)) for r in rows.collect())
+    assert told(index.search(asked, settings, probes=2, exact=True)) == told(search.vector_lookup(nodes, asked, settings))
+    plan = index._best(index._probed(asked, 4), {}, 3, True)._jdf.queryExecution().executedPlan().toString()
+    assert "query" not in plan.split("== Initial Plan ==")[-1]
+    plans, keep = [], vector_index.kept
+    monkeypatch.setattr(vector_index, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    built = vector_index.build(nodes, str(tmp_path / "v"))
+    assert built.chunks.selectExpr("max(length(packed) / size(ids))").first()[0] == 64 * 4  # 32-bit numbers stay so
+    assert not [p for p in plans if "SortMergeJoin" in p]
